@@ -57,15 +57,12 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
-def planes_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit planes [64, blocks] of fingerprints, 64 to a block, and each block's mask of lanes in use."""
-    blocks = -(-prints.size // 64)
-    padded = np.zeros(blocks * 64, dtype="<u8")
-    padded[: prints.size] = prints
+def planes_of(prints: np.ndarray, place: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes [64, blocks] of fingerprints put at lanes ``place``, 64 to a block, and each block's lanes in use."""
+    padded, used = np.zeros(blocks * 64, dtype="<u8"), np.zeros(blocks * 64, dtype=np.uint8)
+    padded[place], used[place] = prints, 1
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.T.reshape(64, blocks, 64), axis=2, bitorder="little")).view("<u8")[:, :, 0]
-    used = np.zeros(blocks * 64, dtype=np.uint8)
-    used[: prints.size] = 1
     return planes, np.packbits(used.reshape(blocks, 64), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
@@ -96,52 +93,59 @@ def within_radius(queries: np.ndarray, planes: np.ndarray, used: np.ndarray, que
     return query, block, ~over & used[block]
 
 
-def _group_edges(prints: np.ndarray, reps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    asks, lanes = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if not asks.size or not lanes.size:
-        return reps[:0], reps[:0]
-    planes, used = planes_of(np.ascontiguousarray(prints[lanes]))
+def linked_rows(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """Labels that join the rows of a group that are within ``radius``; ``group`` is ascending from 0.
+
+    Rows of side 0 are only queries, of side 1 only lanes, of side 2 both. Each group has blocks of its own, and all
+    (query, block) pairs of all groups are compared together.
+    """
     label = np.arange(prints.size)
-    per = max(1, _PAIRS // used.size)
-    for at in range(0, asks.size, per):
-        own = asks[at : at + per]
-        q, b = np.repeat(np.arange(own.size), used.size), np.tile(np.arange(used.size), own.size)
+    groups = int(group[-1]) + 1 if group.size else 0
+    lanes, asks = np.flatnonzero(side != 0), np.flatnonzero(side != 1)
+    sizes = np.bincount(group[lanes], minlength=groups)
+    blocks = -(-sizes // 64)
+    first_block, first_lane = np.cumsum(blocks) - blocks, np.cumsum(sizes) - sizes
+    place = first_block[group[lanes]] * 64 + np.arange(lanes.size) - first_lane[group[lanes]]
+    if not lanes.size or not asks.size:
+        return label
+    planes, used = planes_of(prints[lanes], place, int(blocks.sum()))
+    row_at = np.zeros(used.size * 64, dtype=np.int64)
+    row_at[place] = lanes
+    each = blocks[group[asks]]
+    ends = np.cumsum(each)
+    at = 0
+    while at < asks.size:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + _PAIRS, side="right")))
+        own, n = asks[at:to], each[at:to]
+        q = np.repeat(np.arange(own.size), n)
+        b = first_block[group[own]][q] + np.arange(q.size) - np.repeat(np.cumsum(n) - n, n)
         q, b, hit = within_radius(prints[own], planes, used, q, b, radius)
         bits = np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, lane = np.nonzero(bits)
-        label = forest(prints.size, own[q[i]], lanes[b[i] * 64 + lane], label)
-    apart = np.flatnonzero(label != np.arange(prints.size))
-    return reps[apart], reps[label[apart]]
+        label = forest(prints.size, own[q[i]], row_at[b[i] * 64 + lane], label)
+        at = to
+    return label
 
 
 def _edges(radius: int):
     """Rows come sorted by group; a group is compared when its last row is seen."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def made(rows: np.ndarray, ends: bool) -> tuple[list, np.ndarray]:
-            starts = np.concatenate([[0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1, [len(rows)]])
-            out = []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b == len(rows) and not ends:
-                    return out, rows[a:]
-                if b - a > 1:
-                    out.append(_group_edges(rows[a:b, 5].view(np.uint64), rows[a:b, 6], rows[a:b, 4], radius))
-            return out, rows[:0]
-
-        def table(out: list) -> pa.RecordBatch:
-            ends = [np.concatenate(x) if out else np.zeros(0, dtype=np.int64) for x in (zip(*out, strict=True) if out else ((), ()))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
+    def made(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate([[False], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])[: len(rows)]
+        label = linked_rows(rows[:, 5].astype(np.int64).view(np.uint64), np.cumsum(starts), rows[:, 4], radius)
+        apart = np.flatnonzero(label != np.arange(label.size))
+        return pa.RecordBatch.from_arrays([pa.array(rows[apart, 6]), pa.array(rows[label[apart], 6])], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((0, 7), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-                out, rest = made(np.concatenate([rest, rows]), False)
-                yield table(out)
-        if len(rest):
-            yield table(made(rest, True)[0])
+                rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+                last = int(np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))[-1]) + 1 if (rows[0, :4] != rows[-1, :4]).any() else 0
+                rest = rows[last:]
+                yield made(rows[:last])
+        yield made(rest)
 
     return run
 
@@ -172,7 +176,8 @@ def components_of(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataF
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
     rows = rows.select("choice", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "fp", "rep")
     group = ["choice", "key", "lo", "hi"]
-    edges = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_edges(radius), "a long, b long")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_edges(radius), "a long, b long")
     found = connected_components(edges)
     return distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
