@@ -26,11 +26,11 @@ from .common import batches_of, written
 from .components import connected_components, forest
 
 #: A tile holds at most so many vectors, and so many bytes.
-TILE_ROWS, TILE_BYTES = 1024, 4 << 20
+TILE_ROWS, TILE_BYTES = 2048, 4 << 20
 #: What rounding in double precision may add to a bound.
 SLACK = 1e-9
 
-_TILE = "label int, dim int, tile long, lo double, hi double, ids binary, copies binary, codes binary, scales binary, errors binary, units binary"
+_TILE = "label int, dim int, tile long, lo double, hi double, ids binary, copies binary, codes binary, scales binary, errors binary, vectors binary"
 
 
 def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,6 +41,12 @@ def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scales, errors
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision."""
+    wide = vectors.astype(np.float64)
+    return wide / np.linalg.norm(wide, axis=1)[:, None]
+
+
 def _direction(dim: int) -> np.ndarray:
     v = np.random.default_rng(dim).standard_normal(dim)
     return v / np.linalg.norm(v)
@@ -66,14 +72,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def tile() -> pa.RecordBatch:
         nonlocal made
         raw = np.stack([x for _, _, x, _ in held])
-        units = raw / np.linalg.norm(raw, axis=1)[:, None]
+        units = unit_vectors(raw)
         codes, scales, errors = quantised(units)
         made += 1
         row = {
             "label": [key[0]], "dim": [key[1]], "tile": [(part << 32) + made], "lo": [held[0][3]], "hi": [held[-1][3]],
             "ids": [np.array([h[0] for h in held], dtype=np.int64).tobytes()],
             "copies": [np.array([h[1] for h in held], dtype=np.int64).tobytes()],
-            "codes": [codes.tobytes()], "scales": [scales.tobytes()], "errors": [errors.tobytes()], "units": [units.tobytes()],
+            "codes": [codes.tobytes()], "scales": [scales.tobytes()], "errors": [errors.tobytes()], "vectors": [raw.astype(np.float32).tobytes()],
         }
         types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
@@ -83,7 +89,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(names.index(n)) for n in ("label", "dim", "rep", "copies", "place", "embedding")]
         for label, dim, rep, copies, place, vector in zip(*columns, strict=True):
             now = (label.as_py(), dim.as_py())
-            if held and (now != key or len(held) >= min(TILE_ROWS, max(16, TILE_BYTES // (9 * key[1])))):
+            if held and (now != key or len(held) >= min(TILE_ROWS, max(16, TILE_BYTES // (5 * key[1])))):
                 yield tile()
                 held = []
             key = now
@@ -100,7 +106,7 @@ def _linked(threshold: float):
             dim, own = row["dim"], row["tile"] == row["tile_2"]
             ids, ids_2 = get("ids", np.int64), get("ids_2", np.int64)
             codes, codes_2 = get("codes", np.int8).reshape(-1, dim), get("codes_2", np.int8).reshape(-1, dim)
-            units, units_2 = get("units", np.float64).reshape(-1, dim), get("units_2", np.float64).reshape(-1, dim)
+            units, units_2 = (unit_vectors(get(n, np.float32).reshape(-1, dim)) for n in ("vectors", "vectors_2"))
             exact = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # sums of products are whole numbers
             about = (codes.astype(exact) @ codes_2.astype(exact).T).astype(np.float64)
             about *= get("scales", np.float64)[:, None] * get("scales_2", np.float64)[None, :]
@@ -158,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     near = (F.col("label") == F.col("label_2")) & (F.col("dim") == F.col("dim_2")) & (F.col("tile") <= F.col("tile_2"))
     near = near & (F.col("lo_2") - F.col("hi") <= far) & (F.col("lo") - F.col("hi_2") <= far)
     pairs = heads.join(other, near).select("tile", "tile_2")
-    data = ["ids", "copies", "codes", "scales", "errors", "units"]
+    data = ["ids", "copies", "codes", "scales", "errors", "vectors"]
     second = tiles.select(F.col("tile").alias("tile_2"), *[F.col(c).alias(f"{c}_2") for c in data])
     joined = pairs.join(tiles.select("dim", "tile", *data), "tile").join(second, "tile_2")
     found = written(joined.mapInArrow(_linked(threshold), "a long, links long, b long"))
