@@ -24,12 +24,11 @@ from .common import batches_of, running_sum, written
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), largest first
 
-#: Up to here a code point needs no normalisation, and lower-casing does not depend on its neighbours.
-_PLAIN = 0x250
+#: Below this (Latin-1) a code point needs no normalisation, and lower-casing does not depend on its neighbours.
+_PLAIN = 0x100
 _letters = "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == "L")
 _numbers = "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == "N")
 _WORDS = re.compile(rf"[{_letters}]+|[{_numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_letters}{_numbers}]+")
-_OTHER = re.compile(rf"[^\x00-{chr(_PLAIN - 1)}]")
 #: Words whose ids a Python worker remembers; beyond that it forgets them all and starts anew.
 REMEMBERED = 1_000_000
 
@@ -64,17 +63,31 @@ class WordTokenizer:
         codes, stops = ids.tobytes(), (4 * stops).tolist()
         self.known.update((w, codes[a:b]) for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True))
 
-    def __call__(self, text: str) -> bytes:
-        if _OTHER.search(text):
-            return self.whole(text).tobytes()
-        words = _WORDS.findall(text.lower())
-        new = list(dict.fromkeys(filterfalse(self.known.__contains__, words)))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        out: list[bytes | None] = [None] * len(texts)
+        words, codes, new = {}, {}, {}
+        for i, text in enumerate(texts):
+            if not text.isascii():
+                try:
+                    text.encode("latin-1")
+                except UnicodeEncodeError:
+                    out[i] = self.whole(text).tobytes()
+                    continue
+            words[i] = _WORDS.findall(text.lower())
+            codes[i] = list(map(self.known.get, words[i]))
+            if None in codes[i]:
+                new[i] = [k for k, c in enumerate(codes[i]) if c is None]
         if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            self.learn(list(dict.fromkeys(words[i][k] for i, places in new.items() for k in places)))
+            for i, places in new.items():
+                own, coded = words[i], codes[i]
+                for k in places:
+                    coded[k] = self.known[own[k]]
+        for i, coded in codes.items():
+            out[i] = b"".join(coded)
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -88,10 +101,11 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         tokenize = _tokenizers[path]
-        for batch in batches_of(batches, 512):
+        for batch in batches_of(batches, 64):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokenize(text.as_py() or "") + b"\0\0\0\0"
+            coded = tokenize([text or "" for text in batch.column(1).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                ids += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, packing, secret_scan, simhash_dedup, url_filter
+from . import embedding_dedup, fingerprints, language_model, mixing, packing, quality, secret_scan, simhash_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, with_ids=False)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out_of=5, limit=0.3)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(_table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(_table(spark, sf_dir, "documents"))
 
@@ -44,13 +56,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, width=3).drop("kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, held_out=2, limit=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
