@@ -44,18 +44,19 @@ def words_of(text: str | None) -> set[str]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches, 256):
-        made = [[h for w in sorted(words_of(t.as_py())) for h in hashes(w)] for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["doc_id", "x"])
+        made = [np.array([h for w in words_of(t.as_py()) for h in hashes(w)], dtype=np.int32) for t in batch.column(1)]
+        made = [np.sort(m).tobytes() for m in made]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "x"])
 
 
 class Rows:
     """Sparse rows: features one after another, and the row that each is in."""
 
-    def __init__(self, rows: list[list[int]]):
+    def __init__(self, rows: list[bytes]):
         self.n = len(rows)
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=self.n)
-        self.feature = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if self.n else np.zeros(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(self.n), sizes)
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=self.n) // 4
+        self.feature = np.frombuffer(b"".join(rows), dtype=np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
 
     def only(self, place: np.ndarray) -> Rows:
@@ -92,7 +93,7 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, batche
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
     value = screened(positive, unlabelled)
     chosen = np.flatnonzero(value)
-    place = np.full(SIZE, -1)
+    place = np.full(SIZE, -1, dtype=np.int32)
     place[chosen] = np.arange(chosen.size)
     p_all, u_all = positive.only(place), unlabelled.only(place)
     scale, size = value[chosen], chosen.size
@@ -158,7 +159,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     parts = samples.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
     parts = parts.join(labels.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", "left")
     chosen = docs.join(F.broadcast(parts), "doc_id")  # at most POSITIVE + UNLABELLED + CALIBRATION rows
-    keyed = chosen.select("doc_id", "text").mapInArrow(_features, "doc_id long, x array<int>")
+    keyed = chosen.select("doc_id", "text").mapInArrow(_features, "doc_id long, x binary")
     rows = keyed.join(F.broadcast(parts), "doc_id").orderBy("doc_id").collect()
     # What calibrates is kept from training, unless there is little to learn from.
     small = sum(1 in r["parts"] for r in rows) < 200
