@@ -223,7 +223,8 @@ def summary(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document."""
     rows = scan(docs, fdr).select("doc_id", "_secrets")
     base = F.filter("_secrets", lambda s: s["kind"] < 3)
-    counted = [F.size(F.filter("_secrets", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    count = lambda kind: F.size(F.filter("_secrets", lambda s: s["kind"] == kind)).cast("long")
+    counted = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select("doc_id", *counted, F.sha2(_written_out(base), 256).alias("base_sha256"), _written_out(F.col("_secrets")).alias("spans"))
 
 
