@@ -47,7 +47,7 @@ def with_check_digit(twelve: Column) -> Column:
 
 def barcode_list(cell: Column) -> Column:
     """The codes in a cell, which commas, semicolons or bars separate."""
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_gtin(code: Column) -> Column:
