@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import batches_of, fold, written
+from .quality import summed
 
 POSITIVE, UNLABELLED, CALIBRATION = 5_000, 10_000, 5_000
+#: The sample, which is bounded, is dealt into so many partitions.
+SAMPLE_PARTS = 12
 SIZE = 1 << 18
 #: A feature needs so many texts, and so many standard deviations between toxic and other texts.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
@@ -49,6 +52,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "x"])
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the toxic and the unlabelled texts of a partition have each feature, and how many texts there are."""
+    total = np.zeros(2 * SIZE + 2)
+    for batch in batches_of(batches, 256):
+        for k in (0, 1):
+            own = batch.column(0).filter(batch.column(k + 1))
+            features = np.frombuffer(b"".join(x.as_py() for x in own), dtype=np.int32)
+            total[k * SIZE : (k + 1) * SIZE] += np.bincount(features, minlength=SIZE)
+            total[2 * SIZE + k] += len(own)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+
+def _only(place):
+    """The features with a place that isn't negative, as those places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [place.value[np.frombuffer(x.as_buffer(), dtype=np.int32)] for x in batch.column(1)]
+            made = pa.array([f[f >= 0].tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, *batch.columns[2:]], names=batch.schema.names)
+
+    return run
+
+
 class Rows:
     """Sparse rows: features one after another, and the row that each is in."""
 
@@ -59,14 +86,6 @@ class Rows:
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
 
-    def only(self, place: np.ndarray) -> Rows:
-        """The features with a place that isn't negative, as those places."""
-        kept = place[self.feature] >= 0
-        out = Rows([])
-        out.n, out.feature, out.row = self.n, place[self.feature[kept]], self.row[kept]
-        out.start = np.concatenate([[0], np.cumsum(np.bincount(out.row, minlength=self.n))])
-        return out
-
     def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         take = np.concatenate([np.arange(self.start[r], self.start[r + 1]) for r in rows])
         return self.feature[take], np.repeat(np.arange(rows.size), self.start[rows + 1] - self.start[rows])
@@ -76,27 +95,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def screened(positive: Rows, unlabelled: Rows) -> np.ndarray:
+def screened(p: np.ndarray, u: np.ndarray, n_positive: float, n_unlabelled: float) -> np.ndarray:
     """Values of the features that toxic texts have significantly more or less often; 0 for all others.
 
-    A value is the log ratio of the shares of texts, so that what tells more also learns faster.
+    ``p`` and ``u`` are how often toxic and unlabelled texts have each feature. A value is the log ratio of the shares of
+    texts, so that what tells more also learns faster.
     """
-    p, u = (np.bincount(r.feature, minlength=SIZE).astype(np.float64) for r in (positive, unlabelled))
-    share = (p + u + 1) / (positive.n + unlabelled.n + 2)
-    share = np.minimum(share, 0.999)
-    z = (p - positive.n * share) / np.sqrt(positive.n * share * (1 - share))
-    ratio = np.log((p + 1) / (positive.n + 2)) - np.log((u + 1) / (unlabelled.n + 2))
+    share = np.minimum((p + u + 1) / (n_positive + n_unlabelled + 2), 0.999)
+    z = (p - n_positive * share) / np.sqrt(n_positive * share * (1 - share))
+    ratio = np.log((p + 1) / (n_positive + 2)) - np.log((u + 1) / (n_unlabelled + 2))
     return np.where((p + u >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z), np.abs(ratio), 0.0)
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, batches: int = 10, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
-    value = screened(positive, unlabelled)
-    chosen = np.flatnonzero(value)
-    place = np.full(SIZE, -1, dtype=np.int32)
-    place[chosen] = np.arange(chosen.size)
-    p_all, u_all = positive.only(place), unlabelled.only(place)
-    scale, size = value[chosen], chosen.size
+def fit(positive: Rows, unlabelled: Rows, scale: np.ndarray, prior: float, epochs: int = 60, batches: int = 10, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam.
+
+    The rows' features are places in ``scale``, their values.
+    """
+    size = scale.size
     w = np.append(np.zeros(size), np.log(prior / (1 - prior)))
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     rng, step = np.random.default_rng(seed), 0
@@ -105,7 +121,7 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, batche
         for p_rows, u_rows in zip(np.array_split(p_order, batches), np.array_split(u_order, batches), strict=True):
             if not p_rows.size or not u_rows.size:
                 continue
-            (pf, pr), (uf, ur) = p_all.part(p_rows), u_all.part(u_rows)
+            (pf, pr), (uf, ur) = positive.part(p_rows), unlabelled.part(u_rows)
             pz = np.bincount(pr, weights=(w[:size] * scale)[pf], minlength=p_rows.size) + w[size]
             uz = np.bincount(ur, weights=(w[:size] * scale)[uf], minlength=u_rows.size) + w[size]
             if np.logaddexp(0, uz).mean() >= prior * np.logaddexp(0, pz).mean():
@@ -118,9 +134,7 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, batche
             mean = 0.9 * mean + 0.1 * g
             square = 0.99 * square + 0.01 * g * g
             w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(SIZE)
-    weights[chosen] = w[:size] * scale
-    return weights, float(w[size])
+    return w[:size] * scale, float(w[size])
 
 
 def logistic_curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -141,9 +155,6 @@ class Model:
     def __init__(self, prior: float = 0.0):
         self.prior, self.weights, self.bias, self.curve = prior, None, 0.0, (1.0, 0.0)
 
-    def raw(self, rows: Rows) -> np.ndarray:
-        return np.bincount(rows.row, weights=self.weights[rows.feature], minlength=rows.n) + self.bias
-
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labels (doc_id, y) and docs that are already those of the training fold."""
@@ -160,13 +171,31 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     parts = parts.join(labels.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", "left")
     chosen = docs.join(F.broadcast(parts), "doc_id")  # at most POSITIVE + UNLABELLED + CALIBRATION rows
     keyed = chosen.select("doc_id", "text").mapInArrow(_features, "doc_id long, x binary")
-    rows = keyed.join(F.broadcast(parts), "doc_id").orderBy("doc_id").collect()
+    rows = keyed.join(F.broadcast(parts), "doc_id").repartition(SAMPLE_PARTS, "doc_id")
     # What calibrates is kept from training, unless there is little to learn from.
-    small = sum(1 in r["parts"] for r in rows) < 200
-    pick = lambda k: [r["x"] for r in rows if k in r["parts"] and (small or 2 not in r["parts"])]
-    model.weights, model.bias = fit(Rows(pick(1)), Rows(pick(0)), min(max(model.prior, 0.01), 0.9))
-    known = [r for r in rows if r["y"] is not None and (small or 2 in r["parts"])]
-    model.curve = logistic_curve(model.raw(Rows([r["x"] for r in known])), np.array([r["y"] for r in known], dtype=np.float64))
+    small = parts.where(F.array_contains("parts", 1)).count() < 200
+    in_part = lambda k: F.array_contains("parts", k) & (F.lit(small) | ~F.array_contains("parts", 2))
+    calibrates = F.col("y").isNotNull() & (F.lit(small) | F.array_contains("parts", 2))
+    rows = written(rows.select("doc_id", "x", "y", in_part(1).alias("positive"), in_part(0).alias("unlabelled"), calibrates.alias("calibrates")))
+    # Features are screened where the rows are; only the few that tell anything reach the driver.
+    total = summed(rows.select("x", "positive", "unlabelled").mapInArrow(_seen, "part binary"), SAMPLE_PARTS)
+    p, u, sizes = np.split(total if total is not None else np.zeros(2 * SIZE + 2), [SIZE, 2 * SIZE])
+    if not sizes[0]:
+        return Model()
+    value = screened(p, u, sizes[0], sizes[1])
+    chosen_features = np.flatnonzero(value)
+    place = np.full(SIZE, -1, dtype=np.int32)
+    place[chosen_features] = np.arange(chosen_features.size)
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+    few = rows.mapInArrow(_only(shared), rows.schema).collect()
+    few.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    pick = lambda role: Rows([r["x"] for r in few if r[role]])
+    weights, model.bias = fit(pick("positive"), pick("unlabelled"), value[chosen_features], min(max(model.prior, 0.01), 0.9))
+    known = pick("calibrates")
+    raw = np.bincount(known.row, weights=weights[known.feature], minlength=known.n) + model.bias
+    model.curve = logistic_curve(raw, np.array([r["y"] for r in few if r["calibrates"]], dtype=np.float64))
+    model.weights = np.zeros(SIZE)
+    model.weights[chosen_features] = weights
     return model
 
 
