@@ -31,7 +31,7 @@ RARE = 128
 TOP = LEAVES - RARE
 PAIRS, INSIDE = 4096, 4096
 STEPS, SMOOTH = 6, 4.0
-#: Counts of so many words, the most frequent, go to every task; those of all others are joined.
+#: Counts of at most so many words, the most frequent, go to every task; those of all others are joined.
 KNOWN = 100_000
 _CHUNK = 1 << 15
 _START = LEAVES  # the leaf before a text
@@ -64,7 +64,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches, 256):
         for text in batch.column(0):
             seen.update(words_of(text.as_buffer().to_pybytes() if text.is_valid else b""))
-        if len(seen) > 300_000:
+        if len(seen) > 50_000:
             yield table()
             seen.clear()
     yield table()
@@ -76,6 +76,23 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("token", "leaf").agg(F.sum("n").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int = KNOWN) -> list[tuple[bytes, int]]:
+    """The words from the least count on that no more than ``most`` words reach, the most frequent first.
+
+    That count is read off a table of how many words are in each 16th of a power of two.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    left, least = most, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # under 1,024 rows
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["token"]), r["c"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Words:
     """The most frequent words with their counts and leaves, and the totals."""
 
@@ -93,7 +110,7 @@ def _encoded(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         get, unknown = known.place.get, repeat(-1)
-        for batch in batches_of(batches, 128):
+        for batch in batches_of(batches, 32):
             texts = [words_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(3)]
             leaves, rare, times, base, inside, sizes, seen = [], [], [], [], [], [], []
             for text in texts:
@@ -189,7 +206,7 @@ def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[ordered[starts]] += np.add.reduceat(values[order], starts, axis=0)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256):
+def _texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 64):
     for batch in batches_of(batches, rows):
         yield batch, [np.frombuffer(v.as_buffer(), dtype=np.int16) for v in batch.column(column)]
 
@@ -244,7 +261,7 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     trains = F.coalesce(part != held_out, F.lit(False))
     counts = written(token_counts(docs.where(trains)))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()]
+    frequent = frequent_words(counts)
     top = [w for w, _ in frequent[:TOP]]
     own_leaf = F.col("token").isin([F.lit(bytearray(w)) for w in top]) if top else F.lit(False)
     groups = counts.where(~own_leaf).groupBy("leaf").agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("mass")).collect()
