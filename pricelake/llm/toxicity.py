@@ -3,10 +3,11 @@
 Only confirmed toxic texts are trusted as labels for training; a sample of all texts, toxic ones among it, is the
 unlabelled side. The risk of calling the unlabelled clean, less what the toxic among them account for at the class
 prior, can't truly be negative; a batch where it gets so is overfitted, and the step goes the other way (Kiryo et al.,
-2017). A logistic curve fitted to labelled texts that training left out turns scores into probabilities.
+2017). A logistic curve fitted to labelled texts that training left out turns scores into probabilities: a hashed fifth
+of the labels, each class sampled by itself and weighted by how many labels a sampled one stands for.
 
-The samples are bounded (POSITIVE, UNLABELLED, CALIBRATION rows, those with the smallest hashes of their ids); every
-text is scored, whole.
+The samples are bounded (POSITIVE, UNLABELLED, CALIBRATION rows, those with the smallest hashes of their ids; half of
+CALIBRATION for each class); every text is scored, whole.
 """
 
 from __future__ import annotations
@@ -137,15 +138,15 @@ def fit(positive: Rows, unlabelled: Rows, scale: np.ndarray, prior: float, epoch
     return w[:size] * scale, float(w[size])
 
 
-def logistic_curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of the chance of label 1 over scores, by Newton's method with a slight ridge."""
+def logistic_curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (positive) and offset of the chance of label 1 over weighted scores, by Newton's method with a slight ridge."""
     scale = max(1.0, float(np.abs(z).max(initial=0)))
     x = np.stack([z / scale, np.ones(z.size)], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
         p = _sigmoid(x @ beta)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta = beta + np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-3 * beta), -5, 5)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        beta = beta + np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-3 * beta), -5, 5)
     return max(float(beta[0]) / scale, 1e-3), float(beta[1])
 
 
@@ -165,17 +166,18 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(seen["p"] / seen["n"])
     samples = first(docs, 1, UNLABELLED).withColumn("part", F.lit(0))
     samples = samples.union(first(labels.where("y = 1"), 2, POSITIVE).withColumn("part", F.lit(1)))
-    fifth = labels.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0)
-    samples = written(samples.union(first(fifth, 4, CALIBRATION).withColumn("part", F.lit(2))))
+    fifth = labels.groupBy("doc_id").agg(F.max("y").alias("y")).where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0)
+    for y in (0, 1):
+        samples = samples.union(first(fifth.where(F.col("y") == y), 4, CALIBRATION // 2).withColumn("part", F.lit(2)))
+    samples = written(samples)
     parts = samples.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
     parts = parts.join(labels.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", "left")
     chosen = docs.join(F.broadcast(parts), "doc_id")  # at most POSITIVE + UNLABELLED + CALIBRATION rows
     keyed = chosen.select("doc_id", "text").mapInArrow(_features, "doc_id long, x binary")
     rows = keyed.join(F.broadcast(parts), "doc_id").repartition(SAMPLE_PARTS, "doc_id")
-    # What calibrates is kept from training, unless there is little to learn from.
-    small = parts.where(F.array_contains("parts", 1)).count() < 200
-    in_part = lambda k: F.array_contains("parts", k) & (F.lit(small) | ~F.array_contains("parts", 2))
-    calibrates = F.col("y").isNotNull() & (F.lit(small) | F.array_contains("parts", 2))
+    # What calibrates is kept from training.
+    in_part = lambda k: F.array_contains("parts", k) & ~F.array_contains("parts", 2)
+    calibrates = F.array_contains("parts", 2)
     rows = written(rows.select("doc_id", "x", "y", in_part(1).alias("positive"), in_part(0).alias("unlabelled"), calibrates.alias("calibrates")))
     # Features are screened where the rows are; only the few that tell anything reach the driver.
     total = summed(rows.select("x", "positive", "unlabelled").mapInArrow(_seen, "part binary"), SAMPLE_PARTS)
@@ -193,7 +195,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     weights, model.bias = fit(pick("positive"), pick("unlabelled"), value[chosen_features], min(max(model.prior, 0.01), 0.9))
     known = pick("calibrates")
     raw = np.bincount(known.row, weights=weights[known.feature], minlength=known.n) + model.bias
-    model.curve = logistic_curve(raw, np.array([r["y"] for r in few if r["calibrates"]], dtype=np.float64))
+    y = np.array([r["y"] for r in few if r["calibrates"]], dtype=np.int64)
+    whole = {r["y"]: r["n"] for r in fifth.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if y.any() and not y.all():  # without both classes the risk's own log odds stand
+        stands = np.array([whole[k] / max(1, (y == k).sum()) for k in (0, 1)])[y]
+        model.curve = logistic_curve(raw, y.astype(np.float64), stands * y.size / stands.sum())
     model.weights = np.zeros(SIZE)
     model.weights[chosen_features] = weights
     return model

@@ -217,6 +217,24 @@ def test_toxic_documents_go(spark):
     assert np.mean([i in left for i, (_, t) in known.items() if i is not None and not t and i < 900]) > 0.95
 
 
+def test_few_toxic_labels_are_calibrated_at_their_rate(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 300)
+    monkeypatch.setattr(toxicity, "CALIBRATION", 300)
+    rng = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(6000):
+        words, toxic = sentence(rng, 30).split(), i % 50 == 0
+        if toxic or rng.random() < 0.08:  # clean texts have the word too, four times as many as toxic ones
+            words[3] = "scoundrel"
+        rows.append((i, " ".join(words), "en", "a", None, 0, "x"))
+        labels.append((i, 1, int(toxic)))
+    got = toxicity.scored(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) == pytest.approx(sum(r["doc_id"] % 50 == 0 for r in held), rel=0.6)
+    with_word = [r for r in held if "scoundrel" in rows[r["doc_id"]][1]]
+    assert np.mean([r["predicted"] for r in with_word]) < 0.1  # a fifth of these are toxic, under the limit of 0.3
+
+
 def test_language_model(spark, texts):
     got = language_model.scored(documents(spark, texts)).collect()
     words = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [b""] for t in texts]
