@@ -38,7 +38,8 @@ class WordTokenizer:
 
     The tokenizer splits a text into words and codes each by itself, the last token of a word ending in a mark of its
     own. So the codes of a word are kept and reused; new words are coded together, a space between them, and told apart
-    by that mark. Texts with characters outside the plain range go through the tokenizer as they are.
+    by that mark. Texts with characters outside the plain range, and texts with the content of an added token, which the
+    tokenizer looks for before it splits words, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -50,14 +51,17 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+        added = {t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content}
+        self.added = re.compile("|".join(map(re.escape, sorted(added))) or "(?!)")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, words: list[str]) -> None:
-        ids = self.whole(" ".join(words))
+        joined = " ".join(words)
+        ids = self.whole(joined)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if stops.size != len(words):  # a word that the tokenizer splits
+        if stops.size != len(words) or self.added.search(joined):  # a word that the tokenizer splits, or words that make an added token
             self.known.update((w, self.whole(w).tobytes()) for w in words)
             return
         codes, stops = ids.tobytes(), (4 * stops).tolist()
@@ -75,7 +79,11 @@ class WordTokenizer:
                 except UnicodeEncodeError:
                     out[i] = self.whole(text).tobytes()
                     continue
-            words[i] = _WORDS.findall(text.lower())
+            lower = text.lower()
+            if self.added.search(lower):
+                out[i] = self.whole(text).tobytes()
+                continue
+            words[i] = _WORDS.findall(lower)
             codes[i] = list(map(self.known.get, words[i]))
             if None in codes[i]:
                 new[i] = [k for k, c in enumerate(codes[i]) if c is None]

@@ -118,6 +118,17 @@ def test_packing(spark, texts):
     assert packing.packed(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>the river<|endoftext|>", "a<|ENDOFTEXT|>b", "<|endoftext |> <| startoftext|>", "x" + "<|endoftext|>" * 3, "é <|startoftext|> ß", "<| endoftext |>"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for _ in range(2):
+        got = packing.WordTokenizer(TOKENIZER)(texts * 2)
+        for text, ids in zip(texts * 2, got, strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bin_completion_is_optimal_where_brute_force_can_tell():
     rng = np.random.default_rng(4)
 
