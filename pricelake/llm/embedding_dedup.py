@@ -142,7 +142,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Needs vec_id (long), embedding (array of float) and label (int); returns a row per input row: vec_id, n_links,
     component_id, kept. A vector that is null, empty, zero or has null or non-finite components, or whose label is
     null, links with nothing; vectors of unlike lengths don't link. Rows that repeat are vectors of their own and count
-    as links of each other. An empty table gives an empty result. ``threshold`` must be over 0.
+    as links of each other. component_id is the smallest vec_id of the group; null ids link like any other, and a group of
+    null ids alone has a null component_id. An empty table gives an empty result. ``threshold`` must be over 0.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
@@ -150,7 +151,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable").drop("usable")
-    reps = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    reps = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()))  # vec_id may be null, or be that of unlike vectors
     placed = reps.withColumn("dim", F.size("embedding")).select("label", "dim", "rep", "copies", "embedding")
     placed = placed.mapInArrow(_projections, "label int, dim int, rep long, copies long, embedding array<float>, place double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -171,11 +173,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     groups = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), F.col("component"))
-    reps = reps.join(links, "rep", "left").join(groups, "rep", "left")
+    reps = written(reps.join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    least = reps.groupBy("component").agg(F.min("least").alias("component_id"))
+    reps = reps.drop("least").join(least, "component")
     linked = good.join(reps, ["label", "embedding"]).select(
         "vec_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        "component_id",
     )
     alone = rows.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, written
 from .components import connected_components, forest
+from .near_copies import one_of_each
 
 TILE = 4096
 _PAIRS = 1 << 16
@@ -135,10 +136,10 @@ def _edges(radius: int):
         starts = np.concatenate([[False], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])[: len(rows)]
         label = linked_rows(rows[:, 5].astype(np.int64).view(np.uint64), np.cumsum(starts), rows[:, 4], radius)
         apart = np.flatnonzero(label != np.arange(label.size))
-        return pa.RecordBatch.from_arrays([pa.array(rows[apart, 6]), pa.array(rows[label[apart], 6])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[apart, 5]), pa.array(rows[label[apart], 5])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 7), dtype=np.int64)
+        rest = np.zeros((0, 6), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
                 rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
@@ -162,24 +163,29 @@ def _block_keys(fp, blocks: int, radius: int):
 
 
 def components_of(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """(fp, component) of distinct fingerprints; ``prints`` has doc_id and fp. component is the smallest doc_id reachable."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where(F.col("rep").isNotNull()))
+    """(fp, group, component) of distinct fingerprints; ``prints`` has doc_id and fp.
+
+    group is the smallest fingerprint reachable, and component the smallest doc_id, null if all there are null.
+    """
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = distinct.count()
     blocks = radius + 1
     while n >> (64 * (blocks - radius) // blocks) > 64:  # longer keys, and more of them, for more fingerprints
         blocks += 1
-    keyed = distinct.select("fp", "rep", F.explode(_block_keys(F.col("fp"), blocks, radius)).alias("k")).select("k.choice", "k.key", "fp", "rep")
+    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), blocks, radius)).alias("k")).select("k.choice", "k.key", "fp")
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("m")).where("m > 1")
     rows = keyed.join(sizes, ["choice", "key"]).withColumn("tiles", F.ceil(F.col("m") / tile).cast("long"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
-    rows = rows.select("choice", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "fp", "rep")
+    rows = rows.select("choice", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "fp")
     group = ["choice", "key", "lo", "hi"]
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_edges(radius), "a long, b long")
     found = connected_components(edges)
-    return distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    rooted = written(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
+    least = rooted.groupBy("group").agg(F.min("rep").alias("component"))
+    return rooted.select("fp", "group").join(least, "group").select("fp", "group", "component")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -188,7 +194,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     Needs doc_id and text; other columns are ignored. Returns doc_id, fingerprint (16 hex digits), component_id and
     kept (doc_id = component_id) for each row. Null and empty texts, and texts of white space, have fingerprint zero
     and link like any other; texts of fewer words than a shingle count as one shingle. Repeated rows are in one group.
-    A null doc_id gets a component only from its group. An empty table gives an empty result.
+    A null doc_id gets a component only from its group, and links others like any row. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, width))
     groups = components_of(prints, radius)
@@ -198,6 +204,14 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 
 
 def deduplicated(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """The documents of which one stays for each group: that with the smallest doc_id, once."""
-    kept = near_duplicates(docs, radius, width).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents of which one stays for each group: that with the smallest doc_id, once.
+
+    Groups are of fingerprints, whatever the ids: of a group with null ids alone one document stays, and unlike texts
+    that share an id are each in their own group.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = rows.select(F.col("_row").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    prints = written(numbered.mapInArrow(_fingerprints(width), "doc_id long, fp long").select(F.col("doc_id").alias("_row"), "fp"))
+    ids = prints.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "fp")
+    groups = prints.join(components_of(ids, radius).select("fp", "group"), "fp").select("_row", F.col("group").alias("_group"))
+    return one_of_each(rows.join(groups, "_row"), F.col("_group"), docs.columns)

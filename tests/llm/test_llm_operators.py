@@ -413,3 +413,25 @@ def test_tiles_of_a_hot_key_lose_no_link(spark):
     got = {r["fp"]: r["component"] for r in simhash_dedup.components_of(spark.createDataFrame(rows, "doc_id long, fp long"), tile=32).collect()}
     want = groups(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
     assert [got[fp] for _, fp in rows] == want
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    from pricelake.llm import near_copies
+
+    rng = np.random.default_rng(14)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (3, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "a", None, 0, "x") for i, t in rows], SCHEMA)
+    for kept in (simhash_dedup.deduplicated(docs), near_copies.deduplicated(docs)):
+        assert kept.columns == docs.columns
+        assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == sorted([(a, None), (b, None), (c, 7), (d, 3)])
+    prints = [(1, 0b1), (None, 0b111), (2, 0b11111), (None, 0xFF00)]  # 1 and 2 are linked only through a null id
+    got = {r["fp"]: r["component"] for r in simhash_dedup.components_of(spark.createDataFrame(prints, "doc_id long, fp long")).collect()}
+    assert got == {0b1: 1, 0b111: 1, 0b11111: 1, 0xFF00: None}
+
+
+def test_embeddings_with_null_and_repeated_ids(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.01, 1.0]
+    rows = [(None, x, 1), (5, y, 1), (5, z, 1), (None, [0.0, 0.0, 1.0], 1), (9, [0.01, 1.0, 0.0], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 0, None, True), (5, 1, 5, True), (5, 1, 5, True), (None, 1, 5, False), (9, 1, 5, False)], key=str)
