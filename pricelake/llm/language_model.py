@@ -1,13 +1,16 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-Leaves are the TOP most frequent words and RARE groups of all others by their endings. A leaf's chance is that of its
-class, given the leaves before, times its own within the class, both softmaxes over sums of weights of hashed features:
-the leaves one, two and three before, and the pair before. A word that is no leaf has its add-one share of its group.
-
-Training documents are dealt into STEPS slices, and each slice gives one update: every partition adds up what the
-features saw and what the model expected, and the weights move along the gradient of the log-likelihood scaled by
-the expected counts (a damped iterative scaling step). Each training document counts in the words' counts and in one
-update. Scoring runs over numpy batches of leaves.
+A word's chance is a product of three. The first two are softmaxes over leaves: the TOP most frequent words, and GROUPS
+groups of all others by their endings. Of a leaf, the class is drawn by sums of weights of hashed features (the leaf
+before, the leaf two before, and the pair of both), then the member of the class by those of (leaf before, member) and
+(class of the leaf two before, member). The third, for words in a group, has a feature for each word and class of the
+leaf before that training has seen, so the model grows with the corpus. Those features exclude each other, and
+the maximum of their penalised likelihood is a closed form: (n(word, class) + PRIOR * share) / (n(group, class) + PRIOR).
+
+Both softmaxes are trained by STEPS distributed gradient updates over the whole corpus. Their contexts are counted in one
+pass over all training texts; a step's tasks hold the contexts that begin with some of the leaves, add up what the
+model expects there, and the weights move by seen minus expected, scaled by the expected counts. Scoring runs over
+numpy batches of words, of which only the weights of the features that are present are looked up.
 """
 
 from __future__ import annotations
@@ -19,24 +22,29 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batches_of, fold, written
 from .quality import summed
 
-CLASSES, MEMBERS = 32, 32
+CLASSES, MEMBERS = 32, 64
 LEAVES = CLASSES * MEMBERS
-RARE = 128
-TOP = LEAVES - RARE
-PAIRS, INSIDE = 4096, 4096
-STEPS, SMOOTH = 6, 4.0
-#: Counts of at most so many words, the most frequent, go to every task; those of all others are joined.
-KNOWN = 100_000
-_CHUNK = 1 << 15
+GROUPS = 256
+TOP = LEAVES - GROUPS
+PAIRS = 8192
+STEPS, RATE, DAMPING, RIDGE, LONGEST = 8, 0.5, 2.0, 3.0, 1.0
+PRIOR = 3000.0
+#: Counts of about so many words, the most frequent of at most so many bytes, go to every task; all others are joined.
+KNOWN, KNOWN_BYTES = 100_000, 64
+#: Tasks of a step.
+BANDS = 16
 _START = LEAVES  # the leaf before a text
-_CLASS_ROWS = 3 * (LEAVES + 1) + PAIRS
-_INSIDE_ROWS = 2 * INSIDE
+_WIDTH = LEAVES + 1
+_KINDS = CLASSES + 1  # classes of a leaf before: those of the leaves, and the start
+_CHUNK = 8192
 END = b""
 
 
@@ -48,7 +56,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def group_of(word: bytes) -> int:
-    return TOP + zlib.crc32(word[-3:]) % RARE
+    return zlib.crc32(word[-3:]) % GROUPS
+
+
+def _bytes(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,198 +68,337 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def table() -> pa.RecordBatch:
         words = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([group_of(w) for w in words], pa.int32())],
-            names=["token", "n", "leaf"],
-        )
+        columns = [pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([group_of(w) for w in words], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "n", "word_group"])
 
     for batch in batches_of(batches, 256):
         for text in batch.column(0):
-            seen.update(words_of(text.as_buffer().to_pybytes() if text.is_valid else b""))
-        if len(seen) > 50_000:
+            seen.update(words_of(_bytes(text)))
+        if len(seen) > 100_000:
             yield table()
             seen.clear()
     yield table()
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, c, leaf) over all texts; leaf is the group that the token is in if it is no leaf itself."""
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counts, "token binary, n long, leaf int")
-    return parts.groupBy("token", "leaf").agg(F.sum("n").alias("c"))
+    """(token, word_group, c) over all texts."""
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counts, "token binary, n long, word_group int")
+    return parts.groupBy("token", "word_group").agg(F.sum("n").alias("c"))
 
 
 def frequent_words(counts: DataFrame, most: int = KNOWN) -> list[tuple[bytes, int]]:
-    """The words from the least count on that no more than ``most`` words reach, the most frequent first.
+    """About the ``most`` most frequent words of at most KNOWN_BYTES bytes with their counts, the most frequent first.
 
-    That count is read off a table of how many words are in each 16th of a power of two.
+    The least count is read off a table of how many words are in each 16th of a power of two. Of the step that would be
+    too many, the words with the smallest hashes are taken, so that some are known however many words are tied.
     """
-    step = F.floor(F.log2("c") * 16).cast("int")
-    left, least = most, None
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # under 1,024 rows
-        left -= r["n"]
-        if left < 0:
+    short = counts.where(F.length("token") <= KNOWN_BYTES).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
+    left, least, share = most, -1, 0
+    for r in short.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # under 1,024 rows
+        if r["n"] > left:
+            least, share = r["step"], left * 1_000_000 // r["n"]
             break
-        least = r["step"]
-    if least is None:
-        return []
-    return sorted(((bytes(r["token"]), r["c"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+        left -= r["n"]
+    some = (F.col("step") == least) & (F.pmod(F.xxhash64("token"), F.lit(1_000_000)) < share)
+    found = short.where((F.col("step") > least) | some).select("token", "c").toArrow()
+    words = list(zip(found.column("token").to_pylist(), found.column("c").to_pylist(), strict=True))
+    return sorted(((bytes(w), c) for w, c in words), key=lambda x: (-x[1], x[0]))
 
 
 class Words:
-    """The most frequent words with their counts and leaves, and the totals."""
+    """The most frequent words with their counts, and the leaf of each code: a word's place, or KNOWN and a group."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int, mass: np.ndarray):
+    def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
+        frequent = frequent[:KNOWN]
         self.place = {w: i for i, (w, _) in enumerate(frequent)}
         self.count = np.array([c for _, c in frequent] or [0], dtype=np.float64)
-        self.leaf = np.array([i if i < TOP else group_of(w) for i, (w, _) in enumerate(frequent)] or [0], dtype=np.int16)
+        self.group = np.array([group_of(w) for w, _ in frequent], dtype=np.int64)
+        self.leaf_of = np.full(KNOWN + GROUPS, TOP, dtype=np.int32)
+        self.leaf_of[: len(frequent)] = np.where(np.arange(len(frequent)) < TOP, np.arange(len(frequent)), TOP + self.group)
+        self.leaf_of[KNOWN:] = TOP + np.arange(GROUPS)
         self.base = np.log10((self.count + 1) / (total + distinct + 1))
-        # A word's share of its group; a leaf of its own has it whole.
-        inside = np.log10((self.count + 1) / mass[np.maximum(self.leaf, TOP) - TOP])
-        self.inside = np.where(self.leaf >= TOP, inside, 0.0)
 
 
-def _encoded(words):
+def _encoded(words: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         get, unknown = known.place.get, repeat(-1)
         for batch in batches_of(batches, 32):
-            texts = [words_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(3)]
-            leaves, rare, times, base, inside, sizes, seen = [], [], [], [], [], [], []
-            for text in texts:
+            codes, rare, before, times, base, sizes, seen = [], [], [], [], [], [], []
+            for cell in batch.column(2):
+                text = words_of(_bytes(cell))
                 at = np.fromiter(map(get, text, unknown), dtype=np.int32, count=len(text))
-                leaf = known.leaf[at]
                 others = np.flatnonzero(at < 0)
                 own = [text[i] for i in others.tolist()]
-                leaf[others] = [group_of(w) for w in own]
-                counted = Counter(own)
-                at = at[at >= 0]
-                leaves.append(leaf.tobytes())
-                rare.append(list(counted))
+                base.append(known.base[at[at >= 0]].sum())
+                at[others] = [KNOWN + group_of(w) for w in own]
+                kinds = np.concatenate([[CLASSES], known.leaf_of[at] // MEMBERS])[others]
+                counted = Counter(zip(own, kinds.tolist(), strict=True))
+                codes.append(at.tobytes())
+                rare.append([w for w, _ in counted])
+                before.append([k for _, k in counted])
                 times.append(list(counted.values()))
-                base.append(known.base[at].sum())
-                inside.append(known.inside[at].sum())
                 sizes.append(len(text))
                 seen.append(len(text) - len(own))
-            columns = [pa.array(leaves, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "content", "slice", "leaves", "rare", "times", "base", "inside", "n_tokens", "n_frequent"])
+            columns = [
+                pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(before, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())),
+                pa.array(base, pa.float64()), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "trains", "codes", "rare", "before", "times", "base", "n_tokens", "n_frequent"])
 
     return run
 
 
-_ENCODED = "doc_id long, content long, slice int, leaves binary, rare array<binary>, times array<int>, base double, inside double, n_tokens long, n_frequent long"
+_ENCODED = "doc_id long, trains boolean, codes binary, rare array<binary>, before array<int>, times array<int>, base double, n_tokens long, n_frequent long"
 
 
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the leaves of texts one after another: the leaf, the rows of its class's features, and the rows within the class."""
-    n = sum(t.size for t in texts)
-    line = np.full(n + 3 * len(texts), _START, dtype=np.int32)
-    real = np.zeros(line.size, dtype=bool)
-    at = 0
-    for t in texts:
-        line[at + 3 : at + 3 + t.size] = t
-        real[at + 3 : at + 3 + t.size] = True
-        at += 3 + t.size
-    here = np.flatnonzero(real)
-    leaf, one, two, three = line[here], line[here - 1], line[here - 2], line[here - 3]
-    pair = ((one * 40503 + two * 30011) >> 3) % PAIRS
-    width = LEAVES + 1
-    outer = np.stack([one, width + two, 2 * width + three, 3 * width + pair]).astype(np.int16)
-    kind = leaf // MEMBERS
-    inner = np.stack([((one * 32 + kind) * 40503 >> 4) % INSIDE, INSIDE + ((two * 32 + kind) * 40503 >> 4) % INSIDE]).astype(np.int16)
-    return leaf, outer, inner
+def pair_rows(one: np.ndarray | int, two: np.ndarray) -> np.ndarray:
+    """Rows of the hashed pairs of leaves; no two of a leaf ``one`` share a row."""
+    return (one * 40503 + two) % PAIRS
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def contexts(leaves: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf before and the leaf two before of each, of texts of ``sizes`` leaves one after another."""
+    line = np.full(leaves.size + 2 * sizes.size, _START, dtype=np.int64)
+    here = np.arange(leaves.size) + 2 * np.repeat(np.arange(1, sizes.size + 1), sizes)
+    line[here] = leaves
+    return line[here - 1], line[here - 2]
 
 
-class Model:
-    """Weights of both softmaxes; biases start at the leaves' shares of the training tokens."""
+#: Numbers counted for each leaf before: of leaves two before, of leaves, of classes of the leaf two before and classes.
+_ROW = _WIDTH + LEAVES + _KINDS * CLASSES
+#: And those counted besides: pairs and classes, leaves two before and classes, classes two before and leaves, groups and classes before.
+_SHARED = np.cumsum([0, PAIRS * CLASSES, _WIDTH * CLASSES, _KINDS * LEAVES, GROUPS * _KINDS, KNOWN * _KINDS])
+
+
+def _gathered(words: Broadcast):
+    """Counts of a partition's contexts: rows (chunk, places, counts) of those that aren't 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf_of = words.value.leaf_of
+        rows, shared = np.zeros((_WIDTH, _ROW), dtype=np.int32), np.zeros(_SHARED[-1], dtype=np.int32)
+        flat = rows.reshape(-1)
+        held: list[np.ndarray] = []
+        some = False
+
+        def add() -> None:
+            codes = np.concatenate(held)
+            leaf = leaf_of[codes].astype(np.int64)
+            one, two = contexts(leaf, np.array([h.size for h in held]))
+            kind, skip, last = leaf // MEMBERS, two // MEMBERS, one // MEMBERS
+            at = one * _ROW
+            for key in (at + two, at + _WIDTH + leaf, at + _WIDTH + LEAVES + skip * CLASSES + kind):
+                found, n = np.unique(key, return_counts=True)
+                flat[found] += n.astype(np.int32)
+            grouped = codes >= TOP
+            group, last = leaf[grouped] - TOP, last[grouped]
+            word = np.flatnonzero(codes[grouped] < KNOWN)
+            keys = (pair_rows(one, two) * CLASSES + kind, two * CLASSES + kind, skip * LEAVES + leaf, group * _KINDS + last, codes[grouped][word] * _KINDS + last[word])
+            for start, key in zip(_SHARED, keys, strict=False):
+                found, n = np.unique(key, return_counts=True)
+                shared[start + found] += n.astype(np.int32)
+            held.clear()
+
+        def sparse(chunk: int, numbers: np.ndarray) -> tuple | None:
+            found = np.flatnonzero(numbers)
+            return (chunk, found.astype(np.int32).tobytes(), numbers[found].tobytes()) if found.size else None
+
+        waiting = 0
+        for batch in batches_of(batches, 256):
+            for cell in batch.column(0):
+                held.append(np.frombuffer(cell.as_buffer(), dtype=np.int32))
+                waiting, some = waiting + held[-1].size, True
+                if waiting > 500_000:
+                    add()
+                    waiting = 0
+        if held:
+            add()
+        if not some:
+            return
+        out = [sparse(one, rows[one]) for one in range(_WIDTH)]
+        out += [sparse(_WIDTH + i, shared[i * _CHUNK : (i + 1) * _CHUNK]) for i in range(-(-shared.size // _CHUNK))]
+        out = [x for x in out if x]
+        for at in range(0, len(out), 256):
+            columns = list(zip(*out[at : at + 256], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "places", "counts"])
+
+    return run
 
-    def __init__(self, counts: np.ndarray):
-        share = ((counts + 0.5) / (counts.sum() + 0.5 * LEAVES)).reshape(CLASSES, MEMBERS)
-        self.outer_bias = np.log(share.sum(axis=1)).astype(np.float32)
-        self.inner_bias = np.log(share).astype(np.float32)
-        self.outer = np.zeros((_CLASS_ROWS, CLASSES), dtype=np.float32)
-        self.inner = np.zeros((_INSIDE_ROWS, MEMBERS), dtype=np.float32)
 
-    def chances(self, leaf: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kind = leaf // MEMBERS
-        return _softmax(self.outer, self.outer_bias, outer), _softmax(self.inner, self.inner_bias[kind], inner)
+def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by chunk; one row of all its numbers for each."""
 
-    def log10(self, leaf: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        out = np.zeros(leaf.size)
-        for at in range(0, leaf.size, _CHUNK):
-            own = leaf[at : at + _CHUNK]
-            p, q = self.chances(own, outer[:, at : at + _CHUNK], inner[:, at : at + _CHUNK])
-            row = np.arange(own.size)
-            out[at : at + _CHUNK] = np.log10(np.maximum(p[row, own // MEMBERS], 1e-30)) + np.log10(np.maximum(q[row, own % MEMBERS], 1e-30))
-        return out
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "numbers"])
 
-    def update(self, sums: np.ndarray) -> None:
-        """One scaled gradient step from the seen and expected counts of both tables."""
-        outer, inner = self.outer.size, self.inner.size
-        seen_outer, made_outer, seen_inner, made_inner = np.split(sums, np.cumsum([outer, outer, inner]))
-        step = lambda seen, made, families: np.clip(np.log((seen + SMOOTH) / (made + SMOOTH)), -2, 2) / families
-        self.outer += step(seen_outer, made_outer, 3).reshape(self.outer.shape).astype(np.float32)
-        self.inner += step(seen_inner, made_inner, 2).reshape(self.inner.shape).astype(np.float32)
+    chunk, total = None, np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for now, places, counts in zip(*batch.columns, strict=True):
+            if now.as_py() != chunk:
+                if chunk is not None:
+                    yield row()
+                chunk = now.as_py()
+                total = np.zeros(_ROW if chunk < _WIDTH else _CHUNK, dtype=np.int64)
+            total[np.frombuffer(places.as_buffer(), dtype=np.int32)] += np.frombuffer(counts.as_buffer(), dtype=np.int32)
+    if chunk is not None:
+        yield row()
 
 
-def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    into[ordered[starts]] += np.add.reduceat(values[order], starts, axis=0)
+def gathered(rows: DataFrame, words: Broadcast) -> tuple[DataFrame, list[np.ndarray]]:
+    """The counts of contexts by leaf before, in BANDS files, and those that all leaves share."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sparse = rows.where("trains").select("codes").mapInArrow(_gathered(words), "chunk int, places binary, counts binary")
+    sums = written(sparse.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_sums, "chunk int, numbers binary"))
+    shared = np.zeros(-(-_SHARED[-1] // _CHUNK) * _CHUNK, dtype=np.float32)
+    found = sums.where(F.col("chunk") >= _WIDTH).toArrow()  # as many numbers as the model has places, whatever the input
+    for chunk, numbers in zip(found.column("chunk").to_pylist(), found.column("numbers"), strict=True):
+        shared[(chunk - _WIDTH) * _CHUNK :][:_CHUNK] = np.frombuffer(numbers.as_buffer(), dtype=np.int64)
+    split = [shared[a:b] for a, b in zip(_SHARED[:-1], _SHARED[1:], strict=True)]
+    return written(sums.where(F.col("chunk") < _WIDTH).repartition(BANDS)), split
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 64):
-    for batch in batches_of(batches, rows):
-        yield batch, [np.frombuffer(v.as_buffer(), dtype=np.int16) for v in batch.column(column)]
+def _moved(seen: np.ndarray, made: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A step along the gradient, seen minus expected less the ridge's pull, scaled by the expected counts."""
+    return (RATE * np.clip((seen - made - RIDGE * weights) / (made + DAMPING), -LONGEST, LONGEST)).astype(np.float32)
 
 
-def _sums(model):
-    """Seen and expected counts of a partition, one row of doubles for the tree of sums."""
+class Model:
+    """Weights of both softmaxes; biases are the logarithms of the leaves' shares of the training tokens."""
+
+    def __init__(self, counts: np.ndarray):
+        share = ((counts + 0.5) / (counts.sum() + 0.5 * LEAVES)).reshape(CLASSES, MEMBERS)
+        self.class_bias, self.leaf_bias = np.log(share.sum(axis=1)).astype(np.float32), np.log(share).ravel().astype(np.float32)
+        self.one, self.two, self.pair = (np.zeros((n, CLASSES), dtype=np.float32) for n in (_WIDTH, _WIDTH, PAIRS))
+        self.next, self.skip = np.zeros((_WIDTH, LEAVES), dtype=np.float32), np.zeros((_KINDS, LEAVES), dtype=np.float32)
+
+    def class_weights(self, one: int, two: np.ndarray) -> np.ndarray:
+        """exp of the sums of weights of each class, a row for each leaf two before."""
+        return np.exp(self.class_bias + self.one[one] + self.two[two] + self.pair[pair_rows(one, two)])
+
+    def leaf_weights(self, one: int, skip: np.ndarray) -> np.ndarray:
+        """exp of the sums of weights of each leaf, a row for each class of the leaf two before."""
+        return np.exp(self.leaf_bias + self.next[one] + self.skip[skip])
+
+    def normalise(self) -> None:
+        """Tables of the logarithms of both normalisers, after which chances are looked up."""
+        every, kinds = np.arange(_WIDTH), np.arange(_KINDS)
+        self.class_total, self.leaf_total = np.empty((_WIDTH, _WIDTH), dtype=np.float32), np.empty((_WIDTH, _KINDS, CLASSES), dtype=np.float32)
+        for one in range(_WIDTH):
+            self.class_total[one] = np.log(self.class_weights(one, every).sum(axis=1))
+            self.leaf_total[one] = np.log(self.leaf_weights(one, kinds).reshape(_KINDS, CLASSES, MEMBERS).sum(axis=2))
+
+    def log10(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        kind, skip = leaf // MEMBERS, two // MEMBERS
+        outer = self.class_bias[kind] + self.one[one, kind] + self.two[two, kind] + self.pair[pair_rows(one, two), kind] - self.class_total[one, two]
+        inner = self.leaf_bias[leaf] + self.next[one, leaf] + self.skip[skip, leaf] - self.leaf_total[one, skip, kind]
+        return (outer.astype(np.float64) + inner) / np.log(10)
+
+
+def _expected(shared: Broadcast):
+    """A step's part for the leaves before that a task has: their weights' moves, and sums for the weights that all share (place -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        seen = [np.zeros(m.outer.size), np.zeros(m.inner.size)]
-        made = [np.zeros(m.outer.shape, dtype=np.float32), np.zeros(m.inner.shape, dtype=np.float32)]
+        m = shared.value
+        two_sum, pair_sum, skip_sum = np.zeros((_WIDTH, CLASSES)), np.zeros((PAIRS, CLASSES)), np.zeros((_KINDS, LEAVES))
         some = False
-        for _, texts in _texts(batches, 0):
-            leaf, outer, inner = contexts(texts)
-            for at in range(0, leaf.size, _CHUNK):
+        for batch in batches_of(batches, 64):
+            moves = []
+            for one, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 some = True
-                own, x, y = leaf[at : at + _CHUNK], outer[:, at : at + _CHUNK], inner[:, at : at + _CHUNK]
-                p, q = m.chances(own, x, y)
-                for k, (rows, width, to, chance) in enumerate(((x, CLASSES, own // MEMBERS, p), (y, MEMBERS, own % MEMBERS, q))):
-                    for r in rows:
-                        seen[k] += np.bincount(r.astype(np.int64) * width + to, minlength=seen[k].size)
-                        _add_rows(made[k], r, chance)
+                counts = np.frombuffer(numbers.as_buffer(), dtype=np.int64)
+                before, seen, skips = counts[:_WIDTH], counts[_WIDTH : _WIDTH + LEAVES], counts[_WIDTH + LEAVES :].reshape(_KINDS, CLASSES)
+                two = np.flatnonzero(before)
+                p = m.class_weights(one, two)
+                p *= (before[two] / p.sum(axis=1))[:, None].astype(np.float32)
+                two_sum[two] += p
+                pair_sum[pair_rows(one, two)] += p
+                skip = np.flatnonzero(skips.any(axis=1))
+                q = m.leaf_weights(one, skip).reshape(-1, CLASSES, MEMBERS)
+                q *= (skips[skip] / q.sum(axis=2))[:, :, None].astype(np.float32)
+                q = q.reshape(-1, LEAVES)
+                skip_sum[skip] += q
+                move = _moved(seen.reshape(CLASSES, MEMBERS).sum(axis=1), p.sum(axis=0), m.one[one]), _moved(seen, q.sum(axis=0), m.next[one])
+                moves.append(np.concatenate(move).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(moves, pa.binary())], names=["place", "part"])
         if some:
-            sums = np.concatenate([seen[0], made[0].ravel(), seen[1], made[1].ravel()]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["part"])
+            sums = np.concatenate([two_sum.ravel(), pair_sum.ravel(), skip_sum.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["place", "part"])
 
     return run
 
 
-def _scores(model):
+def trained(bands: DataFrame, shared: list[np.ndarray], leaf_counts: np.ndarray, steps: int = STEPS) -> Model:
+    """The model after ``steps`` gradient updates, each over all contexts of the corpus."""
+    sc, model = bands.sparkSession.sparkContext, Model(leaf_counts)
+    seen_pair, seen_two, seen_skip = (s.reshape(-1, n) for s, n in zip(shared[:3], (CLASSES, CLASSES, LEAVES), strict=True))
+    for _ in range(steps):
+        sent = sc.broadcast(model)
+        parts = written(bands.mapInArrow(_expected(sent), "place int, part binary"))
+        total = summed(parts.where("place = -1").select("part"), BANDS)
+        if total is None:
+            break
+        moves = parts.where("place >= 0").toArrow()  # as many numbers as the model has weights
+        for one, part in zip(moves.column("place").to_pylist(), moves.column("part"), strict=True):
+            move = np.frombuffer(part.as_buffer(), dtype=np.float32)
+            model.one[one] += move[:CLASSES]
+            model.next[one] += move[CLASSES:]
+        two, pair, skip = np.split(total, np.cumsum([model.two.size, model.pair.size]))
+        model.two += _moved(seen_two, two.reshape(model.two.shape), model.two)
+        model.pair += _moved(seen_pair, pair.reshape(model.pair.shape), model.pair)
+        model.skip += _moved(seen_skip, skip.reshape(model.skip.shape), model.skip)
+        sent.destroy()
+    return model
+
+
+class WordChances:
+    """log10 of the chance of a known word of a group, by the class of the leaf before; groups' counts for all other words."""
+
+    def __init__(self, words: Words, mass: np.ndarray, group_counts: np.ndarray, word_counts: np.ndarray):
+        n = len(words.place)
+        self.least = np.log10(group_counts.reshape(GROUPS, _KINDS) + PRIOR)
+        share = (words.count[:n] + 1) / mass[words.group]
+        found = word_counts.reshape(KNOWN, _KINDS)[:n] + (PRIOR * share)[:, None]
+        self.known = (np.log10(found) - self.least[words.group]).astype(np.float32)
+
+
+def _scores(words: Broadcast, model: Broadcast, chances: Broadcast):
+    """The sum over a text's tokens, but for the counts of words that aren't known."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches, batch_column):
-            value = model.value.log10(*contexts(texts)) if texts else np.zeros(0)
-            starts = np.concatenate([[0], np.cumsum([t.size for t in texts])[:-1]]).astype(np.int64)
-            scores = np.add.reduceat(value, starts) if value.size else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "leaf_score"])
+        leaf_of, m, inside = words.value.leaf_of, model.value, chances.value
+        for batch in batches_of(batches, 128):
+            texts = [np.frombuffer(v.as_buffer(), dtype=np.int32) for v in batch.column(1)]
+            if texts:
+                sizes, codes = np.array([t.size for t in texts]), np.concatenate(texts)
+                leaf = leaf_of[codes].astype(np.int64)
+                one, two = contexts(leaf, sizes)
+                value = m.log10(leaf, one, two)
+                known = np.flatnonzero((codes >= TOP) & (codes < KNOWN))
+                value[known] += inside.known[codes[known], one[known] // MEMBERS]
+                rare = np.flatnonzero(codes >= KNOWN)
+                value[rare] -= inside.least[codes[rare] - KNOWN, one[rare] // MEMBERS]
+                made = np.add.reduceat(value, np.cumsum(sizes) - sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["row", "model_score"])
 
-    batch_column = 6
     return run
 
 
+def _rare_parts(rows: DataFrame, total: int, distinct: int, mass: np.ndarray) -> DataFrame:
+    """By row: what words that aren't known add to its sums. All of a word's rows meet in one task, which counts it."""
+    each = rows.select("row", "trains", F.explode(F.arrays_zip("rare", "before", "times")).alias("r"))
+    each = each.select("row", F.col("r.rare").alias("token"), F.col("r.before").alias("k"), F.col("r.times").alias("m"), F.when(F.col("trains"), F.col("r.times")).otherwise(0).alias("learnt"))
+    each = each.withColumn("n", F.sum("learnt").over(Window.partitionBy("token", "k")))
+    each = each.withColumn("c", F.sum("learnt").over(Window.partitionBy("token")))
+    ending = F.when(F.length("token") > 3, F.expr("substring(token, length(token) - 2, 3)")).otherwise(F.col("token"))
+    masses = F.array(*[F.lit(float(m)) for m in mass])
+    share = (F.col("c") + 1) / masses[F.pmod(F.crc32(ending), F.lit(GROUPS)).cast("int")]
+    return each.groupBy("row").agg(
+        F.sum(F.col("m") * (F.log10(F.col("c") + 1) - float(np.log10(total + distinct + 1)))).alias("more_base"),
+        F.sum(F.col("m") * F.log10(F.col("n") + PRIOR * share)).alias("more_score"),
+        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"),
+    )
+
+
 def scored(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     """log10 probabilities of each whole text by a unigram baseline and by the model.
 
@@ -256,60 +407,37 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     learnt from and its held_out is null. Null and empty texts have the end token alone. Repeated rows are scored each, and
     count each. Without training tokens every base probability is 1. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    part = F.pmod(fold(), F.lit(folds))
-    trains = F.coalesce(part != held_out, F.lit(False))
+    sc = docs.sparkSession.sparkContext
+    trains = F.coalesce(F.pmod(fold(), F.lit(folds)) != held_out, F.lit(False))
     counts = written(token_counts(docs.where(trains)))
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = frequent_words(counts)
-    top = [w for w, _ in frequent[:TOP]]
-    own_leaf = F.col("token").isin([F.lit(bytearray(w)) for w in top]) if top else F.lit(False)
-    groups = counts.where(~own_leaf).groupBy("leaf").agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("mass")).collect()
-    mass, leaf_counts = np.ones(RARE), np.zeros(LEAVES)
-    leaf_counts[: len(top)] = [c for _, c in frequent[:TOP]]
+    groups = counts.groupBy("word_group").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # GROUPS rows at most
+    total, distinct = sum(r["c"] for r in groups), sum(r["v"] for r in groups)
+    known = Words(frequent_words(counts), total, distinct)
+    # A group's mass is that of its words that are no leaves, and one word more for all that training has not seen.
+    mass, leaf_counts, top = np.ones(GROUPS), np.zeros(LEAVES), min(TOP, len(known.place))
+    leaf_counts[:top] = known.count[:top]
     for r in groups:
-        mass[r["leaf"] - TOP] += r["mass"]
-        leaf_counts[r["leaf"]] += r["c"]
-
-    words = spark.sparkContext.broadcast(Words(frequent, totals["n"], totals["v"], mass))
-    slice_ = F.when(trains, F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(STEPS)).cast("int")).otherwise(-1)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), slice_.alias("slice"), F.col("text").cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(_encoded(words), _ENCODED), partition_by=["slice"])
-
-    model = Model(leaf_counts)
-    for step in range(STEPS):
-        part_rows = rows.where(F.col("slice") == step).select("leaves")
-        shared = spark.sparkContext.broadcast(model)
-        sums = summed(part_rows.mapInArrow(_sums(shared), "part binary"), part_rows.rdd.getNumPartitions())
-        if sums is not None:
-            model.update(sums)
-    shared = spark.sparkContext.broadcast(model)
-    kept = rows.select("doc_id", "content", "base", "inside", "n_tokens", "n_frequent", "leaves")
-    schema = "doc_id long, content long, base double, inside double, n_tokens long, n_frequent long, leaf_score double"
-    kept = written(kept.mapInArrow(_scores(shared), schema))
-
-    rare = rows.select("doc_id", "content", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("doc_id", "content", F.col("r.rare").alias("token"), F.col("r.times").alias("m"))
-    chances = [(TOP + i, float(m)) for i, m in enumerate(mass)]
-    table = F.create_map(*[F.lit(x) for kv in chances for x in kv])
-    rare = rare.join(counts.select("token", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    group = F.lit(TOP) + F.pmod(F.crc32(F.when(F.length("token") > 3, F.expr("substring(token, length(token) - 2, 3)")).otherwise(F.col("token"))), F.lit(RARE))
-    rare = rare.withColumn("log", F.log10(F.col("c") + 1)).groupBy("doc_id", "content").agg(
-        F.sum(F.col("m") * (F.col("log") - float(np.log10(totals["n"] + totals["v"] + 1)))).alias("more_base"),
-        F.sum(F.col("m") * (F.col("log") - F.log10(table[group.cast("int")]))).alias("more_inside"),
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"),
-    )
-    copies = kept.groupBy("doc_id", "content").agg(F.count("*").alias("copies"))  # equal rows have had equal parts
-    rare = rare.join(copies, rare["doc_id"].eqNullSafe(copies["doc_id"]) & (rare["content"] == copies["content"])).select(
-        rare["doc_id"].alias("_doc"), rare["content"].alias("_content"), *[(F.col(c) / F.col("copies")).alias(c) for c in ("more_base", "more_inside", "more_known")]
-    )
-    out = kept.join(rare, kept["doc_id"].eqNullSafe(F.col("_doc")) & (kept["content"] == F.col("_content")), "left")
-    more = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        mass[r["word_group"]] += r["c"] + r["v"]
+        leaf_counts[TOP + r["word_group"]] += r["c"]
+    np.subtract.at(mass, known.group[:top], known.count[:top] + 1)
+    np.subtract.at(leaf_counts, TOP + known.group[:top], known.count[:top])
+
+    words = sc.broadcast(known)
+    rows = docs.select("doc_id", trains.alias("trains"), F.col("text").cast("binary").alias("text")).mapInArrow(_encoded(words), _ENCODED)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    bands, shared = gathered(rows, words)
+    chances = sc.broadcast(WordChances(known, mass, shared[3], shared[4]))
+    model = trained(bands, shared[:3], leaf_counts)
+    model.normalise()
+    sums = rows.select("row", "codes").mapInArrow(_scores(words, sc.broadcast(model), chances), "row long, model_score double")
+    out = rows.select("row", "doc_id", "n_tokens", "n_frequent", "base").join(written(sums), "row").join(_rare_parts(rows, total, distinct, mass), "row", "left")
+    more = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id",
         (F.pmod(fold(), F.lit(folds)) == held_out).alias("held_out"),
         "n_tokens",
-        (F.col("n_frequent") * F.lit(int(bool(frequent))) + F.round(more("more_known"))).cast("long").alias("n_known"),
-        F.lit(totals["n"]).cast("long").alias("train_tokens"),
+        (F.col("n_frequent") + more("more_known")).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + more("more_base")).alias("base_score"),
-        (F.col("leaf_score") + F.col("inside") + more("more_inside")).alias("score"),
+        (F.col("model_score") + more("more_score")).alias("score"),
     )

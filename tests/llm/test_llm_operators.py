@@ -260,16 +260,65 @@ def test_language_model(spark, texts):
     assert language_model.scored(documents(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_language_model_sums_to_one():
+def test_language_model_of_null_and_repeated_rows(spark):
+    rows = [(None, "a b c"), (1, "a b"), (1, "a b"), (2, None), (None, "a b")]
+    got = language_model.scored(spark.createDataFrame([(i, t, "en", "a", None, 0, "x") for i, t in rows], SCHEMA)).collect()
+    assert len(got) == 5 and all(r["held_out"] is None for r in got if r["doc_id"] is None)
+    learnt = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    assert {r["train_tokens"] for r in got} == {sum(len((t or "").split()) + 1 for t in learnt)}
+    twice = [r for r in got if r["doc_id"] == 1]
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_language_model_chances_sum_to_one():
     rng = np.random.default_rng(7)
     model = language_model.Model(rng.integers(0, 50, language_model.LEAVES).astype(float))
-    model.outer += rng.standard_normal(model.outer.shape).astype(np.float32) * 0.3
-    model.inner += rng.standard_normal(model.inner.shape).astype(np.float32) * 0.3
-    before = rng.integers(0, language_model.LEAVES, 5).astype(np.int16)
-    total = 0.0
-    for leaf in range(language_model.LEAVES):
-        total += 10 ** model.log10(*language_model.contexts([np.append(before, leaf).astype(np.int16)]))[-1]
-    assert total == pytest.approx(1, abs=1e-4)
+    for name in ("one", "two", "pair", "next", "skip"):
+        weights = getattr(model, name)
+        weights += rng.standard_normal(weights.shape).astype(np.float32) * 0.3
+    model.normalise()
+    leaf = np.arange(language_model.LEAVES)
+    for one, two in ((5, 1900), (language_model.LEAVES, language_model.LEAVES), (2047, 0)):
+        assert (10 ** model.log10(leaf, np.full_like(leaf, one), np.full_like(leaf, two))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_language_model_words_of_a_group_sum_to_one(monkeypatch):
+    monkeypatch.setattr(language_model, "KNOWN", 2000)
+    frequent = [(b"w%d" % i, 5000 - i) for i in range(2000)]
+    words = language_model.Words(frequent, 10_000_000, 2000)
+    top, kinds = language_model.TOP, 33
+    mass = np.ones(language_model.GROUPS)
+    np.add.at(mass, words.group[top:], words.count[top:] + 1)
+    seen = np.random.default_rng(3).integers(0, 9, (2000, kinds))
+    seen[:top] = 0
+    group = np.zeros((language_model.GROUPS, kinds))
+    np.add.at(group, words.group[top:], seen[top:])
+    known = language_model.WordChances(words, mass, group.ravel(), seen.ravel()).known
+    total = np.zeros((language_model.GROUPS, kinds))
+    np.add.at(total, words.group[top:], 10.0 ** known[top:])
+    unseen = language_model.PRIOR / mass[:, None] / (group + language_model.PRIOR)
+    assert np.abs(total + unseen - 1).max() < 1e-4
+
+
+def test_language_model_gradient_raises_the_likelihood_and_beats_the_base(spark):
+    rng = np.random.default_rng(8)
+    follows = {w: [WORDS[(i * 7 + k) % len(WORDS)] for k in range(3)] for i, w in enumerate(WORDS)}
+
+    def walk(n):
+        out = [WORDS[int(rng.integers(len(WORDS)))]]
+        for _ in range(n):
+            out.append(follows[out[-1]][int(rng.integers(3))])
+        return " ".join(out)
+
+    docs = documents(spark, [walk(200) + f" once{i}" for i in range(150)])
+    got = [r for r in language_model.scored(docs).collect() if r["held_out"]]
+    assert len(got) > 10 and all(r["score"] > 0.75 * r["base_score"] for r in got)
+
+
+def test_frequent_words_when_all_are_tied(spark):
+    counts = spark.createDataFrame([(b"w%d" % i, 0, 1) for i in range(3000)] + [(b"x" * 500, 0, 10**9)], "token binary, word_group int, c long")
+    got = language_model.frequent_words(counts, 1000)
+    assert 800 < len(got) < 1200 and all(len(w) < 64 for w, _ in got)
 
 
 def test_secrets(spark):
