@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprints, language_model, mixing, packing, quality, secret_scan, simhash_dedup, toxicity, url_filter
+from . import embedding_dedup, fingerprints, language_model, mixing, oracle, packing, quality, secret_scan, simhash_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL

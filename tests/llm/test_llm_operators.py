@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricelake.llm import embedding_dedup, fingerprints, language_model, mixing, packing, quality, secret_scan, simhash_dedup, toxicity, url_filter
+from pricelake.llm import embedding_dedup, fingerprints, language_model, mixing, oracle, packing, quality, secret_scan, simhash_dedup, toxicity, url_filter
 from pricelake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _bucket int, words string"
@@ -352,26 +352,84 @@ def test_normal_tail(spark):
 def test_mixing(spark, texts):
     sources = [["b", "a", None, "é", "Z"][i % 5] for i in range(len(texts))]
     docs = documents(spark, texts, sources)
-    got = {r["doc_id"]: r for r in mixing.taken_words(docs).collect()}
     sizes = [len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for t in texts]
     totals = Counter()
     for s, n in zip(sources, sizes, strict=True):
         totals[s] += n
     order = sorted({s for s in sources if s is not None}) + [None]
     goal = dict(zip(order, mixing.targets([totals[s] for s in order], [3, 1, 2, 3, 1], 1.5 * sum(sizes)), strict=True))
-    taken = Counter()
-    for i, s in enumerate(sources):
-        r = got[i]
-        assert (r["size"], r["source_size"]) == (sizes[i], totals[s]) and r["target"] == pytest.approx(goal[s]) and 0 <= r["taken"] <= 2 * sizes[i]
-        taken[s] += r["taken"]
-    assert all(abs(taken[s] - goal[s]) <= 1 for s in order) and sum(goal.values()) == pytest.approx(1.5 * sum(sizes))
-    assert {r["doc_id"]: r["taken"] for r in mixing.taken_words(docs).collect()} == {i: r["taken"] for i, r in got.items()}
-    out = mixing.mixed(docs)
-    words = sum(len(re.findall(rb"[^\x20\x09-\x0D]+", r["text"].encode())) for r in out.collect())
-    assert out.columns == docs.columns and words == sum(taken.values())
-    assert mixing.taken_words(docs.limit(0)).count() == 0
-    twice = documents(spark, ["a b c d", "e f"]).withColumn("doc_id", F.lit(1).cast("long"))
-    assert [r["taken"] for r in mixing.taken_words(twice.union(twice)).collect()].count(None) == 0
+    words = {s: min(2 * totals[s], math.floor(g + 0.5)) for s, g in goal.items()}
+    made = {}
+    for golden in (mixing.GOLDEN, 0.1):
+        # Brute force: walk the schedule slot by slot, and let each slot take the next block of its source's line.
+        block = max(1, -(-sum(words.values()) // mixing.LEAST_BLOCKS))
+        slots = -(-sum(words.values()) // block)
+        dealt = defaultdict(list)
+        for slot in range(slots):
+            at, high = math.modf(slot * golden)[0] * sum(words.values()), 0
+            for s in order:
+                high += words[s]
+                if at < high:
+                    dealt[s].append(slot)
+                    break
+        take = {s: n if (n := len(dealt[s]) * block) <= 2 * totals[s] and abs(n - words[s]) <= mixing.NEAR * words[s] else words[s] for s in order}
+        late = sorted((k - len(dealt[s]), order.index(s)) for s in order for k in range(len(dealt[s]), -(-take[s] // block)))
+        for j, (_, number) in enumerate(late):
+            dealt[order[number]].append(slots + j)
+        taken, first = Counter(), {}
+        for s in order:
+            line = sorted((hashlib.md5(f"7:{i}".encode()).hexdigest(), i) for i in range(len(texts)) if sources[i] == s)
+            owner = [i for _, i in line * 2 for _ in range(sizes[i])][: take[s]]
+            for at, i in enumerate(owner):
+                taken[i] += 1
+                first.setdefault(i, dealt[s][at // block])
+        rows = mixing.taken_words(docs, golden=golden).collect()
+        made[golden] = {r["doc_id"]: (r["taken"], r["first_slot"]) for r in rows}
+        assert made[golden] == {i: (taken[i], first.get(i)) for i in range(len(texts))}
+        assert all(r["size"] == sizes[i] and r["source_size"] == totals[sources[i]] and r["target"] == pytest.approx(goal[sources[i]]) for r in rows for i in [r["doc_id"]])
+        assert all(taken[i] <= 2 * n for i, n in enumerate(sizes))
+        for s in order:
+            assert abs(sum(taken[i] for i in range(len(texts)) if sources[i] == s) - goal[s]) <= mixing.NEAR * goal[s] + 1
+    assert {i: f for i, (_, f) in made[0.1].items()} != {i: f for i, (_, f) in made[mixing.GOLDEN].items()}
+    out = mixing.mixed(docs, with_slot=True).collect()
+    again = Counter()
+    for r in out:
+        again[r["doc_id"]] += len(r["text"].split())
+    assert all(again[i] == n for i, (n, _) in made[mixing.GOLDEN].items()) and {r["_slot"] for r in out} >= {f for _, f in made[mixing.GOLDEN].values() if f is not None}
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_deals_by_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 2000)
+    docs = documents(spark, [f"w{i} " * 20 for i in range(300)], [f"s{i % 3}" for i in range(300)])
+    taken = [{r["doc_id"]: r["taken"] for r in mixing.taken_words(docs, golden=g).collect()} for g in (mixing.GOLDEN, 0.1)]
+    assert taken[0] != taken[1] and all(abs(sum(t.values()) - 9000) <= 0.006 * 9000 for t in taken)
+
+
+def test_mixing_of_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d", None, 5), (1, "a b c d", None, 6), (None, "e f", "x", 7), (2, None, "x", 8), (3, "", None, 9)], "doc_id long, text string, source string, row int")
+    docs = docs.withColumn("doc", F.lit("d")).withColumn("slot", F.lit(0)).withColumn("_doc", F.lit("q")).withColumn("number", F.lit(3))
+    out = mixing.mixed(docs).collect()
+    assert Counter((r["row"], len(r["text"].split())) for r in out) and {r["row"] for r in out} <= {5, 6, 7}
+    assert sum(r["taken"] for r in mixing.taken_words(docs).collect()) == sum(len(r["text"].split()) for r in out) == 15
+    assert mixing.taken_words(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+    assert [r["taken"] for r in mixing.taken_words(docs.where("doc_id > 1")).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
+def test_oracle_sql(spark, name):
+    import duckdb
+
+    from pricelake.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    want = con.execute(oracle.SQL[name]).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in queries.QUERIES[name](spark, sf_dir).collect()]
+    key = lambda r: str([(k, round(v, 9) if isinstance(v, float) else v) for k, v in sorted(r.items())])
+    assert len(want) > 100 and sorted(map(key, got)) == sorted(map(key, want))
 
 
 def test_targets():
