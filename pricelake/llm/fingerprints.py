@@ -17,15 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import batches_of, written
+from .common import batches_of
 
 WINDOW, NEIGHBOURS, POPULAR = 12, 16, 6
 FILTER, FULL, HASHES = 256, 160, 5
 LEVELS = 512
-#: Documents in a bucket of consecutive ids.
-BUCKET = 512
 
 # c*log2(c) for the counts c in a window as whole numbers, so that a window's level does not depend on where it is.
 _SCALE = 1 << 16
@@ -138,78 +137,82 @@ def ranks(docs: DataFrame) -> np.ndarray:
     return rank
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """The input's columns and fingerprint, a text in base64. Null texts count as empty; equal texts have equal ones."""
+def with_fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
+    """The input's columns and the fingerprint, a text in base64; a column that is called ``name`` already is replaced.
+
+    Null texts count as empty; equal texts have equal fingerprints. Levels are counted over all texts of ``docs``.
+    """
     rank = docs.sparkSession.sparkContext.broadcast(ranks(docs))
-    rows = docs.withColumn("_raw", F.col("text").cast("binary"))
+    rest = [f for f in docs.schema.fields if f.name != name]
+    at = docs.columns.index("text")
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 256):
-            made = [base64.b64encode(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", rank.value)).decode() for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=[*batch.schema.names[:-1], "fingerprint"])
+            made = [_in_base64(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", rank.value)) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(made, pa.string())], names=[*(f.name for f in rest), name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", fingerprint string"
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*rest, StructField(name, StringType())]))
 
 
-def _next_lower(keys: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, next): each of the distinct longs and the next lower one, null for the lowest.
+def _in_base64(print_: bytes) -> str:
+    return base64.b64encode(print_).decode()
 
-    Keys are sorted within blocks of ``width``; a block's lowest needs the highest of the next block with any, so the
-    blocks' heads are sorted in blocks again. Only every width * width-th key is ever in one task's sort.
-    """
 
-    def inside(df: DataFrame, block, carry: DataFrame | None) -> DataFrame:
-        w = Window.partitionBy("_block").orderBy(F.desc(key))
-        rows = df.withColumn("_block", block).withColumn("_next", F.lead(key).over(w))
-        if carry is not None:
-            rows = rows.join(carry, "_block", "left").withColumn("_next", F.coalesce("_next", "_head"))
-        return rows
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def lower_heads(df: DataFrame, block) -> DataFrame:
-        return df.groupBy(block.alias("_block")).agg(F.max(key).alias(key))
 
-    first, second = F.floor(F.col(key) / width), F.floor(F.col(key) / (width * width))
-    heads = lower_heads(keys, first)
-    tops = lower_heads(heads.select(key), second)
-    w = Window.orderBy(F.desc("_block"))
-    tops = tops.withColumn("_head", F.lead(key).over(w)).select("_block", "_head")
-    heads = inside(heads.select(key), second, tops).select(F.floor(F.col(key) / width).alias("_block"), F.col("_next").alias("_head"))
-    return inside(keys, first, heads).select(key, F.col("_next").alias("next"))
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    """A row of the result for each (doc_id, text, its fingerprint, the next text, its fingerprint, rank)."""
+    out = []
+    for doc_id, text, own, after, next_, rank in rows:
+        cut = len(text) // 3
+        edited = (text[: len(text) - cut] + after[:cut]).encode()
+        changed = fingerprint(edited, rank)
+        out.append((doc_id, len(text), hashlib.sha256(edited).hexdigest(), _in_base64(own), _in_base64(changed), likeness(own, changed), likeness(own, next_)))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    columns = list(zip(*out, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-def _edits(rank):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # a document that waits for the next
-
-        def row(doc: tuple, after: tuple) -> tuple:
-            _, doc_id, text, print_ = doc
-            n = len(text)
-            cut = n // 3
-            edited = (text[: n - cut] + after[2][:cut]).encode()
-            edited_print = fingerprint(edited, rank.value)
-            return (
-                doc_id, n, hashlib.sha256(edited).hexdigest(), base64.b64encode(print_).decode(), base64.b64encode(edited_print).decode(),
-                likeness(print_, edited_print), likeness(print_, after[3]),
-            )
+def _within(rank):
+    """Results of a partition's rows but the last, whose next document is in another partition."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches_of(batches, 256):
-            out = []
-            names = batch.schema.names
-            columns = [batch.column(names.index(c)).to_pylist() for c in ("bucket", "doc_id", "text", "halo")]
-            for bucket, doc_id, text, halo in zip(*columns, strict=True):
-                now = (bucket, doc_id, text, fingerprint(text.encode(), rank.value))
-                if held is not None and held[0] == bucket:
-                    out.append(row(held, now))
-                held = None if halo else now
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_COLUMNS)
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = fingerprint(text.encode(), rank.value)
+                if held is not None:
+                    rows.append((*held, text, own, rank.value))
+                held = doc_id, text, own
+            yield _result(rows)
 
     return run
 
 
-_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a partition that has any: the place and text of its first row, the id and text of its last one."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = first or batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1)
+    if first is not None:
+        columns = [*first.select(["doc_id", "hash", "salt", "text"]).columns, *last.select(["doc_id", "text"]).columns]
+        yield pa.RecordBatch.from_arrays(columns, names=["first_id", "hash", "salt", "first_text", "doc_id", "text"])
+
+
+def _across(rank):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 256):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            prints = [fingerprint(t.encode(), rank.value) for k in (1, 2) for t in batch.column(k).to_pylist()]
+            n = batch.num_rows
+            yield _result([(i, text, prints[j], after, prints[n + j], rank.value) for j, (i, text, after) in enumerate(rows)])
+
+    return run
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -217,29 +220,21 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
     Needs doc_id and text; more columns are ignored. The next document is the one with the next lower doc_id, after the
     last the first; the edited copy has the last third of the code points replaced by the first as many of the next.
-    Null texts count as empty; rows with equal doc_id follow each other by their texts; a null doc_id comes last. A
+    Null texts count as empty; rows with equal doc_id follow each other by a hash of their texts; null doc_ids come last. A
     document alone is its own next one. An empty table gives an empty result.
+
+    Rows are dealt out by ranges of doc_id, that hash and a number, so ids may be sparse, and rows that repeat are in many
+    ranges. Besides its own rows, a range needs the first text of the next one, which a row for each partition tells.
     """
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(ranks(docs))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**62)))
-    rows = rows.withColumn("key", key)
-    ids = rows.select("key").distinct()
-    chain = _next_lower(ids, "key", BUCKET)
-    ends = ids.agg(F.max("key").alias("top"), F.min("key").alias("low")).first()
-    if ends["top"] is None:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    bucket = F.floor(F.col("key") / BUCKET)
-    # The first row after a bucket's last one is put at its end as well.
-    chain = chain.withColumn("next", F.coalesce("next", F.lit(ends["top"])))
-    crossing = chain.withColumn("bucket", bucket).where((F.floor(F.col("next") / BUCKET) != F.col("bucket")) | (F.col("key") == ends["low"]))
-    crossing = written(crossing.select("bucket", F.col("next").alias("key")))
-    own = rows.select(bucket.alias("bucket"), "key", "doc_id", "text", F.lit(False).alias("halo"))
-    heads = rows.join(crossing, "key").groupBy("bucket", "key").agg(F.min("text").alias("text"))
-    heads = heads.select("bucket", "key", F.col("key").alias("doc_id"), "text", F.lit(True).alias("halo"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id())
+    order = lambda doc_id: [F.col(doc_id).desc_nulls_last(), F.col("hash"), F.col("salt")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.union(heads).repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), "text")
-    return dealt.select("bucket", "doc_id", "text", "halo").mapInArrow(
-        _edits(rank), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    line = rows.repartitionByRange(parts, *order("doc_id")).sortWithinPartitions(*order("doc_id"))
+    ends = line.mapInArrow(_ends, "first_id long, hash long, salt long, first_text string, doc_id long, text string")
+    by_place = Window.orderBy(*order("first_id"))  # as many rows as partitions
+    after = F.coalesce(F.lead("first_text").over(by_place), F.first("first_text").over(by_place))
+    across = ends.select("doc_id", "text", after.alias("next_text")).mapInArrow(_across(rank), _SCHEMA)
+    return line.select("doc_id", "text").mapInArrow(_within(rank), _SCHEMA).union(across)

@@ -1,5 +1,6 @@
 """Each operator on small tables with nulls, empty and repeated texts and clashing columns, against brute force."""
 
+import base64
 import hashlib
 import math
 import re
@@ -180,6 +181,75 @@ def test_fingerprints(spark, texts):
     assert fingerprints.edit_likeness(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def slow_fingerprint(text, rank):
+    """The rules of the fingerprint, one window at a time."""
+    if not text:
+        return b""
+    w, data = fingerprints.WINDOW, fingerprints.padded(text).tolist()
+    level = fingerprints.levels(np.array(data, dtype=np.uint8))  # checked by test_window_levels
+    keys = [(int(rank[level[i]]), i) for i in range(len(data) - w + 1)]
+    width = min(fingerprints.NEIGHBOURS, len(keys))
+    wins = Counter(min(keys[i : i + width])[1] for i in range(len(keys) - width + 1))
+    chosen = sorted(i for i, n in wins.items() if n >= min(fingerprints.POPULAR, sum(wins.values())))
+    out = b""
+    for at in range(0, len(chosen), fingerprints.FULL):
+        bits = [0] * (fingerprints.FILTER * 8)
+        for i in chosen[at : at + fingerprints.FULL]:
+            for mix in fingerprints._MIX.tolist():
+                h = sum(m * b for m, b in zip(mix, data[i : i + w], strict=True)) % 2**64
+                h = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64
+                bits[h >> 53] = 1
+        out += bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+    return out
+
+
+def slow_likeness(a, b):
+    if a == b or not a or not b:
+        return float(a == b)
+    size = fingerprints.FILTER
+    x, y = ([int.from_bytes(v[i : i + size]) for i in range(0, len(v), size)] for v in sorted((a, b), key=lambda v: (len(v), v)))
+    total = lambda chain: sum(f.bit_count() for f in chain)
+    score = 0.0
+    for f in x:
+        found = []
+        for g in y:
+            chance = f.bit_count() * g.bit_count() / (size * 8)
+            found.append(((f & g).bit_count() - chance) / max(min(f.bit_count(), g.bit_count()) - chance, 1.0))
+        score += min(1, max(0, *found, 0)) * f.bit_count() / total(x)
+    return score * (min(total(x), total(y)) / max(total(x), total(y))) ** 0.25
+
+
+def test_fingerprints_by_brute_force_with_sparse_null_and_repeated_ids(spark):
+    import xxhash
+
+    rng = np.random.default_rng(15)
+    ids = [-(2**63), 2**63 - 1, -(2**62), -(2**62) - 1, None, None, 5, 5, 5, *(int(i) for i in rng.integers(-(2**62), 2**62, 20))]
+    own = [sentence(rng, int(n)) for n in rng.integers(0, 500, len(ids))]
+    own[4], own[7], own[9] = None, own[6], "ß漢" * 30
+    rows = [(i, t, "en", "a", None, 0, "x") for i, t in zip(ids, own, strict=True)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = fingerprints.edit_likeness(docs).collect()
+    rank = fingerprints.ranks(docs)
+    counted = Counter(int(v) for t in own if t for v in fingerprints.levels(fingerprints.padded(t.encode())))
+    order = sorted(range(fingerprints.LEVELS), key=lambda v: (v < fingerprints.LEVELS // 3, counted[v], v))
+    assert [int(rank[v]) for v in order] == list(range(fingerprints.LEVELS))
+    line = [(i, t or "") for i, t in zip(ids, own, strict=True)]
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    line.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = []
+    for k, (i, text) in enumerate(line):
+        after = line[(k + 1) % len(line)][1]
+        cut = len(text) // 3
+        edited = (text[: len(text) - cut] + after[:cut]).encode()
+        prints = [slow_fingerprint(t, rank) for t in (text.encode(), edited, after.encode())]
+        want.append((i, len(text), hashlib.sha256(edited).hexdigest(), *(base64.b64encode(p).decode() for p in prints[:2]), slow_likeness(*prints[:2]), slow_likeness(prints[0], prints[2])))
+    key = lambda r: str(r[:5])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    made = fingerprints.with_fingerprint(docs.withColumn("fingerprint", F.lit(1)).withColumn("_raw", F.lit(2)))
+    assert made.columns == [*docs.columns, "_raw", "fingerprint"] and {r["fingerprint"] for r in made.collect()} == {w[3] for w in want}
+
+
 def test_window_levels():
     data = np.random.default_rng(5).integers(97, 103, 300).astype(np.uint8)
     w = fingerprints.WINDOW
