@@ -85,15 +85,26 @@ def summed(parts: DataFrame, partitions: int) -> np.ndarray | None:
     return np.frombuffer(found[0]["part"], dtype=np.float64) if found else None
 
 
+def _pooled(blocks: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Neighbouring blocks (sum of points, positive, n) put together until their shares of positives rise."""
+    out: list[tuple[float, float, float]] = []
+    for block in blocks:
+        out.append(block)
+        while len(out) > 1 and out[-2][1] / out[-2][2] >= out[-1][1] / out[-1][2]:
+            right, left = out.pop(), out.pop()
+            out.append((left[0] + right[0], left[1] + right[1], left[2] + right[2]))
+    return out
+
+
 def isotonic(at: np.ndarray, positive: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: points and rising probabilities, for bins in ascending order."""
-    blocks: list[list[float]] = []
-    for x, p, c in zip(at, positive, n, strict=True):
-        blocks.append([x * c, p, c])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            x1, p1, c1 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + x1, blocks[-1][1] + p1, blocks[-1][2] + c1]
-    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+    """Points and rising probabilities, for bins in ascending order.
+
+    Adjacent violators are pooled; then half a positive and half a negative is added to each block, and since a small
+    block moves further than a large one, they are pooled once more.
+    """
+    blocks = _pooled(list(zip(at * n, positive, n, strict=True)))
+    blocks = _pooled([(x / c * (c + 1), p + 0.5, c + 1) for x, p, c in blocks])
+    return np.array([x / c for x, _, c in blocks]), np.array([p / c for _, p, c in blocks])
 
 
 class Model:
