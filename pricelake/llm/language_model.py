@@ -1,16 +1,17 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-A word's chance is a product of three. The first two are softmaxes over leaves: the TOP most frequent words, and GROUPS
-groups of all others by their endings. Of a leaf, the class is drawn by sums of weights of hashed features (the leaf
-before, the leaf two before, and the pair of both), then the member of the class by those of (leaf before, member) and
-(class of the leaf two before, member). The third, for words in a group, has a feature for each word and class of the
-leaf before that training has seen, so the model grows with the corpus. Those features exclude each other, and
-the maximum of their penalised likelihood is a closed form: (n(word, class) + PRIOR * share) / (n(group, class) + PRIOR).
-
-Both softmaxes are trained by STEPS distributed gradient updates over the whole corpus. Their contexts are counted in one
-pass over all training texts; a step's tasks hold the contexts that begin with some of the leaves, add up what the
-model expects there, and the weights move by seen minus expected, scaled by the expected counts. Scoring runs over
-numpy batches of words, of which only the weights of the features that are present are looked up.
+A word's chance is a product of three. Leaves are the TOP most frequent words, and GROUPS groups of all others by their
+endings. The class of a leaf is drawn by a softmax over sums of weights of hashed features: the leaf before, the leaf two
+before (a skip), and the pair of both. Then the leaf, a member of the class, by a feature for each leaf and leaf
+before; then the word, for words in a group, by a feature for each word and span of leaves that the one before is in.
+Features of the last kind are as many as training has seen, so the model grows with the corpus.
+
+Weights of the classes are trained by STEPS distributed gradient updates over the whole corpus. Their contexts are counted
+in one pass over all training texts; a step's tasks hold the contexts that begin with some of the leaves, add up what the
+model expects there, and the weights move by seen minus expected, scaled by the expected counts. Of the other
+features just one holds for each word, so the gradient is zero at a closed form, (n(feature) + prior * share) /
+(n(context) + prior), that needs no steps. Scoring runs over numpy batches of words, of which only the weights of
+the features that are present are looked up.
 """
 
 from __future__ import annotations
@@ -28,22 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import batches_of, fold, written
-from .quality import summed
 
-CLASSES, MEMBERS = 32, 64
+CLASSES, MEMBERS = 48, 32
 LEAVES = CLASSES * MEMBERS
 GROUPS = 256
 TOP = LEAVES - GROUPS
 PAIRS = 8192
 STEPS, RATE, DAMPING, RIDGE, LONGEST = 8, 0.5, 2.0, 3.0, 1.0
-PRIOR = 3000.0
+LEAF_PRIOR, WORD_PRIOR = 30.0, 10_000.0
 #: Counts of about so many words, the most frequent of at most so many bytes, go to every task; all others are joined.
 KNOWN, KNOWN_BYTES = 100_000, 64
 #: Tasks of a step.
-BANDS = 16
+BANDS = 8
 _START = LEAVES  # the leaf before a text
 _WIDTH = LEAVES + 1
-_KINDS = CLASSES + 1  # classes of a leaf before: those of the leaves, and the start
+_SPAN = 96
+_SPANS = LEAVES // _SPAN + 1  # spans of a leaf before: those of the leaves, and the start
 _CHUNK = 8192
 END = b""
 
@@ -132,8 +133,8 @@ def _encoded(words: Broadcast):
                 own = [text[i] for i in others.tolist()]
                 base.append(known.base[at[at >= 0]].sum())
                 at[others] = [KNOWN + group_of(w) for w in own]
-                kinds = np.concatenate([[CLASSES], known.leaf_of[at] // MEMBERS])[others]
-                counted = Counter(zip(own, kinds.tolist(), strict=True))
+                spans = np.concatenate([[_START], known.leaf_of[at]])[others] // _SPAN
+                counted = Counter(zip(own, spans.tolist(), strict=True))
                 codes.append(at.tobytes())
                 rare.append([w for w, _ in counted])
                 before.append([k for _, k in counted])
@@ -165,10 +166,10 @@ def contexts(leaves: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return line[here - 1], line[here - 2]
 
 
-#: Numbers counted for each leaf before: of leaves two before, of leaves, of classes of the leaf two before and classes.
-_ROW = _WIDTH + LEAVES + _KINDS * CLASSES
-#: And those counted besides: pairs and classes, leaves two before and classes, classes two before and leaves, groups and classes before.
-_SHARED = np.cumsum([0, PAIRS * CLASSES, _WIDTH * CLASSES, _KINDS * LEAVES, GROUPS * _KINDS, KNOWN * _KINDS])
+#: Numbers counted for each leaf before: of leaves two before, and of leaves.
+_ROW = _WIDTH + LEAVES
+#: And those counted besides: pairs and classes, leaves two before and classes, groups and spans before, known words and spans before.
+_SHARED = np.cumsum([0, PAIRS * CLASSES, _WIDTH * CLASSES, GROUPS * _SPANS, KNOWN * _SPANS])
 
 
 def _gathered(words: Broadcast):
@@ -185,15 +186,14 @@ def _gathered(words: Broadcast):
             codes = np.concatenate(held)
             leaf = leaf_of[codes].astype(np.int64)
             one, two = contexts(leaf, np.array([h.size for h in held]))
-            kind, skip, last = leaf // MEMBERS, two // MEMBERS, one // MEMBERS
-            at = one * _ROW
-            for key in (at + two, at + _WIDTH + leaf, at + _WIDTH + LEAVES + skip * CLASSES + kind):
+            kind, last = leaf // MEMBERS, one // _SPAN
+            for key in (one * _ROW + two, one * _ROW + _WIDTH + leaf):
                 found, n = np.unique(key, return_counts=True)
                 flat[found] += n.astype(np.int32)
             grouped = codes >= TOP
             group, last = leaf[grouped] - TOP, last[grouped]
             word = np.flatnonzero(codes[grouped] < KNOWN)
-            keys = (pair_rows(one, two) * CLASSES + kind, two * CLASSES + kind, skip * LEAVES + leaf, group * _KINDS + last, codes[grouped][word] * _KINDS + last[word])
+            keys = (pair_rows(one, two) * CLASSES + kind, two * CLASSES + kind, group * _SPANS + last, codes[grouped][word] * _SPANS + last[word])
             for start, key in zip(_SHARED, keys, strict=False):
                 found, n = np.unique(key, return_counts=True)
                 shared[start + found] += n.astype(np.int32)
@@ -263,101 +263,104 @@ def _moved(seen: np.ndarray, made: np.ndarray, weights: np.ndarray) -> np.ndarra
 
 
 class Model:
-    """Weights of both softmaxes; biases are the logarithms of the leaves' shares of the training tokens."""
+    """Weights of the classes; biases are the logarithms of the classes' shares of the training tokens."""
 
     def __init__(self, counts: np.ndarray):
         share = ((counts + 0.5) / (counts.sum() + 0.5 * LEAVES)).reshape(CLASSES, MEMBERS)
-        self.class_bias, self.leaf_bias = np.log(share.sum(axis=1)).astype(np.float32), np.log(share).ravel().astype(np.float32)
+        self.bias, self.member = np.log(share.sum(axis=1)).astype(np.float32), (share / share.sum(axis=1, keepdims=True)).ravel()
         self.one, self.two, self.pair = (np.zeros((n, CLASSES), dtype=np.float32) for n in (_WIDTH, _WIDTH, PAIRS))
-        self.next, self.skip = np.zeros((_WIDTH, LEAVES), dtype=np.float32), np.zeros((_KINDS, LEAVES), dtype=np.float32)
 
     def class_weights(self, one: int, two: np.ndarray) -> np.ndarray:
         """exp of the sums of weights of each class, a row for each leaf two before."""
-        return np.exp(self.class_bias + self.one[one] + self.two[two] + self.pair[pair_rows(one, two)])
+        return np.exp(self.bias + self.one[one] + self.two[two] + self.pair[pair_rows(one, two)])
 
-    def leaf_weights(self, one: int, skip: np.ndarray) -> np.ndarray:
-        """exp of the sums of weights of each leaf, a row for each class of the leaf two before."""
-        return np.exp(self.leaf_bias + self.next[one] + self.skip[skip])
+    def leaf_chances(self, seen: np.ndarray) -> np.ndarray:
+        """log10 of each leaf's chance in its class, from the counts of leaves after one leaf."""
+        by_class = seen.reshape(CLASSES, MEMBERS).sum(axis=1)
+        found = (seen + LEAF_PRIOR * self.member) / np.repeat(by_class + LEAF_PRIOR, MEMBERS)
+        return np.log10(found).astype(np.float32)
 
-    def normalise(self) -> None:
-        """Tables of the logarithms of both normalisers, after which chances are looked up."""
-        every, kinds = np.arange(_WIDTH), np.arange(_KINDS)
-        self.class_total, self.leaf_total = np.empty((_WIDTH, _WIDTH), dtype=np.float32), np.empty((_WIDTH, _KINDS, CLASSES), dtype=np.float32)
+    def complete(self, leaves: np.ndarray) -> None:
+        """Keep the leaves' chances, a row for each leaf before, and a table of the classes' normalisers: chances are then looked up."""
+        self.leaves, self.total = leaves, np.empty((_WIDTH, _WIDTH), dtype=np.float32)
         for one in range(_WIDTH):
-            self.class_total[one] = np.log(self.class_weights(one, every).sum(axis=1))
-            self.leaf_total[one] = np.log(self.leaf_weights(one, kinds).reshape(_KINDS, CLASSES, MEMBERS).sum(axis=2))
+            self.total[one] = np.log(self.class_weights(one, np.arange(_WIDTH)).sum(axis=1))
 
     def log10(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        kind, skip = leaf // MEMBERS, two // MEMBERS
-        outer = self.class_bias[kind] + self.one[one, kind] + self.two[two, kind] + self.pair[pair_rows(one, two), kind] - self.class_total[one, two]
-        inner = self.leaf_bias[leaf] + self.next[one, leaf] + self.skip[skip, leaf] - self.leaf_total[one, skip, kind]
-        return (outer.astype(np.float64) + inner) / np.log(10)
+        kind = leaf // MEMBERS
+        chosen = self.bias[kind] + self.one[one, kind] + self.two[two, kind] + self.pair[pair_rows(one, two), kind] - self.total[one, two]
+        return chosen.astype(np.float64) / np.log(10) + self.leaves[one, leaf]
 
 
 def _expected(shared: Broadcast):
-    """A step's part for the leaves before that a task has: their weights' moves, and sums for the weights that all share (place -1)."""
+    """A step's sums over the contexts that a task has: what the model expects of each weight, and what was seen of those of the leaf before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        two_sum, pair_sum, skip_sum = np.zeros((_WIDTH, CLASSES)), np.zeros((PAIRS, CLASSES)), np.zeros((_KINDS, LEAVES))
+        one_seen, one_sum, two_sum, pair_sum = (np.zeros((n, CLASSES)) for n in (_WIDTH, _WIDTH, _WIDTH, PAIRS))
         some = False
         for batch in batches_of(batches, 64):
-            moves = []
             for one, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 some = True
                 counts = np.frombuffer(numbers.as_buffer(), dtype=np.int64)
-                before, seen, skips = counts[:_WIDTH], counts[_WIDTH : _WIDTH + LEAVES], counts[_WIDTH + LEAVES :].reshape(_KINDS, CLASSES)
+                before = counts[:_WIDTH]
                 two = np.flatnonzero(before)
                 p = m.class_weights(one, two)
                 p *= (before[two] / p.sum(axis=1))[:, None].astype(np.float32)
+                one_seen[one] = counts[_WIDTH:].reshape(CLASSES, MEMBERS).sum(axis=1)
+                one_sum[one] = p.sum(axis=0)
                 two_sum[two] += p
                 pair_sum[pair_rows(one, two)] += p
-                skip = np.flatnonzero(skips.any(axis=1))
-                q = m.leaf_weights(one, skip).reshape(-1, CLASSES, MEMBERS)
-                q *= (skips[skip] / q.sum(axis=2))[:, :, None].astype(np.float32)
-                q = q.reshape(-1, LEAVES)
-                skip_sum[skip] += q
-                move = _moved(seen.reshape(CLASSES, MEMBERS).sum(axis=1), p.sum(axis=0), m.one[one]), _moved(seen, q.sum(axis=0), m.next[one])
-                moves.append(np.concatenate(move).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(moves, pa.binary())], names=["place", "part"])
         if some:
-            sums = np.concatenate([two_sum.ravel(), pair_sum.ravel(), skip_sum.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["place", "part"])
+            sums = np.concatenate([x.ravel() for x in (one_seen, one_sum, two_sum, pair_sum)])
+            yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["part"])
 
     return run
 
 
-def trained(bands: DataFrame, shared: list[np.ndarray], leaf_counts: np.ndarray, steps: int = STEPS) -> Model:
+def _leaf_rows(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 64):
+            made = [shared.value.leaf_chances(np.frombuffer(n.as_buffer(), dtype=np.int64)[_WIDTH:]).tobytes() for n in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["one", "chances"])
+
+    return run
+
+
+def trained(bands: DataFrame, seen_pair: np.ndarray, seen_two: np.ndarray, leaf_counts: np.ndarray, steps: int = STEPS) -> Model:
     """The model after ``steps`` gradient updates, each over all contexts of the corpus."""
     sc, model = bands.sparkSession.sparkContext, Model(leaf_counts)
-    seen_pair, seen_two, seen_skip = (s.reshape(-1, n) for s, n in zip(shared[:3], (CLASSES, CLASSES, LEAVES), strict=True))
+    seen_pair, seen_two = seen_pair.reshape(PAIRS, CLASSES), seen_two.reshape(_WIDTH, CLASSES)
     for _ in range(steps):
         sent = sc.broadcast(model)
-        parts = written(bands.mapInArrow(_expected(sent), "place int, part binary"))
-        total = summed(parts.where("place = -1").select("part"), BANDS)
-        if total is None:
-            break
-        moves = parts.where("place >= 0").toArrow()  # as many numbers as the model has weights
-        for one, part in zip(moves.column("place").to_pylist(), moves.column("part"), strict=True):
-            move = np.frombuffer(part.as_buffer(), dtype=np.float32)
-            model.one[one] += move[:CLASSES]
-            model.next[one] += move[CLASSES:]
-        two, pair, skip = np.split(total, np.cumsum([model.two.size, model.pair.size]))
-        model.two += _moved(seen_two, two.reshape(model.two.shape), model.two)
-        model.pair += _moved(seen_pair, pair.reshape(model.pair.shape), model.pair)
-        model.skip += _moved(seen_skip, skip.reshape(model.skip.shape), model.skip)
+        parts = bands.mapInArrow(_expected(sent), "part binary").toArrow().column("part")  # BANDS rows, each as long as the weights are
         sent.destroy()
+        if not len(parts):
+            break
+        total = np.zeros(3 * model.one.size + model.pair.size)
+        for part in parts:
+            total += np.frombuffer(part.as_buffer(), dtype=np.float32)
+        one_seen, one, two, pair = (x.reshape(-1, CLASSES) for x in np.split(total, np.cumsum([model.one.size, model.one.size, model.two.size])))
+        for weights, seen, made in ((model.one, one_seen, one), (model.two, seen_two, two), (model.pair, seen_pair, pair)):
+            weights += _moved(seen, made, weights)
+    sent = sc.broadcast(model)
+    leaves = np.tile(model.leaf_chances(np.zeros(LEAVES)), (_WIDTH, 1))
+    found = bands.mapInArrow(_leaf_rows(sent), "one int, chances binary").toArrow()  # as many numbers as the model has places
+    sent.destroy()
+    for one, row in zip(found.column("one").to_pylist(), found.column("chances"), strict=True):
+        leaves[one] = np.frombuffer(row.as_buffer(), dtype=np.float32)
+    model.complete(leaves)
     return model
 
 
 class WordChances:
-    """log10 of the chance of a known word of a group, by the class of the leaf before; groups' counts for all other words."""
+    """log10 of the chance of a known word of a group, by the span of the leaf before; groups' counts for all other words."""
 
     def __init__(self, words: Words, mass: np.ndarray, group_counts: np.ndarray, word_counts: np.ndarray):
         n = len(words.place)
-        self.least = np.log10(group_counts.reshape(GROUPS, _KINDS) + PRIOR)
+        self.least = np.log10(group_counts.reshape(GROUPS, _SPANS) + WORD_PRIOR)
         share = (words.count[:n] + 1) / mass[words.group]
-        found = word_counts.reshape(KNOWN, _KINDS)[:n] + (PRIOR * share)[:, None]
+        found = word_counts.reshape(KNOWN, _SPANS)[:n] + (WORD_PRIOR * share)[:, None]
         self.known = (np.log10(found) - self.least[words.group]).astype(np.float32)
 
 
@@ -374,9 +377,9 @@ def _scores(words: Broadcast, model: Broadcast, chances: Broadcast):
                 one, two = contexts(leaf, sizes)
                 value = m.log10(leaf, one, two)
                 known = np.flatnonzero((codes >= TOP) & (codes < KNOWN))
-                value[known] += inside.known[codes[known], one[known] // MEMBERS]
+                value[known] += inside.known[codes[known], one[known] // _SPAN]
                 rare = np.flatnonzero(codes >= KNOWN)
-                value[rare] -= inside.least[codes[rare] - KNOWN, one[rare] // MEMBERS]
+                value[rare] -= inside.least[codes[rare] - KNOWN, one[rare] // _SPAN]
                 made = np.add.reduceat(value, np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["row", "model_score"])
 
@@ -394,7 +397,7 @@ def _rare_parts(rows: DataFrame, total: int, distinct: int, mass: np.ndarray) ->
     share = (F.col("c") + 1) / masses[F.pmod(F.crc32(ending), F.lit(GROUPS)).cast("int")]
     return each.groupBy("row").agg(
         F.sum(F.col("m") * (F.log10(F.col("c") + 1) - float(np.log10(total + distinct + 1)))).alias("more_base"),
-        F.sum(F.col("m") * F.log10(F.col("n") + PRIOR * share)).alias("more_score"),
+        F.sum(F.col("m") * F.log10(F.col("n") + WORD_PRIOR * share)).alias("more_score"),
         F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"),
     )
 
@@ -426,9 +429,8 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     rows = docs.select("doc_id", trains.alias("trains"), F.col("text").cast("binary").alias("text")).mapInArrow(_encoded(words), _ENCODED)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
     bands, shared = gathered(rows, words)
-    chances = sc.broadcast(WordChances(known, mass, shared[3], shared[4]))
-    model = trained(bands, shared[:3], leaf_counts)
-    model.normalise()
+    chances = sc.broadcast(WordChances(known, mass, shared[2], shared[3]))
+    model = trained(bands, shared[0], shared[1], leaf_counts)
     sums = rows.select("row", "codes").mapInArrow(_scores(words, sc.broadcast(model), chances), "row long, model_score double")
     out = rows.select("row", "doc_id", "n_tokens", "n_frequent", "base").join(written(sums), "row").join(_rare_parts(rows, total, distinct, mass), "row", "left")
     more = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -343,12 +343,12 @@ def test_language_model_of_null_and_repeated_rows(spark):
 def test_language_model_chances_sum_to_one():
     rng = np.random.default_rng(7)
     model = language_model.Model(rng.integers(0, 50, language_model.LEAVES).astype(float))
-    for name in ("one", "two", "pair", "next", "skip"):
+    for name in ("one", "two", "pair"):
         weights = getattr(model, name)
         weights += rng.standard_normal(weights.shape).astype(np.float32) * 0.3
-    model.normalise()
+    model.complete(np.stack([model.leaf_chances(rng.integers(0, 30, language_model.LEAVES)) for _ in range(language_model.LEAVES + 1)]))
     leaf = np.arange(language_model.LEAVES)
-    for one, two in ((5, 1900), (language_model.LEAVES, language_model.LEAVES), (2047, 0)):
+    for one, two in ((5, 1400), (language_model.LEAVES, language_model.LEAVES), (1535, 0)):
         assert (10 ** model.log10(leaf, np.full_like(leaf, one), np.full_like(leaf, two))).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -356,7 +356,7 @@ def test_language_model_words_of_a_group_sum_to_one(monkeypatch):
     monkeypatch.setattr(language_model, "KNOWN", 2000)
     frequent = [(b"w%d" % i, 5000 - i) for i in range(2000)]
     words = language_model.Words(frequent, 10_000_000, 2000)
-    top, kinds = language_model.TOP, 33
+    top, kinds = language_model.TOP, language_model._SPANS
     mass = np.ones(language_model.GROUPS)
     np.add.at(mass, words.group[top:], words.count[top:] + 1)
     seen = np.random.default_rng(3).integers(0, 9, (2000, kinds))
@@ -366,7 +366,7 @@ def test_language_model_words_of_a_group_sum_to_one(monkeypatch):
     known = language_model.WordChances(words, mass, group.ravel(), seen.ravel()).known
     total = np.zeros((language_model.GROUPS, kinds))
     np.add.at(total, words.group[top:], 10.0 ** known[top:])
-    unseen = language_model.PRIOR / mass[:, None] / (group + language_model.PRIOR)
+    unseen = language_model.WORD_PRIOR / mass[:, None] / (group + language_model.WORD_PRIOR)
     assert np.abs(total + unseen - 1).max() < 1e-4
 
 
