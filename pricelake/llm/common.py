@@ -15,12 +15,15 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A local folder is set only where nothing is
-    set, as in tests on one machine.
+    The cluster names it in ``spark.checkpoint.dir``. A local folder is set only where nothing is set and Spark runs on
+    one machine, as in tests; on a cluster, whose machines don't share such a folder, that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 

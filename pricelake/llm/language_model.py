@@ -75,7 +75,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches, 256):
         for text in batch.column(0):
             seen.update(words_of(_bytes(text)))
-        if len(seen) > 100_000:
+        if len(seen) > 60_000:
             yield table()
             seen.clear()
     yield table()
@@ -208,7 +208,7 @@ def _gathered(words: Broadcast):
             for cell in batch.column(0):
                 held.append(np.frombuffer(cell.as_buffer(), dtype=np.int32))
                 waiting, some = waiting + held[-1].size, True
-                if waiting > 500_000:
+                if waiting > 200_000:
                     add()
                     waiting = 0
         if held:

@@ -39,4 +39,14 @@ SELECT p.doc_id, p.size, p.s AS source_size, p.goal AS target,
 FROM placed p LEFT JOIN schedule h ON h.i = p.i AND h.rank = p.begin // p.block AND p.size > 0 AND p.begin < p.take"""
 
 
-SQL: dict[str, str] = {"op7_source_mixing": _mixing()}
+_EMBEDDINGS = """WITH RECURSIVE usable AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT linked.b, reached.c FROM reached JOIN linked ON linked.a = reached.vec_id),
+least AS (SELECT vec_id, min(c) AS component_id FROM reached GROUP BY vec_id),
+counted AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted ON a = e.vec_id"""
+
+SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing()}

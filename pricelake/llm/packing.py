@@ -225,36 +225,64 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [(f, t) for group in open_.values() for f, t in group.items()]
 
 
-def completed(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Filling, int]]:
+def fewest_possible(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's lower bound of the sequences.
+
+    For a length a up to half the capacity: pieces over capacity - a are alone, those over half are one to a sequence, and
+    the pieces from a to half must go into the room beside these or into sequences of their own. The best a counts.
+    """
+    n = np.zeros(capacity + 1, dtype=np.int64)
+    for length, times in counts.items():
+        n[length] = times
+    number, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    least = -(-int(tokens[-1]) // capacity)
+    for a in range(1, half + 1):
+        if a > 1 and not n[a] and not n[capacity - a + 1]:
+            continue
+        middle, middle_tokens = number[capacity - a] - number[half], tokens[capacity - a] - tokens[half]
+        rest = tokens[half] - tokens[a - 1] - (middle * capacity - middle_tokens)
+        least = max(least, int(number[-1] - number[half] + max(0, -(-rest // capacity))))
+    return least
+
+
+def completed(counts: dict[int, int], capacity: int, nodes: int = 20_000, widest: int = 12) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used, in as few sequences as the search finds.
 
     Depth-first branch and bound; a branch ends when its sequences, and what the rest needs at least, are no fewer than
-    the best solution has. It stops at the lower bound, or after ``nodes`` nodes with the best solution found.
+    the best solution has, which at first is best fit's. Each node has a branch for each of its best fillings, taken as often as the
+    counts allow. While the lower bound isn't met, the search begins anew with twice as many fillings a node, up to
+    ``widest``, and now also takes a filling half as often, or once. It stops at the lower bound, or after ``nodes`` nodes.
     """
     best = best_fit(counts, capacity)
-    fewest = sum(t for _, t in best)
+    fewest, least, width, spent = sum(t for _, t in best), fewest_possible(counts, capacity), 3, 0
     total = sum(n * c for n, c in counts.items())
-    least = max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
-    # Each entry: what is left, its tokens, the sequences made, and the chain of fillings that made them.
-    stack = [(_Left(counts), total, 0, None)]
-    for _ in range(nodes):
-        if not stack or fewest <= least:
-            break
-        left, tokens, made, chain = stack.pop()
-        if made + -(-tokens // capacity) >= fewest:
-            continue
-        if not left.counts:
-            fewest, best = made, []
-            while chain:
-                best.append(chain[0])
-                chain = chain[1]
-            continue
-        options = fillings(left, capacity)
-        for i, filling in reversed(list(enumerate(options))):
-            times = min(left.counts[n] // c for n, c in filling)
-            rest = left if i == 0 else left.copy()
-            rest.take(filling, times)
-            stack.append((rest, tokens - times * sum(n * c for n, c in filling), made + times, ((filling, times), chain)))
+    while fewest > least and width <= widest and spent < nodes:
+        # Each entry: what is left, its tokens, the sequences made, and the chain of fillings that made them.
+        stack = [(_Left(counts), total, 0, None)]
+        limit = spent + (nodes - spent) // 2 if 2 * width <= widest else nodes
+        while stack and fewest > least and spent < limit:
+            spent += 1
+            left, tokens, made, chain = stack.pop()
+            if made + -(-tokens // capacity) >= fewest:
+                continue
+            if not left.counts:
+                fewest, best = made, []
+                while chain:
+                    best.append(chain[0])
+                    chain = chain[1]
+                continue
+            branches = []
+            for filling in fillings(left, capacity, width, 130 * width):
+                most = min(left.counts[n] // c for n, c in filling)
+                branches += [(filling, t) for t in ({most} if width == 3 else {most, max(1, most // 2), 1})]
+            # Least waste, taken most often, is looked at first.
+            branches.sort(key=lambda b: (sum(n * c for n, c in b[0]), b[1]))
+            for filling, times in branches:
+                rest = left.copy()
+                rest.take(filling, times)
+                stack.append((rest, tokens - times * sum(n * c for n, c in filling), made + times, ((filling, times), chain)))
+        width *= 2
     return best
 
 
@@ -295,18 +323,19 @@ def _placed(slots):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = True, nodes: int = 20_000, widest: int = 12) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Needs doc_id and text; more columns are ignored. Returns a row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and with ``with_ids`` the piece's ids as bytes. A null or empty text is the id 0 alone; only
-    documents of over ``capacity`` ids are cut. Repeated rows are packed each. An empty table gives no rows.
+    documents of over ``capacity`` ids are cut. Repeated rows are packed each. An empty table gives no rows. ``nodes`` and
+    ``widest`` bound the search (see ``completed``), not the documents; ``gap`` tells how far the packing may be from the best.
     """
     spark = docs.sparkSession
     made = pieces(docs, tokenizer, capacity, with_ids)
     made = written(made if with_ids else made.drop("ids"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    slots = spark.sparkContext.broadcast(_slots(completed(counts, capacity)))
+    slots = spark.sparkContext.broadcast(_slots(completed(counts, capacity, nodes, widest)))
     buckets = max(1, max(counts.values(), default=0) // 20_000)
     spread = F.xxhash64("doc_id", "piece")
     numbered = running_sum(made, ["length"], [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], F.lit(1), spread, buckets, "number")
@@ -315,7 +344,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool
     return numbered.mapInArrow(_placed(slots), schema)
 
 
-def fewest_possible(counts: dict[int, int], capacity: int) -> int:
-    """A lower bound of the sequences: by tokens, and by pieces of which no two fit together."""
-    total = sum(n * c for n, c in counts.items())
-    return max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
+
+def gap(packed_rows: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """Of a packing: the sequences that it has, and the fewest that any can have by the lower bound."""
+    counts = {r["length"]: r["n"] for r in packed_rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    return packed_rows.select("sequence_id").distinct().count(), fewest_possible(counts, capacity)

@@ -650,6 +650,52 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert got == {0b1: 1, 0b111: 1, 0b11111: 1, 0xFF00: None}
 
 
+def test_embeddings_in_bands(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    centres = rng.standard_normal((12, 16))
+    vectors = [centres[i % 12] + rng.standard_normal(16) * 0.08 for i in range(700)]
+    label = [int(i % 5 == 0) for i in range(700)]
+    monkeypatch.setattr(embedding_dedup, "TOGETHER", 4)
+    units = [v / np.linalg.norm(v) for v in vectors]
+    linked = lambda i, j: label[i] == label[j] and units[i] @ units[j] >= 0.98
+    rows = [(i, v.tolist(), label[i], "z") for i, v in enumerate(vectors)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, band string")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(docs).collect()}
+    want = groups(700, linked)
+    for i in range(700):
+        assert got[i]["n_links"] == sum(linked(i, j) for j in range(700) if j != i) and got[i]["component_id"] == want[i]
+    assert embedding_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_packing_bounds_and_wider_search():
+    rng = np.random.default_rng(19)
+    for _ in range(30):
+        counts = Counter(rng.integers(1, 41, int(rng.integers(3, 9))).tolist())
+        least, items = packing.fewest_possible(counts, 40), sorted(counts.elements(), reverse=True)
+
+        def fewest(at, bins, best):
+            if len(bins) >= best:
+                return best
+            if at == len(items):
+                return len(bins)
+            for i in range(len(bins)):
+                if bins[i] >= items[at] and bins[i] not in bins[:i]:
+                    best = fewest(at + 1, [*bins[:i], bins[i] - items[at], *bins[i + 1 :]], best)
+            return fewest(at + 1, [*bins, 40 - items[at]], best)
+
+        made = sum(t for _, t in packing.completed(dict(counts), 40))
+        assert least <= fewest(0, [], len(items) + 1) <= made
+    hard = {n: 30 for n in range(300, 400, 7)} | {n: 9 for n in range(600, 760, 11)}
+    plan = packing.completed(hard, 1024)
+    assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(hard, 1024))
+    used = Counter()
+    for filling, times in plan:
+        assert sum(n * c for n, c in filling) <= 1024
+        for n, c in filling:
+            used[n] += c * times
+    assert used == hard
+
+
 def test_embeddings_with_null_and_repeated_ids(spark):
     x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.01, 1.0]
     rows = [(None, x, 1), (5, y, 1), (5, z, 1), (None, [0.0, 0.0, 1.0], 1), (9, [0.01, 1.0, 0.0], 1)]
