@@ -29,7 +29,7 @@ def penalised_lines(lines: DataFrame, averages: DataFrame) -> DataFrame:
 
 def offers(lines: DataFrame, stores: DataFrame, prices: DataFrame) -> DataFrame:
     """Each basket line at each store of the basket's chain; ``total`` is null where the store lacks the item."""
-    pairs = lines.join(F.broadcast(stores.select("chain_slug", "store_id")), "chain_slug")  # stores are a small dimension
+    pairs = lines.join(stores.select("chain_slug", "store_id"), "chain_slug")
     return pairs.join(prices.select("store_id", "item_id", "effective"), ["store_id", "item_id"], "left").withColumn("total", F.col("effective") * F.col("quantity"))
 
 
@@ -59,7 +59,7 @@ def with_distance(stores: DataFrame, latitude, longitude) -> DataFrame:
 def nearest_stores(places: DataFrame, stores: DataFrame, key: str, k: int = NEAREST, within_km: float = DEFAULT_KM) -> DataFrame:
     """The k nearest stores of each place's chain within a distance; places and stores without coordinates drop out."""
     located = stores.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("chain_slug", "store_id", "latitude", "longitude")
-    joined = places.join(F.broadcast(located), "chain_slug")
+    joined = places.join(located, "chain_slug")
     joined = joined.withColumn("km", haversine_km(F.col("at_latitude"), F.col("at_longitude"), F.col("latitude"), F.col("longitude"))).where(F.col("km") <= within_km)
     w = Window.partitionBy(key).orderBy("km", "store_id")
     return joined.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= min(k, MOST_NEAR)).select(key, "store_id", "km", "rank")

@@ -569,7 +569,7 @@ def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("checksum").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
-@_query("src14_link_discovery", """select distinct page_id, href from (select page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''>]+)["'']', 1)) as href from pages)""")
+@_query("src14_link_discovery", """select distinct page_id, href from (select page_id, unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']*)["'']', 1)) as href from pages)""")
 def link_discovery(spark: SparkSession, d: str) -> DataFrame:
     return discovery.links(table(spark, d, "pages"), "html").select("page_id", "href")
 

@@ -6,7 +6,7 @@ physical line is a record, as in the price lists this is for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +26,21 @@ DELIMITERS = (",", ";", "\t")
 
 @dataclass(frozen=True)
 class Dialect:
-    """How a source writes its files: headers of each field in the order of preference, and how files name their store."""
+    """How a source writes its files.
+
+    ``columns`` has the headers (XPaths for markup, digits for positions from 0) of each field in the order of preference,
+    ``store_patterns`` what finds the store in a file's name, ``renamed`` patterns of headers that hold a date, and
+    their names without it, and ``tags`` the elements that hold an item.
+    """
 
     name: str
     columns: dict[str, tuple[str, ...]]
     delimiter: str | None = None
     encoding: str | None = None
-    store_pattern: str | None = None
+    store_patterns: tuple[str, ...] = ()
     skipped_rows: int = 0
-    options: dict[str, str] = field(default_factory=dict)
+    renamed: tuple[tuple[str, str], ...] = ()
+    tags: tuple[str, ...] = ()
 
 
 def decoded(content: Column, encoding: str | None = None) -> Column:
@@ -74,11 +80,21 @@ def fields_of(line: Column, delimiter: Column) -> Column:
 
 
 def store_of(file_name: Column, dialect: Dialect) -> Column:
-    """The store in a file's name by the dialect's pattern, else the name without its extension."""
-    base = F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"\.[A-Za-z0-9]+$", "")
-    if not dialect.store_pattern:
-        return base
-    return F.coalesce(F.nullif(F.regexp_extract(file_name, dialect.store_pattern, 1), F.lit("")), base)
+    """The store in a file's name by the first of the dialect's patterns that fits, else the name without its extension."""
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"[+%](?![0-9A-Fa-f]{2})", " "))
+    found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in dialect.store_patterns]
+    return F.coalesce(*found, F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""))
+
+
+def headers_of(cells: Column, dialect: Dialect) -> Column:
+    """A file's header cells as they are compared, those that hold a date without it."""
+
+    def plain(cell: Column) -> Column:
+        for pattern, name in dialect.renamed:
+            cell = F.regexp_replace(F.trim(cell), pattern, name)
+        return normalize_header(cell)
+
+    return F.transform(cells, plain)
 
 
 def _cell(dialect: Dialect, name: str) -> Column:
@@ -94,18 +110,29 @@ def _cell(dialect: Dialect, name: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cells]) if cells else F.lit(None).cast("string")
 
 
-def normalised(files: DataFrame, dialect: Dialect) -> DataFrame:
-    """Rows of files (path, content) in the normalised schema, with row_number and raw_data (the cells as JSON).
+def missing_columns(files: DataFrame, dialect: Dialect, needed: tuple[str, ...] = ("name", "price")) -> DataFrame:
+    """(file, field) of files that have none of a needed field's headers, whose rows would all lack it."""
+    heads = _with_lines(files, dialect).select("file", "headers")
+    missing = [F.when(~F.arrays_overlap("headers", F.array(*[normalize_header(F.lit(h)) for h in dialect.columns[f]])), F.lit(f)) for f in needed]
+    return heads.select("file", F.explode(F.array_compact(F.array(*missing))).alias("field"))
 
-    A field's headers are tried row by row, so that an alternative column serves where the primary one is empty. Blank
-    lines are left out; a file without lines gives no rows.
-    """
+
+def _with_lines(files: DataFrame, dialect: Dialect) -> DataFrame:
     text = decoded(F.col("content"), dialect.encoding)
     rows = files.select(F.col("path").alias("file"), text.alias("_text"))
     rows = rows.withColumn("_delimiter", F.lit(dialect.delimiter) if dialect.delimiter else found_delimiter(F.col("_text")))
     lines = F.filter(F.split("_text", "\r?\n"), lambda s: F.trim(s) != "")
     rows = rows.withColumn("_lines", F.slice(lines, dialect.skipped_rows + 1, 1_000_000_000))
-    rows = rows.withColumn("headers", F.transform(fields_of(F.try_element_at("_lines", F.lit(1)), F.col("_delimiter")), normalize_header))
+    return rows.withColumn("headers", headers_of(fields_of(F.try_element_at("_lines", F.lit(1)), F.col("_delimiter")), dialect))
+
+
+def normalised(files: DataFrame, dialect: Dialect) -> DataFrame:
+    """Rows of files (path, content) in the normalised schema, with row_number and raw_data (the cells as JSON).
+
+    A field's headers are tried row by row, so that an alternative column serves where the primary one is empty. Blank
+    lines are left out; a file without lines gives no rows.
+    """
+    rows = _with_lines(files, dialect)
     rows = rows.select("file", "headers", "_delimiter", F.posexplode(F.slice("_lines", 2, 1_000_000_000)).alias("_at", "_line"))
     rows = rows.withColumn("cells", fields_of(F.col("_line"), F.col("_delimiter"))).where(F.exists("cells", lambda c: c != ""))
     return from_cells(rows, dialect, lambda name: _cell(dialect, name), (F.col("_at") + 1).cast("int"), F.to_json("cells"))
@@ -122,10 +149,11 @@ def from_cells(rows: DataFrame, dialect: Dialect, cell, number: Column, raw: Col
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files as rows of path and content; needs spark.sql.legacy.javaCharsets for windows-1250."""
+    """Files as rows of path and content; files in windows-1250 need a session with spark.sql.legacy.javaCharsets, as build_session makes it."""
+    if spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
+        raise ValueError("spark.sql.legacy.javaCharsets must be true to read windows-1250")
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def read_delimited(spark: SparkSession, path: str, dialect: Dialect, pattern: str = "*.csv") -> DataFrame:
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return normalised(read_files(spark, path, pattern), dialect)

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]+)["']"""
 FILE_TYPES = ("csv", "xml", "xlsx", "zip")
 
 
-def links(pages: DataFrame, html: str) -> DataFrame:
-    """Each page's different link targets, one row each, with the page's other columns but the HTML."""
-    rows = pages.withColumn("href", F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)))).drop(html)
+def links(pages: DataFrame, html: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """Each page's different link targets, of any element, one row each, with the page's other columns but the HTML.
+
+    With ``types`` only targets with one of these extensions, which a query string may follow.
+    """
+    ending = rf"\.(?:{'|'.join(types)})(?:\?[^\"']*)?" if types else ""
+    rows = pages.withColumn("href", F.explode(F.regexp_extract_all(html, F.lit(rf"""(?i)href=["']([^"']*{ending})["']"""), F.lit(1)))).drop(html)
     keys = [c for c in ("page_id", "url") if c in rows.columns]
     return rows.dropDuplicates([*keys, "href"])
 
@@ -40,8 +43,6 @@ def file_type(name: Column) -> Column:
 
 def discovered_files(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The files that pages link to: absolute URL, name and type, each URL once, the first page's."""
-    rows = links(pages, html).withColumn("file_url", resolved(F.col("href"), F.col(url)))
-    kinds = "|".join(FILE_TYPES)
-    rows = rows.withColumn("file_name", file_name(F.col("file_url"))).where(F.lower("file_name").rlike(rf"\.({kinds})$"))
+    rows = links(pages, html, FILE_TYPES).withColumn("file_url", resolved(F.col("href"), F.col(url))).withColumn("file_name", file_name(F.col("file_url")))
     w = Window.partitionBy("file_url").orderBy(url, "href")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("file_url", "file_name", file_type(F.col("file_name")).alias("file_type"))

@@ -21,13 +21,13 @@ def items(files: DataFrame, tags: tuple[str, ...] = ITEM_TAGS) -> DataFrame:
     return rows.select("file", F.col("p.tag").alias("tag"), F.posexplode("p.all").alias("at", "item"))
 
 
-def normalised(files: DataFrame, paths: dict[str, tuple[str, ...]], dialect: Dialect, tags: tuple[str, ...] = ITEM_TAGS) -> DataFrame:
-    """Rows in the normalised schema; ``paths`` gives a field's XPaths below the item, such as ``naziv`` or ``@id``.
+def normalised(files: DataFrame, dialect: Dialect) -> DataFrame:
+    """Rows in the normalised schema; the dialect's columns are XPaths below the item, such as ``naziv`` or ``@id``.
 
     The first XPath with text wins, so a price falls back from one element to another. Repeated barcode elements are
     all read.
     """
-    rows = items(files, tags)
+    rows, paths = items(files, dialect.tags or ITEM_TAGS), dialect.columns
 
     def cell(name: str):
         if name == "barcodes":
@@ -39,6 +39,5 @@ def normalised(files: DataFrame, paths: dict[str, tuple[str, ...]], dialect: Dia
     return from_cells(rows, dialect, cell, (F.col("at") + 1).cast("int"), F.col("item"))
 
 
-def read_markup(spark: SparkSession, path: str, paths: dict[str, tuple[str, ...]], dialect: Dialect, pattern: str = "*.xml") -> DataFrame:
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return normalised(read_files(spark, path, pattern), paths, dialect)
+def read_markup(spark: SparkSession, path: str, dialect: Dialect, pattern: str = "*.xml") -> DataFrame:
+    return normalised(read_files(spark, path, pattern), dialect)

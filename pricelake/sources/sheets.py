@@ -10,15 +10,19 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_header
+from .delimited import Dialect, from_cells, headers_of
+
 # What an archive may hold.
 MEMBER_TYPES = ("csv", "xml", "xlsx", "txt")
 SKIPPED = ("__MACOSX", ".DS_Store", "Thumbs.db")
 MOST_MEMBER, MOST_TOTAL, MOST_MEMBERS = 100 << 20, 1 << 30, 10_000
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def _place(reference: str) -> int:
@@ -29,15 +33,26 @@ def _place(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(content: bytes, sheet: int = 0) -> list[list[str]]:
+def _sheet_file(z: zipfile.ZipFile, sheet: int | str) -> str:
+    """The member that holds a sheet, given by its place from 0 or by its name."""
+    names = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    if isinstance(sheet, int):
+        return names[sheet]
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    for found in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
+        if found.get("name") == sheet:
+            return "xl/" + targets[found.get(_RELATION)].removeprefix("/xl/")
+    raise KeyError(f"no sheet {sheet}")
+
+
+def sheet_rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
     """The cells of a sheet as texts, blank ones empty."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         out = []
-        for row in ElementTree.fromstring(z.read(names[sheet])).iter(f"{_SHEET}row"):
+        for row in ElementTree.fromstring(z.read(_sheet_file(z, sheet))).iter(f"{_SHEET}row"):
             cells: dict[int, str] = {}
             for i, c in enumerate(row.iter(f"{_SHEET}c")):
                 value = c.findtext(f"{_SHEET}v") or "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
@@ -46,8 +61,11 @@ def sheet_rows(content: bytes, sheet: int = 0) -> list[list[str]]:
         return out
 
 
-def workbook_cells(files: DataFrame, sheet: int = 0) -> DataFrame:
-    """(file, row_number, cells) of spreadsheet files (path, content); blank rows are left out, broken files give none."""
+def workbook_cells(files: DataFrame, sheet: int | str = 0) -> DataFrame:
+    """(file, row_number, cells, error) of spreadsheet files (path, content); blank rows are left out.
+
+    A file that can't be read gives one row with its error, and nulls.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -55,41 +73,80 @@ def workbook_cells(files: DataFrame, sheet: int = 0) -> DataFrame:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     made = sheet_rows(content, sheet)
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError):
-                    continue
-                rows += [(path, i + 1, cells) for i, cells in enumerate(made) if any(c.strip() for c in cells)]
-            yield pd.DataFrame(rows, columns=["file", "row_number", "cells"])
+                    rows += [(path, i + 1, cells, None) for i, cells in enumerate(made) if any(c.strip() for c in cells)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError) as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["file", "row_number", "cells", "error"]).astype({"row_number": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "file string, row_number int, cells array<string>, error string")
 
-    return files.select("path", "content").mapInPandas(run, "file string, row_number int, cells array<string>")
+
+def normalised(files: DataFrame, dialect: Dialect, sheet: int | str = 0) -> DataFrame:
+    """Workbooks in the normalised schema. Those whose first row has the dialect's name and price headers are read by
+    headers, all others by its positions, after its skipped rows; files that can't be read have no rows here (see ``workbook_cells``).
+    """
+    cells = workbook_cells(files, sheet).where("error IS NULL").drop("error")
+    first = cells.groupBy("file").agg(F.min_by("cells", "row_number").alias("_first"), F.min("row_number").alias("_at"))
+    first = first.withColumn("headers", headers_of(F.col("_first"), dialect))
+    words = lambda f: F.array(*[normalize_header(F.lit(h)) for h in dialect.columns[f] if not h.isdigit()])
+    named = F.arrays_overlap("headers", words("name")) & F.arrays_overlap("headers", words("price"))
+    rows = cells.join(first.withColumn("_named", named), "file")
+    rows = rows.where(F.when(F.col("_named"), F.col("row_number") > F.col("_at")).otherwise(F.col("row_number") > dialect.skipped_rows))
+
+    def cell(field: str) -> Column:
+        found = []
+        for header in dialect.columns.get(field, ()):
+            if header.isdigit():
+                found.append(F.when(~F.col("_named"), F.try_element_at("cells", F.lit(int(header) + 1))))
+            else:
+                at = F.array_position("headers", normalize_header(F.lit(header))).cast("int")
+                found.append(F.when(F.col("_named") & (at > 0), F.try_element_at("cells", F.greatest(at, F.lit(1)))))
+        return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in found]) if found else F.lit(None).cast("string")
+
+    return from_cells(rows, dialect, cell, F.col("row_number"), F.to_json("cells"))
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """The members of ZIP files (path, content): archive, member, file_type, content, checksum, bytes.
+    """The members of ZIP files (path, content): archive, member, file_type, content, checksum, bytes, error.
 
-    Members with paths out of the archive, of other types or too large are left out, as are system files.
+    Folders, system files and files of other types are left out. A member that is refused, as its path leads out of the
+    archive or it is over a limit, and an archive that can't be read (member null), give a row with the error and no content.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "member", "file_type", "content", "checksum", "bytes", "error"]
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                except zipfile.BadZipFile as e:
+                    yield pd.DataFrame([(path, None, None, None, None, None, f"not an archive: {e}")], columns=columns).astype({"bytes": "Int64"})
                     continue
                 total = 0
-                for info in z.infolist()[:MOST_MEMBERS]:
+                for at, info in enumerate(z.infolist()):
                     name = info.filename.replace("\\", "/")
                     kind = name.rsplit(".", 1)[-1].lower()
-                    outside = name.startswith("/") or ".." in name.split("/")
-                    if info.is_dir() or outside or kind not in MEMBER_TYPES or any(s in name for s in SKIPPED) or info.file_size > MOST_MEMBER:
+                    if info.is_dir() or kind not in MEMBER_TYPES or any(s in name for s in SKIPPED):
                         continue
-                    total += info.file_size
-                    if total > MOST_TOTAL:
-                        break
-                    data = z.read(info)
-                    yield pd.DataFrame([(path, name, kind, data, hashlib.sha256(data).hexdigest(), len(data))], columns=["archive", "member", "file_type", "content", "checksum", "bytes"])
-
-    return files.select("path", "content").mapInPandas(run, "archive string, member string, file_type string, content binary, checksum string, bytes long")
+                    error, data = None, None
+                    if name.startswith("/") or ".." in name.split("/"):
+                        error = "path leads out of the archive"
+                    elif at >= MOST_MEMBERS:
+                        error = f"over {MOST_MEMBERS} members"
+                    elif info.file_size > MOST_MEMBER:
+                        error = f"over {MOST_MEMBER} bytes"
+                    elif total + info.file_size > MOST_TOTAL:
+                        error = f"over {MOST_TOTAL} bytes in the archive"
+                    else:
+                        total += info.file_size
+                        try:
+                            data = z.read(info)
+                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+                            error = f"can't be read: {e}"
+                    made = (data, hashlib.sha256(data).hexdigest(), len(data)) if data is not None else (None, None, info.file_size)
+                    yield pd.DataFrame([(path, name, kind, *made, error)], columns=columns).astype({"bytes": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "archive string, member string, file_type string, content binary, checksum string, bytes long, error string")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:

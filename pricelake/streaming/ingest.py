@@ -35,7 +35,7 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = LATE) -> DataFra
 
 
 def write_snapshots(prices: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Each batch's latest row of each key, merged into a new version of the snapshot.
+    """Each batch's latest row of each key, merged into a new version of the snapshot; a late row never replaces one of a later ``order``.
 
     Versions are folders named by batch, so a batch that is run again after a failure writes the same folder, and
     readers of an older version are not disturbed.
@@ -43,10 +43,11 @@ def write_snapshots(prices: DataFrame, path: str, checkpoint: str, keys: list[st
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("s")).select(*keys, "s.*")
+        rest = [c for c in batch.columns if c not in keys]
+        rows = batch.select(*keys, *rest)
         if number:
-            old = spark.read.parquet(f"{path}/{number - 1}")
-            latest = old.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*old.columns))
+            rows = spark.read.parquet(f"{path}/{number - 1}").select(*rows.columns).union(rows)
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("s")).select(*keys, "s.*")
         latest.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return prices.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
