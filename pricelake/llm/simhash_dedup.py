@@ -209,9 +209,10 @@ def deduplicated(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     Groups are of fingerprints, whatever the ids: of a group with null ids alone one document stays, and unlike texts
     that share an id are each in their own group.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    numbered = rows.select(F.col("_row").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))  # so that columns of any name are kept
+    rows = written(packed.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = rows.select(F.col("_row").alias("doc_id"), F.col("doc.text").cast("binary").alias("text"))
     prints = written(numbered.mapInArrow(_fingerprints(width), "doc_id long, fp long").select(F.col("doc_id").alias("_row"), "fp"))
-    ids = prints.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "fp")
+    ids = prints.join(rows.select("_row", F.col("doc.doc_id").alias("doc_id")), "_row").select("doc_id", "fp")
     groups = prints.join(components_of(ids, radius).select("fp", "group"), "fp").select("_row", F.col("group").alias("_group"))
-    return one_of_each(rows.join(groups, "_row"), F.col("_group"), docs.columns)
+    return one_of_each(rows.join(groups, "_row"), F.col("_group"))

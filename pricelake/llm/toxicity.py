@@ -6,8 +6,8 @@ prior, can't truly be negative; a batch where it gets so is overfitted, and the
 2017). A logistic curve fitted to labelled texts that training left out turns scores into probabilities: a hashed fifth
 of the labels, each class sampled by itself and weighted by how many labels a sampled one stands for.
 
-The samples are bounded (POSITIVE, UNLABELLED, CALIBRATION rows, those with the smallest hashes of their ids; half of
-CALIBRATION for each class); every text is scored, whole.
+The samples are bounded by ``bounds`` (POSITIVE, UNLABELLED and CALIBRATION ids, those with the smallest hashes; half of
+CALIBRATION for each class; of an id that repeats, one text); every text is scored, whole.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import batches_of, fold, written
 from .quality import summed
 
 POSITIVE, UNLABELLED, CALIBRATION = 5_000, 10_000, 5_000
+Bounds = tuple[int, int, int]
+BOUNDS: Bounds = (POSITIVE, UNLABELLED, CALIBRATION)
 #: The sample, which is bounded, is dealt into so many partitions.
 SAMPLE_PARTS = 12
 SIZE = 1 << 18
@@ -157,28 +159,30 @@ class Model:
         self.prior, self.weights, self.bias, self.curve = prior, None, 0.0, (1.0, 0.0)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, bounds: Bounds = BOUNDS) -> Model:
     """Learn from labels (doc_id, y) and docs that are already those of the training fold."""
+    most_positive, most_unlabelled, most_calibrating = bounds
     first = lambda df, salt, n: df.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(n)
     seen = labels.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     if not seen["p"]:
         return Model()
     model = Model(seen["p"] / seen["n"])
-    samples = first(docs, 1, UNLABELLED).withColumn("part", F.lit(0))
-    samples = samples.union(first(labels.where("y = 1"), 2, POSITIVE).withColumn("part", F.lit(1)))
+    samples = first(docs, 1, most_unlabelled).withColumn("part", F.lit(0))
+    samples = samples.union(first(labels.where("y = 1"), 2, most_positive).withColumn("part", F.lit(1)))
     fifth = labels.groupBy("doc_id").agg(F.max("y").alias("y")).where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0)
     for y in (0, 1):
-        samples = samples.union(first(fifth.where(F.col("y") == y), 4, CALIBRATION // 2).withColumn("part", F.lit(2)))
+        samples = samples.union(first(fifth.where(F.col("y") == y), 4, most_calibrating // 2).withColumn("part", F.lit(2)))
     samples = written(samples)
     parts = samples.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
     parts = parts.join(labels.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", "left")
-    chosen = docs.join(F.broadcast(parts), "doc_id")  # at most POSITIVE + UNLABELLED + CALIBRATION rows
+    chosen = docs.join(F.broadcast(parts), "doc_id")  # at most as many ids as the bounds add up to
     keyed = chosen.select("doc_id", "text").mapInArrow(_features, "doc_id long, x binary")
     rows = keyed.join(F.broadcast(parts), "doc_id").repartition(SAMPLE_PARTS, "doc_id")
     # What calibrates is kept from training.
     in_part = lambda k: F.array_contains("parts", k) & ~F.array_contains("parts", 2)
     calibrates = F.array_contains("parts", 2)
-    rows = written(rows.select("doc_id", "x", "y", in_part(1).alias("positive"), in_part(0).alias("unlabelled"), calibrates.alias("calibrates")))
+    rows = rows.select("doc_id", "x", "y", in_part(1).alias("positive"), in_part(0).alias("unlabelled"), calibrates.alias("calibrates"))
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct(*rows.columns[1:])).alias("one")).select("doc_id", "one.*"))
     # Features are screened where the rows are; only the few that tell anything reach the driver.
     total = summed(rows.select("x", "positive", "unlabelled").mapInArrow(_seen, "part binary"), SAMPLE_PARTS)
     p, u, sizes = np.split(total if total is not None else np.zeros(2 * SIZE + 2), [SIZE, 2 * SIZE])
@@ -205,25 +209,32 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, limit: float = 0.3) -> DataFrame:
+def scored(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, limit: float = 0.3, bounds: Bounds = BOUNDS
+) -> DataFrame:
     """A score for each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= limit).
 
     Needs doc_id and text, and labels with doc_id and ``label``; labels that are null or not 0 or 1 don't count. Learns
     only from rows whose crc32(doc_id) mod ``folds`` is not ``held_out``. Null texts count as empty and get a score like
     any other; equal texts get equal scores; repeated rows are scored each. A null doc_id is never learnt from, and its
-    held_out is null. An empty table gives an empty result.
+    held_out is null. An empty table gives an empty result. ``bounds`` are the most toxic, unlabelled and calibrating ids
+    that the fit takes.
     """
-    rows = with_scores(docs, labels, label, folds, held_out).select("doc_id", F.col("_score").alias("score"))
+    rows = with_scores(docs.select("doc_id", "text"), labels, label, folds, held_out, bounds=bounds).select("doc_id", F.col("_score").alias("score"))
     held = (F.pmod(fold(), F.lit(folds)) == held_out).alias("held_out")
     return rows.select("doc_id", held, "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2) -> DataFrame:
-    """The input's columns and _score."""
+def with_scores(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, name: str = "_score", bounds: Bounds = BOUNDS
+) -> DataFrame:
+    """The input's columns and the score as ``name``, which must not be one of them."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}")
     spark = docs.sparkSession
     learns = F.pmod(fold(), F.lit(folds)) != held_out
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1)").where(learns)
-    model = fitted(docs.select("doc_id", "text").where(learns), y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    model = fitted(docs.select("doc_id", "text").where(learns), y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), bounds)
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.curve, model.prior))
     at = docs.columns.index("text")
 
@@ -241,11 +252,14 @@ def with_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds:
                         known[word] = float(weights[hashes(word)].sum())
                 raw.append(math.fsum(map(known.__getitem__, words)))
             scores = _sigmoid(slope * (np.array(raw) + bias) + offset) if weights is not None else np.full(batch.num_rows, prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
-    """The documents whose score is under ``limit``."""
-    return with_scores(docs, labels).where(F.col("_score") < limit).drop("_score")
+    """The documents whose score is under ``limit``, with their own columns."""
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return with_scores(docs, labels, name=name).where(F.col(name) < limit).drop(name)

@@ -93,7 +93,9 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """A verdict on each row's url: page_id, host, path, rule, verdict (allow or block), score.
 
     Needs page_id and url; more columns are ignored. A null url, and one without ``://``, has an empty host and path, and
-    the models' verdict on the empty text. URLs of any length are read whole. Repeated rows get equal verdicts. Where rules
+    the models' verdict on the empty text. Hosts and paths of any length are read whole; query strings and fragments, which
+    the rules don't judge either and which mostly hold session values, are left out, so URLs that differ in nothing else
+    get the same verdict. Repeated rows get equal verdicts. Where rules
     judge no URL one way, the threshold is 0. An empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
