@@ -13,7 +13,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
