@@ -28,8 +28,8 @@ _PLAIN = 0x100
 _letters = "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == "L")
 _numbers = "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == "N")
 _WORDS = re.compile(rf"[{_letters}]+|[{_numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_letters}{_numbers}]+")
-#: Words whose ids a Python worker remembers; beyond that it forgets them all and starts anew.
-REMEMBERED = 1_000_000
+#: A Python worker remembers the ids of up to so many words, and of as many before them, of which those that come again are kept.
+REMEMBERED = 150_000
 
 
 class WordTokenizer:
@@ -46,6 +46,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         mark = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -68,7 +69,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         out: list[bytes | None] = [None] * len(texts)
         words, codes, new = {}, {}, {}
         for i, text in enumerate(texts):
@@ -87,7 +88,11 @@ class WordTokenizer:
             if None in codes[i]:
                 new[i] = [k for k, c in enumerate(codes[i]) if c is None]
         if new:
-            self.learn(list(dict.fromkeys(words[i][k] for i, places in new.items() for k in places)))
+            missing = dict.fromkeys(words[i][k] for i, places in new.items() for k in places)
+            self.known.update((w, self.before[w]) for w in missing if w in self.before)
+            unknown = [w for w in missing if w not in self.before]
+            if unknown:
+                self.learn(unknown)
             for i, places in new.items():
                 own, coded = words[i], codes[i]
                 for k in places:
