@@ -49,4 +49,8 @@ counted AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted ON a = e.vec_id"""
 
-SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing()}
+_EQUAL_TEXTS = """SELECT doc_id, max(doc_id) OVER equal AS keep_id, count(*) OVER equal AS group_size,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW equal AS (PARTITION BY coalesce(text, ''))"""
+
+SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing(), "op11_exact_dedup": _EQUAL_TEXTS}
