@@ -53,4 +53,41 @@ _EQUAL_TEXTS = """SELECT doc_id, max(doc_id) OVER equal AS keep_id, count(*) OVE
     row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW equal AS (PARTITION BY coalesce(text, ''))"""
 
-SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing(), "op11_exact_dedup": _EQUAL_TEXTS}
+
+def _repair() -> str:
+    """The same programme forwards: each state keeps its least (cost, edits, text so far), a row of a conversation at a time."""
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({key}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, crcs[((xor(c, b)) & 255) + 1])), 4294967295)"
+    put = lambda state, role: f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 5, 'a': {state}.a || 'I', 'o': {state}.o || '{role}:' || chr(10)}} END"
+    drop = lambda state: f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 2, 'a': {state}.a || 'D', 'o': {state}.o}} END"
+    keep = lambda state, i: f"CASE WHEN {state} IS NOT NULL AND NOT must AND initial = '{i}' THEN {{'c': {state}.c + late, 'a': {state}.a || 'K', 'o': {state}.o || role || ':' || text || chr(10)}} END"
+    name = lambda state, role: f"CASE WHEN {state} IS NOT NULL AND NOT must THEN {{'c': {state}.c + late + 1, 'a': {state}.a || 'R', 'o': {state}.o || '{role}:' || text || chr(10)}} END"
+    least = lambda *of: f"list_min([{', '.join(of)}])"
+    return f"""WITH RECURSIVE crc AS (SELECT {table} AS crcs),
+coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS code FROM conversations, crc),
+harmed AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS copies FROM coded),
+said AS (SELECT h.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i
+    FROM (SELECT conv_id, turn, role, text, unnest(range(copies)) AS copy FROM harmed) h),
+marked AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM said),
+judged AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late FROM marked),
+steps AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS n, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s,
+    NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS a FROM conversations
+UNION ALL SELECT conv_id, i + 1, {drop("n")}, {least(drop("s"), keep("n", "s"))},
+    {least(drop("u"), *[f("{0}".format(x), v) for x in ("n", "s", "a") for f, v in ((keep, "u"), (name, "user"))])}, {least(drop("a"), keep("u", "a"), name("u", "assistant"))}
+    FROM (SELECT p.conv_id, p.i, j.must, j.late, j.initial, j.role, j.text, p.n, p.s, {least("p.u", put("p.n", "user"), put("p.s", "user"), put("p.a", "user"))} AS u,
+        {least("p.a", put("p.u", "assistant"))} AS a FROM steps p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i)),
+ended AS (SELECT conv_id, {least("n", "a", put("u", "assistant"))} AS best FROM steps QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    best.c AS cost, best.a AS audit, sha256(left(best.o, greatest(length(best.o) - 1, 0)::BIGINT)) AS repaired_sha256
+FROM ended e LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing(), "op11_exact_dedup": _EQUAL_TEXTS, "op12_conversation_repair": _repair()}
