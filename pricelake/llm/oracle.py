@@ -90,4 +90,17 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM ended e LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
 
-SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing(), "op11_exact_dedup": _EQUAL_TEXTS, "op12_conversation_repair": _repair()}
+_TERMS = r"""[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"""
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RANKED = f"""WITH found AS (SELECT doc_id, regexp_extract_all({_SMALL}, '{_TERMS}') AS terms, row_number() OVER () AS r FROM documents),
+sized AS (SELECT r, doc_id, terms, len(terms)::BIGINT AS n FROM found WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS every FROM sized),
+counted AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM sized) GROUP BY r, term),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term, docs),
+asked AS (SELECT q, item_id, unnest(list_distinct(regexp_extract_all({_SMALL}, '{_TERMS}'))) AS term FROM (SELECT *, row_number() OVER () AS q FROM benchmark)),
+scored AS (SELECT q, item_id, s.r, s.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // every))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN sized s ON s.r = counted.r, whole GROUP BY q, item_id, s.r, s.doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10"""
+
+SQL: dict[str, str] = {"op1_embedding_near_dedup": _EMBEDDINGS, "op7_source_mixing": _mixing(), "op11_exact_dedup": _EQUAL_TEXTS, "op12_conversation_repair": _repair(), "op13_ranked_search": _RANKED}
