@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -176,32 +177,42 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _within(rank):
-    """Results of a partition's rows but the last, whose next document is in another partition."""
+    """Results of each range's rows but the last, whose next document is in another range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, range_ = None, None
         for batch in batches_of(batches, 256):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = fingerprint(text.encode(), rank.value)
-                if held is not None:
+                if held is not None and part == range_:
                     rows.append((*held, text, own, rank.value))
-                held = doc_id, text, own
+                held, range_ = (doc_id, text, own), part
             yield _result(rows)
 
     return run
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for a partition that has any: the place and text of its first row, the id and text of its last one."""
+    """One row for each range: the text of its first row, the id and text of its last one."""
+
+    def told(first: pa.RecordBatch, last: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([first.column(0), first.column(2), last.column(1), last.column(2)], names=["part", "first_text", "doc_id", "text"])
+
     first = last = None
     for batch in batches:
+        parts = batch.column(0).to_numpy()
+        for at in np.flatnonzero(np.diff(parts, prepend=parts[:1] - 1)).tolist():
+            if at:
+                last = batch.slice(at - 1, 1)
+            if first is not None and first.column(0)[0].as_py() != parts[at]:
+                yield told(first, last)
+                first = None
+            first = first or batch.slice(at, 1)
         if batch.num_rows:
-            first = first or batch.slice(0, 1)
             last = batch.slice(batch.num_rows - 1)
     if first is not None:
-        columns = [*first.select(["doc_id", "hash", "salt", "text"]).columns, *last.select(["doc_id", "text"]).columns]
-        yield pa.RecordBatch.from_arrays(columns, names=["first_id", "hash", "salt", "first_text", "doc_id", "text"])
+        yield told(first, last)
 
 
 def _across(rank):
@@ -224,17 +235,40 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     document alone is its own next one. An empty table gives an empty result.
 
     Rows are dealt out by ranges of doc_id, that hash and a number, so ids may be sparse, and rows that repeat are in many
-    ranges. Besides its own rows, a range needs the first text of the next one, which a row for each partition tells.
+    ranges. Their bounds are taken once, and each row tells its range, so both uses of the ranges agree however they are planned.
+    Besides its own rows, a range needs the first text of the next one, which a row for each range tells.
     """
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(ranks(docs))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id())
-    order = lambda doc_id: [F.col(doc_id).desc_nulls_last(), F.col("hash"), F.col("salt")]
+    rows = rows.withColumn("salt", F.monotonically_increasing_id())
+    # Ascending by this is descending by doc_id, nulls last.
+    rows = rows.withColumn("key", F.struct(F.col("doc_id").isNull(), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), F.xxhash64("text"), F.col("salt")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    line = rows.repartitionByRange(parts, *order("doc_id")).sortWithinPartitions(*order("doc_id"))
-    ends = line.mapInArrow(_ends, "first_id long, hash long, salt long, first_text string, doc_id long, text string")
-    by_place = Window.orderBy(*order("first_id"))  # as many rows as partitions
+    rows = rows.withColumn("part", _range_of(F.col("key"), _bounds(rows.select("key"), parts)))
+    line = rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "key").select("part", "doc_id", "text")
+    ends = line.mapInArrow(_ends, "part int, first_text string, doc_id long, text string")
+    by_place = Window.orderBy("part")  # as many rows as ranges
     after = F.coalesce(F.lead("first_text").over(by_place), F.first("first_text").over(by_place))
     across = ends.select("doc_id", "text", after.alias("next_text")).mapInArrow(_across(rank), _SCHEMA)
-    return line.select("doc_id", "text").mapInArrow(_within(rank), _SCHEMA).union(across)
+    return line.mapInArrow(_within(rank), _SCHEMA).union(across)
+
+
+def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
+    """Upper bounds of ranges of about equal size, from a sample of some 60 rows a range; only their balance depends on it."""
+    share = min(1.0, 60 * parts / max(1, keys.count()))
+    found = sorted(tuple(r["key"]) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).collect())
+    return [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+
+
+def _range_of(key: Column, bounds: list[tuple]) -> Column:
+    """How many bounds are not over the key: found among groups of them, then in its group."""
+    if not bounds:
+        return F.lit(0)
+    literal = lambda b: F.struct(*[F.lit(v).cast(t) for v, t in zip(b, ("boolean", "long", "long", "long"), strict=True)])
+    step = math.isqrt(len(bounds)) + 1
+    groups = F.array(*[F.array(*map(literal, bounds[at : at + step])) for at in range(0, len(bounds), step)])
+    heads = F.array(*[literal(bounds[at]) for at in range(0, len(bounds), step)])
+    group = F.size(F.filter(heads, lambda b: b <= key))
+    inside = F.size(F.filter(F.element_at(groups, F.greatest(group, F.lit(1))), lambda b: b <= key))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + inside)

@@ -181,6 +181,27 @@ def test_fingerprints(spark, texts):
     assert fingerprints.edit_likeness(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_fingerprints_lose_no_row(spark, reuse):
+    ids = np.random.default_rng(30).permutation(6000).tolist()
+    rows = [(i if i % 50 else None, f"text {i} of {i % 7}", "en", "a", 1, 2, "x") for i in ids]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    before = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        got = fingerprints.edit_likeness(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert sorted(r["doc_id"] or 0 for r in got) == sorted(r[0] or 0 for r in rows)
+    by_id = {r[0]: r[1] for r in rows if r[0] is not None}
+    order = sorted(by_id, reverse=True)
+    for r in got:
+        if r["doc_id"] in by_id and r["doc_id"] != order[-1]:
+            own, after = by_id[r["doc_id"]], by_id[order[order.index(r["doc_id"]) + 1]]
+            cut = len(own) // 3
+            assert r["edited_sha256"] == hashlib.sha256((own[: len(own) - cut] + after[:cut]).encode()).hexdigest()
+
+
 def slow_fingerprint(text, rank):
     """The rules of the fingerprint, one window at a time."""
     if not text:
