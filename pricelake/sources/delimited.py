@@ -28,7 +28,7 @@ DELIMITERS = (",", ";", "\t")
 class Dialect:
     """How a source writes its files.
 
-    ``columns`` has the headers (XPaths for markup, digits for positions from 0) of each field in the order of preference,
+    ``columns`` has the headers (paths in an item for markup, digits for positions from 0) of each field in the order of preference,
     ``store_patterns`` what finds the store in a file's name, ``renamed`` patterns of headers that hold a date, and
     their names without it, and ``tags`` the elements that hold an item.
     """

@@ -182,7 +182,7 @@ _DM: Columns = {
     "anchor_price_as_of": ("Datum sidrene cijene",),
 }
 
-# XPaths below an item.
+# Paths in an item.
 _STUDENAC: Columns = {
     "store_identifier": ("store_id", "storeId", "Store/Id", "StoreId", "STORE_ID", "Poslovnica/Id"),
     "external_id": ("code", "Sifra"),
@@ -219,7 +219,7 @@ _TRGOCENTAR: Columns = {
     "barcodes": ("ean_kod",),
     "unit_price": ("c_jmj",),
     "lowest_price_30d": ("c_najniza_30",),
-    "anchor_price": ("*[starts-with(name(), 'c_') and string-length(name()) = 8 and number(substring(name(), 3)) >= 0]",),
+    "anchor_price": ("~c_[0-9]{6}",),
 }
 
 

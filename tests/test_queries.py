@@ -16,24 +16,24 @@ def _value(v):
 
 
 def _names():
-    from pricelake.plans import records
+    from pricelake.plans import files as plans
 
-    return sorted(records.SQL)
+    return sorted(plans.SQL)
 
 
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_sql(spark, name):
     import duckdb
 
-    from pricelake.plans import records
+    from pricelake.plans import files as plans
 
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
-    made = records.QUERIES[name](spark, DATA)
+    made = plans.QUERIES[name](spark, DATA)
     columns = sorted(made.columns)
     got = sorted(repr([_value(r[c]) for c in columns]) for r in made.collect())
-    answer = con.execute(records.SQL[name])
+    answer = con.execute(plans.SQL[name])
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
     want = sorted(repr([_value(r[names.index(c)]) for c in columns]) for r in answer.fetchall())
