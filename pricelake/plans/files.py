@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import markup
+from ..session import scratch_folder
+from ..sources import delimited, markup, sheets, workbooks
 from ..sources.delimited import Dialect
+from ..sources.dialects import DIALECTS
 from .records import QUERIES, SQL, _query
 from .fixtures import table
 
@@ -70,5 +78,93 @@ def xml_items(spark: SparkSession, d: str) -> DataFrame:
 )
 def xml_rows(spark: SparkSession, d: str) -> DataFrame:
     dialect = Dialect("made", {"external_id": ("missing", "@sku"), "name": ("NAME",), "brand": ("brand",), "price": ("price", "Sale/now"), "discount_price": ("~s.le",), "barcodes": ("Code",)})
-    rows = markup.normalised(xml_files(spark, d), dialect)
+    rows = markup.normalised(xml_files(spark, d), dialect).where("error IS NULL")
     return rows.select("file", "store_identifier", "external_id", "name", "brand", "price", "discount_price", F.array_join("barcodes", ",").alias("barcodes"), "row_number")
+
+
+# --- workbooks --------------------------------------------------------------------------------------------------------
+
+
+def _workbook(rows: list[list[str]], notes: list[str]) -> bytes:
+    """A workbook with a sheet of notes and one of rows, its texts partly in the shared table."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    shared = sorted({c for r in rows for c in r if len(c) > 3})
+    at = {c: i for i, c in enumerate(shared)}
+    cell = lambda c: f'<c t="s"><v>{at[c]}</v></c>' if c in at else f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>'
+    sheet = lambda lines: f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{i}">{"".join(map(cell, r))}</row>' for i, r in enumerate(lines, 1)) + "</sheetData></worksheet>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Notes" sheetId="1" r:id="r1"/><sheet name="Prices" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{escape(c)}</t></si>" for c in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet([[n] for n in notes]))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(rows))
+    return out.getvalue()
+
+
+def _workbook_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for f, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if f % 3 == 0:  # the published layout: three rows above, columns by position
+                rows = [["Cjenik"], ["", ""], ["naziv", "šifra", "marka"]] + [[p["name"], p["key"], p["brand"], p["key"] + "0", p["type"], "1", "kom", "", "", p["price"]] for p in parts]
+            else:
+                rows = [["Šifra", "Naziv artikla", "Cijena", "JM"]] + [[p["key"], p["name"], p["price"], "kom"] for p in parts]
+            content = _workbook(rows, ["made"])
+            made.append((f"b/P{f:03d}.xlsx", content if f % 3 < 2 else content[: len(content) // 2]))
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["path", "content"])
+
+
+def workbook_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content) of workbooks in two layouts, and of ones that break off."""
+    price = F.replace(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))
+    part = F.struct("p_partkey", F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), price.alias("price"))
+    files = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / PER_FILE).cast("long").alias("f")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return files.mapInArrow(_workbook_files, "path string, content binary")
+
+
+@_query(
+    "src11_workbook_rows",
+    """with rows as (select *, p_partkey // 200 as f, p_partkey // 200 % 3 as kind, row_number() over (partition by p_partkey // 200 order by p_partkey) as n from part)
+    select concat('P', lpad(cast(f as varchar), 3, '0'), '.xlsx') as file, 'dm_national' as store_identifier, cast(p_partkey as varchar) as external_id, p_name as name,
+        case when kind = 0 then p_brand end as brand, case when kind = 0 then p_type end as category, 'kom' as unit, cast(round(p_retailprice * 100) as bigint) as price,
+        case when kind = 0 then concat(cast(p_partkey as varchar), '0') else '' end as barcodes, cast(n + case when kind = 0 then 3 else 1 end as int) as row_number, false as failed from rows where kind < 2
+    union all select distinct concat('P', lpad(cast(f as varchar), 3, '0'), '.xlsx'), 'dm_national', null, null, null, null, null, null, '', null, true from rows where kind = 2""",
+)
+def workbook_rows(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    workbooks.written_files(workbook_files(spark, d), folder)
+    rows = sheets.rows_of(workbooks.read_workbooks(spark, folder, sheet="Prices"), DIALECTS["dm"])
+    name = F.element_at(F.split("file", "/"), -1).alias("file")
+    barcodes = F.coalesce(F.array_join("barcodes", ","), F.lit("")).alias("barcodes")
+    return rows.select(name, "store_identifier", "external_id", "name", "brand", "category", "unit", "price", barcodes, "row_number", F.col("error").isNotNull().alias("failed"))
+
+
+# --- delimited text ---------------------------------------------------------------------------------------------------
+
+
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files with commas, semicolons or tabs, in UTF-8 with and without a mark or in windows-1250, and ones without a price column."""
+    rows = table(spark, d, "part").withColumn("f", F.floor(F.col("p_partkey") / PER_FILE).cast("long"))
+    mark = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t")), (F.col("f") % 3 + 1).cast("int"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.concat(F.lit('Šećer ""'), F.col("p_name"), F.lit('"", '), mark, F.lit("x"))
+    price = F.regexp_replace(F.expr("format_number(p_retailprice, '#,##0.00')"), r"^(?:(\d+),)?(\d+)\.(\d\d)$", "$1.$2,$3")
+    line = F.concat(F.col("p_partkey").cast("string"), mark, quoted(name), mark, F.lit(" "), quoted(F.ltrim(price, F.lit("."))), mark, F.col("p_brand"), F.when(F.col("p_size") == 7, F.lit("\r\n  ")).otherwise(F.lit("")), F.lit("\r\n"))
+    by_f = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t")), (F.col("f") % 3 + 1).cast("int"))
+    head = F.concat(F.when(F.col("f") % 4 == 1, F.lit("\ufeff")).otherwise(F.lit("")), F.lit("ŠIFRA"), by_f, F.lit("Naziv "), by_f, F.when(F.col("f") % 5 == 4, F.lit("IZNOS")).otherwise(F.lit("Mpc")), by_f, F.lit("marka\n"))
+    files = _in_files(rows, line, head, F.lit(""), F.concat(F.lit("shop,"), F.lpad(F.col("f").cast("string"), 4, "0"), F.lit(",x.csv")))
+    latin = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 4 == 2
+    return files.select("path", F.when(latin, F.encode(F.col("content").cast("string"), "windows-1250")).otherwise(F.col("content")).alias("content"))
+
+
+@_query(
+    "src1_text_rows",
+    """with rows as (select *, p_partkey // 200 as f, row_number() over (partition by p_partkey // 200 order by p_partkey) as n from part)
+    select concat('shop,', lpad(cast(f as varchar), 4, '0'), ',x.csv') as file, lpad(cast(f as varchar), 4, '0') as store_identifier, cast(p_partkey as varchar) as external_id,
+        concat('Šećer "', p_name, '", ', [',', ';', chr(9)][cast(f % 3 + 1 as int)], 'x') as name, p_brand as brand, cast(round(p_retailprice * 100) as bigint) as price, cast(n as int) as row_number, cast(null as varchar) as error from rows where f % 5 <> 4
+    union all select distinct concat('shop,', lpad(cast(f as varchar), 4, '0'), ',x.csv'), lpad(cast(f as varchar), 4, '0'), null, null, null, null, null, 'no column for price' from rows where f % 5 = 4""",
+)
+def text_rows(spark: SparkSession, d: str) -> DataFrame:
+    dialect = Dialect("made", {"external_id": ("sifra",), "name": ("NAZIV",), "price": ("MPC", "cijena"), "brand": ("Marka",)}, store_patterns=(r",(\d{4}),",))
+    return delimited.normalised(text_files(spark, d), dialect).select("file", "store_identifier", "external_id", "name", "brand", "price", "row_number", "error")

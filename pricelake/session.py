@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,16 @@ def build_session(app: str = "pricelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all machines share, in the one that spark.checkpoint.dir names; a local one where Spark runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application, so that it needn't be installed there."""
     sc = spark.sparkContext

@@ -30,7 +30,7 @@ class Dialect:
 
     ``columns`` has the headers (paths in an item for markup, digits for positions from 0) of each field in the order of preference,
     ``store_patterns`` what finds the store in a file's name, ``renamed`` patterns of headers that hold a date, and
-    their names without it, and ``tags`` the elements that hold an item.
+    their names without it, ``tags`` the elements that hold an item, and ``store`` the store of every file, where a list is the same everywhere.
     """
 
     name: str
@@ -41,6 +41,7 @@ class Dialect:
     skipped_rows: int = 0
     renamed: tuple[tuple[str, str], ...] = ()
     tags: tuple[str, ...] = ()
+    store: str | None = None
 
 
 def decoded(content: Column, encoding: str | None = None) -> Column:
@@ -80,7 +81,9 @@ def fields_of(line: Column, delimiter: Column) -> Column:
 
 
 def store_of(file_name: Column, dialect: Dialect) -> Column:
-    """The store in a file's name by the first of the dialect's patterns that fits, else the name without its extension."""
+    """The dialect's one store, or the store in a file's name by the first of its patterns that fits, else the name without its extension."""
+    if dialect.store:
+        return F.lit(dialect.store)
     name = F.url_decode(F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"[+%](?![0-9A-Fa-f]{2})", " "))
     found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in dialect.store_patterns]
     return F.coalesce(*found, F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""))
@@ -110,11 +113,16 @@ def _cell(dialect: Dialect, name: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cells]) if cells else F.lit(None).cast("string")
 
 
+def missing(dialect: Dialect, needed: tuple[str, ...] = ("name", "price")) -> Column:
+    """Those of the needed fields that none of a file's headers serves, as an array; fields by position are never missing."""
+    absent = lambda f: ~F.arrays_overlap("headers", F.array(*[normalize_header(F.lit(h)) for h in dialect.columns[f]]))
+    named = [f for f in needed if not any(h.isdigit() for h in dialect.columns[f])]
+    return F.array_compact(F.array(*[F.when(absent(f), F.lit(f)) for f in named]).cast("array<string>"))
+
+
 def missing_columns(files: DataFrame, dialect: Dialect, needed: tuple[str, ...] = ("name", "price")) -> DataFrame:
     """(file, field) of files that have none of a needed field's headers, whose rows would all lack it."""
-    heads = _with_lines(files, dialect).select("file", "headers")
-    missing = [F.when(~F.arrays_overlap("headers", F.array(*[normalize_header(F.lit(h)) for h in dialect.columns[f]])), F.lit(f)) for f in needed]
-    return heads.select("file", F.explode(F.array_compact(F.array(*missing))).alias("field"))
+    return _with_lines(files, dialect).select("file", F.explode(missing(dialect, needed)).alias("field"))
 
 
 def _with_lines(files: DataFrame, dialect: Dialect) -> DataFrame:
@@ -127,25 +135,29 @@ def _with_lines(files: DataFrame, dialect: Dialect) -> DataFrame:
 
 
 def normalised(files: DataFrame, dialect: Dialect) -> DataFrame:
-    """Rows of files (path, content) in the normalised schema, with row_number and raw_data (the cells as JSON).
+    """Rows of files (path, content) in the normalised schema, with row_number, raw_data (the cells as JSON) and error.
 
     A field's headers are tried row by row, so that an alternative column serves where the primary one is empty. Blank
-    lines are left out; a file without lines gives no rows.
+    lines are left out; a file without lines gives no rows. A file without a column for the name or the price gives one row
+    with an error that tells which, and no fields.
     """
-    rows = _with_lines(files, dialect)
-    rows = rows.select("file", "headers", "_delimiter", F.posexplode(F.slice("_lines", 2, 1_000_000_000)).alias("_at", "_line"))
-    rows = rows.withColumn("cells", fields_of(F.col("_line"), F.col("_delimiter"))).where(F.exists("cells", lambda c: c != ""))
-    return from_cells(rows, dialect, lambda name: _cell(dialect, name), (F.col("_at") + 1).cast("int"), F.to_json("cells"))
+    rows = _with_lines(files, dialect).withColumn("_missing", missing(dialect))
+    rows = rows.withColumn("_error", F.when(F.size("_missing") > 0, F.concat(F.lit("no column for "), F.array_join("_missing", ", "))))
+    lines = F.when(F.col("_error").isNotNull() & (F.size("_lines") > 0), F.array(F.lit(""))).otherwise(F.slice("_lines", 2, 1_000_000_000))
+    rows = rows.select("file", "headers", "_delimiter", "_error", F.posexplode(lines).alias("_at", "_line"))
+    rows = rows.withColumn("cells", fields_of(F.col("_line"), F.col("_delimiter"))).where(F.col("_error").isNotNull() | F.exists("cells", lambda c: c != ""))
+    good = F.col("_error").isNull()
+    return from_cells(rows, dialect, lambda name: _cell(dialect, name), F.when(good, F.col("_at") + 1).cast("int"), F.when(good, F.to_json("cells")), F.col("_error"))
 
 
-def from_cells(rows: DataFrame, dialect: Dialect, cell, number: Column, raw: Column) -> DataFrame:
-    """The normalised schema from a function that gives a field's text."""
+def from_cells(rows: DataFrame, dialect: Dialect, cell, number: Column, raw: Column, error: Column) -> DataFrame:
+    """The normalised schema from a function that gives a field's text; rows with an error have nothing else but their file and store."""
     made = {name: cell(name) for name in TEXT_FIELDS}
     made["store_identifier"] = F.coalesce(made["store_identifier"], store_of(F.col("file"), dialect))
     made |= {name: parse_price(cell(name)) for name in PRICE_FIELDS}
     made |= {name: parse_date(cell(name), zoned=True) for name in DATE_FIELDS}
     made["barcodes"] = barcode_list(cell("barcodes"))
-    return rows.select("file", *[c.alias(n) for n, c in made.items()], number.alias("row_number"), raw.alias("raw_data"))
+    return rows.select("file", *[c.alias(n) for n, c in made.items()], number.alias("row_number"), raw.alias("raw_data"), error.alias("error"))
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

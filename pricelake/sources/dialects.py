@@ -240,7 +240,7 @@ DIALECTS: dict[str, Dialect] = {
         Dialect("studenac", _STUDENAC, None, None, (r"-T(\d+)-",), tags=("product", "Product", "Proizvod", "proizvod", "item", "Item")),
         Dialect("kaufland", _with_plain(_KAUFLAND), "\t", "UTF-8", (r"_(\d{4})_\d{8}_", r"_(\d{4})_")),
         Dialect("eurospin", _EUROSPIN, ";", "UTF-8", (r"^[^-]*-([^-]+)",)),
-        Dialect("dm", _DM, None, None, (), skipped_rows=3),
+        Dialect("dm", _DM, None, None, (), skipped_rows=3, store="dm_national"),
         Dialect("ktc", _KTC, ";", "windows-1250", (r"(PJ[\dA-Z]+-\d+)-\d{8}-\d{6}\.csv$", r"(PJ[\dA-Z]+)-\d+-\d{8}")),
         Dialect("metro", _with_plain(_METRO), ",", "UTF-8", (r"_S(\d+)_",), renamed=((r"(?i)^sidrena_\d{2}_\d{2}$", "SIDRENA"),)),
         Dialect("trgocentar", _TRGOCENTAR, None, None, (r"P(\d{3})",), tags=("cjenik",)),

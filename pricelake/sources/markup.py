@@ -235,9 +235,9 @@ def normalised(files: DataFrame, dialect: Dialect) -> DataFrame:
     """Rows in the normalised schema; the dialect's columns are paths in the item, such as ``naziv`` or ``Store/Id``.
 
     The first path with text wins, so a price falls back from one element to another. Repeated barcode elements are
-    all read. Files with an error have no rows here (see ``items``).
+    all read. A file with an error gives one row that tells it (see ``items``).
     """
-    rows, paths = items(files, dialect.tags).where("error IS NULL"), dialect.columns
+    rows, paths = items(files, dialect.tags), dialect.columns
 
     def cell(name: str) -> Column:
         if name == "barcodes":
@@ -246,7 +246,7 @@ def normalised(files: DataFrame, dialect: Dialect) -> DataFrame:
         found = [F.nullif(F.try_element_at(F.filter(values(p), lambda v: v != ""), F.lit(1)), F.lit("")) for p in paths.get(name, ())]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
-    return from_cells(rows, dialect, cell, (F.col("at") + 1).cast("int"), F.col("item"))
+    return from_cells(rows, dialect, cell, (F.col("at") + 1).cast("int"), F.col("item"), F.col("error"))
 
 
 def read_markup(spark: SparkSession, path: str, dialect: Dialect, pattern: str = "*.xml") -> DataFrame:

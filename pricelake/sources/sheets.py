@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ MEMBER_TYPES = ("csv", "xml", "xlsx", "txt")
 SKIPPED = ("__MACOSX", ".DS_Store", "Thumbs.db")
 MOST_MEMBER, MOST_TOTAL, MOST_MEMBERS = 100 << 20, 1 << 30, 10_000
 
+#: Rows of a sheet that are held at once.
+BATCH = 4096
+
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -45,53 +49,93 @@ def _sheet_file(z: zipfile.ZipFile, sheet: int | str) -> str:
     raise KeyError(f"no sheet {sheet}")
 
 
-def sheet_rows(content: bytes, sheet: int | str = 0) -> list[list[str]]:
-    """The cells of a sheet as texts, blank ones empty."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        out = []
-        for row in ElementTree.fromstring(z.read(_sheet_file(z, sheet))).iter(f"{_SHEET}row"):
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    """The workbook's table of texts, which cells refer to by number."""
+    out: list[str] = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as member:
+            for _, element in ElementTree.iterparse(member):
+                if element.tag == f"{_SHEET}si":
+                    out.append("".join(t.text or "" for t in element.iter(f"{_SHEET}t")))
+                    element.clear()
+    return out
+
+
+def sheet_rows(z: zipfile.ZipFile, sheet: int | str, shared: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The number and cells of each row of a sheet that isn't blank, as texts, row by row; the sheet isn't held in memory."""
+    with z.open(_sheet_file(z, sheet)) as member:
+        number, rows = 0, None
+        for event, element in ElementTree.iterparse(member, ("start", "end")):
+            if event == "start":
+                rows = element if element.tag == f"{_SHEET}sheetData" else rows
+                continue
+            if element.tag != f"{_SHEET}row":
+                continue
+            number = int(element.get("r") or number + 1)
             cells: dict[int, str] = {}
-            for i, c in enumerate(row.iter(f"{_SHEET}c")):
+            for i, c in enumerate(element.iter(f"{_SHEET}c")):
                 value = c.findtext(f"{_SHEET}v") or "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
                 cells[_place(c.get("r")) if c.get("r") else i] = shared[int(value)] if c.get("t") == "s" and value else value
-            out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-        return out
+            if any(v.strip() for v in cells.values()):
+                yield number, [cells.get(i, "") for i in range(max(cells) + 1)]
+            rows.clear()
+
+
+_CELLS = pa.schema([("file", pa.string()), ("row_number", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+
+
+def cell_batches(path: str, opened, sheet: int | str) -> Iterator[pa.RecordBatch]:
+    """A workbook's rows (file, row_number, cells, error) in batches of at most BATCH; an error gives a row of its own."""
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CELLS, strict=True)], schema=_CELLS)
+        rows.clear()
+        return made
+
+    try:
+        with zipfile.ZipFile(opened) as z:
+            for number, cells in sheet_rows(z, sheet, shared_strings(z)):
+                rows.append((path, number, cells, None))
+                if len(rows) == BATCH:
+                    yield batch()
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
+        rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+    if rows:
+        yield batch()
 
 
 def workbook_cells(files: DataFrame, sheet: int | str = 0) -> DataFrame:
     """(file, row_number, cells, error) of spreadsheet files (path, content); blank rows are left out.
 
-    A file that can't be read gives one row with its error, and nulls.
+    A file that can't be read gives a row with its error, and nulls; rows before the place where it breaks off are there.
+    ``spark.read.format("workbook")`` reads the same from a folder (see ``workbooks``).
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    made = sheet_rows(content, sheet)
-                    rows += [(path, i + 1, cells, None) for i, cells in enumerate(made) if any(c.strip() for c in cells)]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError) as e:
-                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["file", "row_number", "cells", "error"]).astype({"row_number": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in batches:
+            for at in range(frame.num_rows):
+                yield from cell_batches(frame.column(0)[at].as_py(), io.BytesIO(frame.column(1)[at].as_py() or b""), sheet)
 
-    return files.select("path", "content").mapInPandas(run, "file string, row_number int, cells array<string>, error string")
+    return files.select("path", "content").mapInArrow(run, "file string, row_number int, cells array<string>, error string")
 
 
 def normalised(files: DataFrame, dialect: Dialect, sheet: int | str = 0) -> DataFrame:
-    """Workbooks in the normalised schema. Those whose first row has the dialect's name and price headers are read by
-    headers, all others by its positions, after its skipped rows; files that can't be read have no rows here (see ``workbook_cells``).
+    """Workbook files (path, content) in the normalised schema; see ``rows_of``."""
+    return rows_of(workbook_cells(files, sheet), dialect)
+
+
+def rows_of(cells: DataFrame, dialect: Dialect) -> DataFrame:
+    """Workbooks' cells (file, row_number, cells, error) in the normalised schema. Those whose first row has the dialect's name and price headers are read by
+    headers, all others by its positions, after its skipped rows. A file that can't be read gives one row with its error.
     """
-    cells = workbook_cells(files, sheet).where("error IS NULL").drop("error")
-    first = cells.groupBy("file").agg(F.min_by("cells", "row_number").alias("_first"), F.min("row_number").alias("_at"))
+    first = cells.where("error IS NULL").groupBy("file").agg(F.min_by("cells", "row_number").alias("_first"), F.min("row_number").alias("_at"))
     first = first.withColumn("headers", headers_of(F.col("_first"), dialect))
     words = lambda f: F.array(*[normalize_header(F.lit(h)) for h in dialect.columns[f] if not h.isdigit()])
     named = F.arrays_overlap("headers", words("name")) & F.arrays_overlap("headers", words("price"))
-    rows = cells.join(first.withColumn("_named", named), "file")
-    rows = rows.where(F.when(F.col("_named"), F.col("row_number") > F.col("_at")).otherwise(F.col("row_number") > dialect.skipped_rows))
+    rows = cells.select("file", "row_number", "cells", "error").join(first.withColumn("_named", named), "file", "left")
+    begins = F.when(F.col("_named"), F.col("_at")).otherwise(F.lit(dialect.skipped_rows))
+    rows = rows.where(F.col("error").isNotNull() | (F.col("row_number") > begins))
 
     def cell(field: str) -> Column:
         found = []
@@ -103,7 +147,7 @@ def normalised(files: DataFrame, dialect: Dialect, sheet: int | str = 0) -> Data
                 found.append(F.when(F.col("_named") & (at > 0), F.try_element_at("cells", F.greatest(at, F.lit(1)))))
         return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in found]) if found else F.lit(None).cast("string")
 
-    return from_cells(rows, dialect, cell, F.col("row_number"), F.to_json("cells"))
+    return from_cells(rows, dialect, cell, F.col("row_number"), F.to_json("cells"), F.col("error"))
 
 
 def archive_members(files: DataFrame) -> DataFrame:

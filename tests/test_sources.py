@@ -108,6 +108,8 @@ def test_headers_of_each_chain(spark, tmp_path, chain):
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / name).write_text(f"a{dialect.delimiter}b\n1{dialect.delimiter}2\n")
     assert sorted(r["field"] for r in delimited.missing_columns(delimited.read_files(spark, str(tmp_path / "other")), dialect).collect()) == ["name", "price"]
+    (row,) = delimited.read_delimited(spark, str(tmp_path / "other"), dialect).collect()
+    assert row["error"] == "no column for name, price" and row["name"] is None and row["row_number"] is None and row["store_identifier"] == store
 
 
 def test_lidl_store_names(spark):
@@ -141,6 +143,31 @@ def test_workbook_chain(spark):
     got = {r["name"]: r for r in sheets.normalised(files, DIALECTS["dm"]).collect()}
     assert set(got) == {"Sapun", "Krema", "Gel"} and (got["Sapun"]["external_id"], got["Sapun"]["brand"], got["Sapun"]["barcodes"]) == ("77", "Marka", ["385"])
     assert (got["Krema"]["price"], got["Krema"]["discount_price"], got["Krema"]["barcodes"]) == (349, 299, ["12"])
+    assert {r["store_identifier"] for r in got.values()} == {"dm_national"}
+    broken = spark.createDataFrame([("x.xlsx", bytearray(b"no")), ("none.xlsx", None)], "path string, content binary")
+    assert [(r["error"] is not None, r["name"], r["row_number"]) for r in sheets.normalised(broken, DIALECTS["dm"]).collect()] == [(True, None, None)] * 2
+
+
+def test_workbook_source(spark, tmp_path):
+    from pricelake.sources import workbooks
+
+    books = {f"in/{i}.xlsx": workbook([["a", str(i)], [], ["", "b"]]) for i in range(3)} | {"in/deep/big.XLSX": workbook([[f"r{i}", "x"] for i in range(10_000)]), "in/broken.xlsx": b"x", "in/no.txt": b"x"}
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in books.items()], "path string, content binary")
+    assert workbooks.written_files(files, str(tmp_path)) == 6 and workbooks.written_files(files, f"file:{tmp_path}") == 6
+    got = workbooks.read_workbooks(spark, f"{tmp_path}/in", partition_bytes=1)
+    assert got.rdd.getNumPartitions() == 5
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["file"].rsplit("/", 1)[-1], []).append((r["row_number"], r["cells"], r["error"] is not None))
+    assert rows["1.xlsx"] == [(1, ["a", "1"], False), (3, ["", "b"], False)] and rows["broken.xlsx"] == [(None, None, True)]
+    assert rows["big.XLSX"] == [(i + 1, [f"r{i}", "x"], False) for i in range(10_000)] and len(rows) == 5
+    one = workbooks.read_workbooks(spark, f"{tmp_path}/in/2.xlsx", sheet=0)
+    assert [r["row_number"] for r in one.collect()] == [1, 3]
+    assert all(r["error"] and r["cells"] is None for r in workbooks.read_workbooks(spark, f"{tmp_path}/in", sheet="none").collect())
+    with pytest.raises(Exception, match="nowhere"):
+        workbooks.read_workbooks(spark, f"{tmp_path}/nowhere").collect()
+    (tmp_path / "empty").mkdir()
+    assert workbooks.read_workbooks(spark, f"{tmp_path}/empty").count() == 0
 
 
 def test_discovery(spark):
