@@ -42,10 +42,19 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(bytes(_TABLE)).split()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = every = 0
+    for batch in batches_of(batches, 512):
+        for text in batch.column(0):
+            n = len(terms(text.as_buffer().to_pybytes())) if text.is_valid else 0
+            docs, every = docs + (n > 0), every + n
+    yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([every], pa.int64())], names=["docs", "every"])
+
+
 def totals(docs: DataFrame) -> tuple[int, int]:
     """How many texts have a term, and how many terms there are with repeats."""
-    count = F.regexp_count("text", F.lit(f"[^{SEPARATORS}]+"))
-    row = docs.select(count.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "docs long, every long")
+    row = counts.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
