@@ -131,3 +131,37 @@ def variation_report(store_prices: DataFrame) -> DataFrame:
 def signature(*columns: str) -> Column:
     """A hash of a row's prices by value."""
     return F.sha2(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("N")) for c in columns]), 256)
+
+
+def signature_clusters(store_prices: DataFrame, price: str = "price") -> DataFrame:
+    """Per chain: stores, how many different price lists they have, and the share of stores with the commonest one.
+
+    A list's signature is an order-free sum of hashes of its lines, made without gathering a store's lines.
+    """
+    line = F.xxhash64("item_id", price).cast("decimal(20,0)")
+    again = F.xxhash64(price, "item_id", F.lit(1)).cast("decimal(20,0)")
+    stores = store_prices.groupBy("chain_slug", "store_id").agg(F.sum(line).alias("a"), F.sum(again).alias("b"), F.count("*").alias("n"))
+    clusters = stores.groupBy("chain_slug", "a", "b", "n").agg(F.count("*").alias("stores"))
+    total = F.sum("stores")
+    return clusters.groupBy("chain_slug").agg(total.alias("stores"), F.count("*").alias("clusters"), F.round(F.max("stores") / total, 6).alias("largest_share"))
+
+
+def assortment_coverage(store_prices: DataFrame) -> DataFrame:
+    """Per store: its items, those of its chain, the share it has, and the mean share of the chain's stores that have its items."""
+    lines = store_prices.select("chain_slug", "store_id", "item_id").distinct()
+    spread = lines.groupBy("chain_slug", "item_id").agg(F.count("*").alias("_in"))
+    chain = spread.groupBy("chain_slug").agg(F.count("*").alias("chain_items"))
+    every = lines.groupBy("chain_slug", "store_id").agg(F.count("*").alias("items"))
+    stores = every.groupBy("chain_slug").agg(F.count("*").alias("_stores"))
+    # An item is in as many lists as its chain has stores at most, and each line meets one row of its item.
+    shared = lines.join(spread, ["chain_slug", "item_id"]).groupBy("chain_slug", "store_id").agg(F.sum("_in").alias("_sum"))
+    rows = every.join(shared, ["chain_slug", "store_id"]).join(chain, "chain_slug").join(stores, "chain_slug")
+    return rows.select("chain_slug", "store_id", "items", "chain_items", F.round(F.col("items") / F.col("chain_items"), 6).alias("coverage"), F.round(F.col("_sum") / F.col("items") / F.col("_stores"), 6).alias("mean_spread"))
+
+
+def snapshot_health(snapshots: DataFrame, key: str, now: datetime, most_age_minutes: int = 60) -> DataFrame:
+    """Per kept snapshot of a file source: rows, files, bytes, when it was written, and whether it is stale at ``now``."""
+    rows = snapshots.select(key, "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = rows.groupBy(key, "file_path").agg(F.count("*").alias("_rows"), F.first("file_size").alias("_size"), F.max("file_modification_time").alias("_at"))
+    made = files.groupBy(key).agg(F.sum("_rows").alias("rows"), F.count("*").alias("files"), F.sum("_size").alias("bytes"), F.max("_at").alias("written_at"))
+    return made.withColumn("is_stale", F.col("written_at") < F.lit(now) - F.expr(f"INTERVAL {int(most_age_minutes)} MINUTES"))
