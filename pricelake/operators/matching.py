@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.codes import cosine, jaccard, normalize_barcode, trigrams
@@ -60,19 +65,57 @@ def barcode_outcomes(sanity: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("code", "n_items", "sanity", outcome.alias("outcome"))
 
 
+#: Texts of a block on either side of a trigram search.
+LEFT_BLOCK, RIGHT_BLOCK = 4096, 16384
+
+
+def _block_matches(least: float, most: int) -> Callable:
+    """The best matches of a block of left texts in a block of right ones, found by the right block's index of trigrams."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("b")  # so that ties are by ascending id
+        sizes = right.column("grams").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        grams = right.column("grams").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], np.repeat(np.arange(sizes.size), sizes)[order]
+        rows, matches, scores = [], [], []
+        for i, own in enumerate(left.column("grams").to_pylist()):
+            if not sizes.size:
+                break
+            first, end = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+            hits = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange((end - first).sum())
+            common = np.bincount(owner[hits], minlength=sizes.size)
+            alike = common / (len(own) + sizes - common)
+            found = np.flatnonzero(alike > least)
+            found = found[np.lexsort((found, -alike[found]))[:most]]
+            rows.append(np.full(found.size, i))
+            matches.append(found)
+            scores.append(alike[found])
+        none = np.zeros(0, dtype=np.int64)
+        at, match = np.concatenate(rows or [none]), np.concatenate(matches or [none])
+        return pa.table({"a": left.column("a").take(pa.array(at)), "b": right.column("b").take(pa.array(match)), "similarity": np.concatenate(scores or [none.astype(float)])})
+
+    return run
+
+
 def trigram_matches(left: DataFrame, right: DataFrame, least: float = LEAST_TRIGRAM, most: int = MOST_TRIGRAM) -> DataFrame:
-    """Pairs of texts whose trigram sets are more alike than ``least``, the ``most`` best of each left one.
+    """Pairs of texts (id, text) whose trigram sets are more alike than ``least``, the ``most`` best of each left one.
 
-    An inverted index instead of a cross product: both sides are exploded to trigrams, and shared ones are counted. With
-    c shared of a and b, the similarity is c / (a + b - c). Both sides are (id, text) with different texts, so
-    that a common name costs one row.
+    With c shared of a and b, the similarity is c / (a + b - c). The left texts are a set of queries that meets all right ones block by
+    block: a task has a block of each side, and gives at most ``most`` matches of each left text, so no pair is a row before it is
+    known to count, and a trigram that most texts have is no key. Texts without trigrams match nothing; ids are unique.
     """
-    a = left.select(F.col("id").alias("a"), trigrams(F.col("text")).alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("t"))
-    b = right.select(F.col("id").alias("b"), trigrams(F.col("text")).alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("t"))
-    shared = a.join(b, "t").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("similarity") > least)
+    parts = lambda frame, size: max(1, -(-frame.count() // size))
+    n_left, n_right = parts(left, LEFT_BLOCK), parts(right, RIGHT_BLOCK)
+    grams = F.transform(trigrams(F.col("text")), lambda t: F.xxhash64(t))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    a = left.select(F.col("id").alias("a"), grams.alias("grams"), deal(n_left).alias("l")).where(F.size("grams") > 0).withColumn("r", each(n_right))
+    b = right.select(F.col("id").alias("b"), grams.alias("grams"), deal(n_right).alias("r")).where(F.size("grams") > 0).withColumn("l", each(n_left))
+    schema = StructType([StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("similarity", DoubleType())])
+    found = a.groupBy("l", "r").cogroup(b.groupBy("l", "r")).applyInArrow(_block_matches(least, most), schema)
     w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("a", "b", "similarity", "rank")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("a", "b", "similarity", "rank")
 
 
 def reranked(pairs: DataFrame, vectors: DataFrame, kept: int = KEPT) -> DataFrame:
@@ -103,16 +146,19 @@ def decisions(best: DataFrame, conflict: Column) -> DataFrame:
     return best.withColumn("decision", choice)
 
 
-def retrieval_metrics(ranked: DataFrame, k: int = KEPT) -> DataFrame:
-    """Precision and hit rate at k, hit rate at 1, and mean reciprocal rank, of rows (query, rank, relevant)."""
-    per = ranked.where(F.col("rank") <= k).groupBy("query").agg(
-        F.count_if("relevant").alias("hits"), F.max(F.when(F.col("rank") == 1, F.col("relevant").cast("int"))).alias("first"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("best")
-    )
+def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int = KEPT) -> DataFrame:
+    """Precision, recall and hit rate at k, hit rate at 1, and mean reciprocal rank.
+
+    ``ranked`` has (query, candidate, rank), ``truth`` the relevant pairs (query, candidate), each once. Queries are those of the
+    truth; one for which nothing was found counts with zeros, so each mean is over all queries.
+    """
+    found = ranked.where(F.col("rank") <= k).select("query", "candidate", "rank")
+    per = truth.join(found, ["query", "candidate"], "left").groupBy("query").agg(F.count("*").alias("relevant"), F.count("rank").alias("hits"), F.min("rank").alias("best"))
+    mean = lambda value: F.round(F.avg(value), 6)
     return per.agg(
-        F.count("*").alias("queries"), F.round(F.sum("hits") / (F.count("*") * k), 6).alias("precision_at_k"),
-        F.round(F.sum(F.when(F.col("hits") > 0, 1).otherwise(0)) / F.count("*"), 6).alias("hit_at_k"),
-        F.round(F.sum("first") / F.count("*"), 6).alias("hit_at_1"), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"),
-    )
+        F.count("*").alias("queries"), mean(F.col("hits") / k).alias("precision_at_k"), mean(F.col("hits") / F.col("relevant")).alias("recall_at_k"), mean((F.col("hits") > 0).cast("double")).alias("hit_at_k"),
+        mean(F.coalesce((F.col("best") == 1).cast("double"), F.lit(0.0))).alias("hit_at_1"), mean(F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("mrr"),
+    )
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:

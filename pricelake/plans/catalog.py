@@ -416,37 +416,61 @@ def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     return names.withColumn("similarity", like).where("similarity > 0").orderBy(F.desc("similarity"), "text").limit(20).withColumn("similarity", F.round("similarity", 6))
 
 
-_PAIRS = """with pairs as (select a.vec_id as item, b.vec_id as candidate, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as similarity, a.label = b.label as same
-      from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id),
+# Items are pages with vectors, their names the URLs; an item's brand is the last word of its host but one.
+_PAGES = """with items as (select page_id as id, url as text, cast(embedding as double[]) as v, label, string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')[-2] as brand from pages join embeddings on vec_id = page_id),
+    words as (select id, unnest(regexp_split_to_array(lower(text), '[^0-9a-z]+')) as w from items),
+    grams as (select distinct id, substr(concat('  ', w, ' '), i, 3) as t from words, unnest(range(1, length(w) + 2)) as r(i) where w <> ''),
+    sizes as (select id, count(*) as n from grams group by 1),
+    shared as (select a.id as a, b.id as b, count(*) as c from grams a join grams b on a.t = b.t where a.id <> b.id group by 1, 2),
+    alike as (select a, b, c * 1.0e0 / (x.n + y.n - c) as s from shared join sizes x on x.id = a join sizes y on y.id = b),
+    near as (select a, b from (select *, row_number() over (partition by a order by s desc, b) as rank from alike where s > 0.1) where rank <= 200),
+    pairs as (select a as item, b as candidate, list_cosine_similarity(x.v, y.v) as similarity from near join items x on x.id = a join items y on y.id = b),
     ranked as (select *, row_number() over (partition by item order by round(similarity, 9) desc, candidate) as rank from pairs) """
 
 
+def _page_items(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("text"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    brand = F.try_element_at(F.split(F.regexp_extract("text", "://([^/?#]*)", 1), r"\."), F.lit(-2))
+    return pages.join(vectors, "id").withColumn("brand", brand)
+
+
 def _cosine_ranked(spark: SparkSession, d: str, kept: int = 5) -> DataFrame:
-    """Items with candidates of the same class, by rounded cosine."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    pairs = v.select(F.col("id").alias("item"), "label").join(v.select(F.col("id").alias("candidate"), "label"), "label").where("item <> candidate").select("item", "candidate")
-    return matching.reranked(pairs, v.select("id", "vector"), kept)
+    """The two stages: items that are alike by trigrams, at most 200, then the best of these by cosine."""
+    items = _page_items(spark, d)
+    names = items.select("id", "text")
+    near = matching.trigram_matches(names, names, most=matching.MOST_TRIGRAM + 1).where("a <> b")
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("rank"))).where(F.col("_n") <= matching.MOST_TRIGRAM)
+    return matching.reranked(near.select(F.col("a").alias("item"), F.col("b").alias("candidate")), items.select("id", "vector"), kept)
 
 
-@_query("mt11_cosine_rerank", _PAIRS + "select item, candidate, round(similarity, 6) as similarity, rank from ranked where rank <= 5")
+@_query("mt11_cosine_rerank", _PAGES + "select item, candidate, round(similarity, 6) as similarity, rank from ranked where rank <= 5")
 def cosine_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _cosine_ranked(spark, d).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query("mt12_match_decisions", _PAIRS + """select item, candidate, round(similarity, 6) as similarity,
-    case when similarity < 0.8 then 'no_match' when item % 10 = 0 then 'review' when similarity >= 0.95 then 'auto_link' else 'review' end as decision from ranked where rank = 1""")
+@_query("mt12_match_decisions", _PAGES + """, allowed as (select *, row_number() over (partition by item order by rank) as n from ranked where rank <= 5 and (item + candidate) % 7 <> 0)
+    select x.id as item, candidate, round(similarity, 6) as similarity, case when similarity is null or similarity < 0.8 then 'no_match' when lower(x.brand) <> lower(y.brand) then 'review' when similarity >= 0.95 then 'auto_link' else 'review' end as decision
+    from items x left join allowed on item = x.id and n = 1 left join items y on y.id = candidate""")
 def match_decisions(spark: SparkSession, d: str) -> DataFrame:
-    best = matching.best_candidates(_cosine_ranked(spark, d))
-    return matching.decisions(best, F.col("item") % 10 == 0).withColumn("similarity", F.round("similarity", 6))
-
-
-@_query("mt15_retrieval_metrics", _PAIRS + """, per as (select item, count(*) filter (where candidate < item) as hits, max(case when rank = 1 and candidate < item then 1 when rank = 1 then 0 end) as first_hit, min(case when candidate < item then rank end) as best
-      from ranked where rank <= 5 group by 1)
-    select count(*) as queries, round(sum(hits) / (count(*) * 5.0e0), 6) as precision_at_k, round(sum(case when hits > 0 then 1 else 0 end) / (count(*) * 1.0e0), 6) as hit_at_k,
-    round(sum(first_hit) / (count(*) * 1.0e0), 6) as hit_at_1, round(avg(coalesce(1.0e0 / best, 0)), 6) as mrr from per""")
+    items, candidates = _page_items(spark, d), _cosine_ranked(spark, d)
+    rejections = candidates.where("(item + candidate) % 7 = 0").select("item", "candidate")
+    best = matching.best_candidates(matching.without_rejected(candidates, rejections))
+    own = items.select(F.col("id").alias("item"), F.col("brand").alias("own"))
+    rows = own.join(best, "item", "left").join(items.select(F.col("id").alias("candidate"), F.col("brand").alias("other")), "candidate", "left")
+    conflict = F.coalesce(matching.brand_conflict(F.col("own"), F.col("other")), F.lit(False))
+    return matching.decisions(rows, conflict).select("item", "candidate", F.round("similarity", 6).alias("similarity"), "decision")
+
+
+@_query("mt15_retrieval_metrics", _PAGES + """, truth as (select p_partkey % 250 as q, p_partkey * 7 % 250 as c from part group by 1, 2),
+    per as (select q, count(*) as relevant, count(rank) as hits, min(rank) as best from truth left join (select * from ranked where rank <= 5) on item = q and candidate = c group by 1)
+    select count(*) as queries, round(avg(hits / 5.0e0), 6) as precision_at_k, round(avg(hits * 1.0e0 / relevant), 6) as recall_at_k, round(avg(case when hits > 0 then 1.0e0 else 0 end), 6) as hit_at_k,
+    round(avg(case when best = 1 then 1.0e0 else 0 end), 6) as hit_at_1, round(avg(coalesce(1.0e0 / best, 0)), 6) as mrr from per""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _cosine_ranked(spark, d).select(F.col("item").alias("query"), "rank", (F.col("candidate") < F.col("item")).alias("relevant"))
-    return matching.retrieval_metrics(ranked)
+    ranked = _cosine_ranked(spark, d).select(F.col("item").alias("query"), "candidate", "rank")
+    key = F.col("p_partkey")
+    truth = table(spark, d, "part").select((key % 250).alias("query"), (key * 7 % 250).alias("candidate")).distinct()
+    return matching.retrieval_metrics(ranked, truth)
 
 
 @_query("jn11_unmatched_items", "select p_partkey as item_id from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 46) and p_partkey not in (select l_partkey from lineitem where l_quantity < 2)")

@@ -129,3 +129,40 @@ def test_search_escapes_wildcards(spark):
     assert [tuple(r) for r in catalog.item_search(items, state, "00% j").collect()] == [("1", "100% juice", "b", 150, 2)]
     with pytest.raises(ValueError):
         catalog.item_search(items, state, "ab")
+
+
+def test_trigram_search_in_blocks(spark, monkeypatch):
+    from pricelake.operators import matching
+
+    names = ["Milk whole 1l", "milk WHOLE 1 l", "Whole milk", "šećer", "Secer 1kg", "", "!!", None, "x", "bread", "bread white", "white bread", "b" * 500]
+    frame = spark.createDataFrame(list(enumerate(names)), "id int, text string")
+
+    def grams(text):
+        words = "".join(c if c.isascii() and c.isalnum() else " " for c in (text or "").lower()).split()
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    def want(most):
+        out = set()
+        for a, x in enumerate(names):
+            rows = [(len(grams(x) & grams(y)) / len(grams(x) | grams(y)), b) for b, y in enumerate(names) if grams(x) and grams(y)]
+            out |= {(a, b, r, round(s, 9)) for r, (s, b) in enumerate(sorted((r for r in rows if r[0] > 0.1), key=lambda r: (-r[0], r[1]))[:most], 1)}
+        return out
+
+    ascii_only = frame.where("text IS NULL OR text NOT LIKE 'š%'")
+    expected = {most: {row for row in want(most) if 3 not in row[:2]} for most in (2, 200)}
+    for sizes in ((4096, 16384), (3, 2)):
+        monkeypatch.setattr(matching, "LEFT_BLOCK", sizes[0])
+        monkeypatch.setattr(matching, "RIGHT_BLOCK", sizes[1])
+        got = {(r["a"], r["b"], r["rank"], round(r["similarity"], 9)) for r in matching.trigram_matches(ascii_only, ascii_only).collect()}
+        assert got == expected[200]
+    best = {(r["a"], r["b"]) for r in matching.trigram_matches(ascii_only, ascii_only, most=1).collect()}
+    assert best == {(a, b) for a, b, r, _ in expected[2] if r == 1}
+    assert matching.trigram_matches(frame.limit(0), frame).count() == 0 and matching.trigram_matches(frame, frame.limit(0)).count() == 0
+
+
+def test_retrieval_metrics(spark):
+    from pricelake.operators import matching
+
+    ranked = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 9, 1), (2, 7, 2), (4, 1, 1)], "query int, candidate int, rank long")
+    truth = spark.createDataFrame([(1, 7), (1, 5), (2, 7), (3, 1)], "query int, candidate int")
+    assert tuple(matching.retrieval_metrics(ranked, truth, k=2).first()) == (3, 0.333333, 0.5, 0.666667, 0.333333, 0.5)
