@@ -28,9 +28,18 @@ def penalised_lines(lines: DataFrame, averages: DataFrame) -> DataFrame:
 
 
 def offers(lines: DataFrame, stores: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each basket line at each store of the basket's chain; ``total`` is null where the store lacks the item."""
-    pairs = lines.join(stores.select("chain_slug", "store_id"), "chain_slug")
-    return pairs.join(prices.select("store_id", "item_id", "effective"), ["store_id", "item_id"], "left").withColumn("total", F.col("effective") * F.col("quantity"))
+    """Each basket line at each store of the basket's chain; ``total`` is null where the store lacks the item.
+
+    A line meets one row, the item's prices by store of its chain; only then are there as many rows as stores. The result is
+    dealt out by basket, so that what is done by basket after it needs no shuffle.
+    """
+    chains = stores.select("chain_slug", "store_id")
+    sheets = prices.join(chains, "store_id").groupBy("chain_slug", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("store_id", "effective"))).alias("_sheet"))
+    lists = chains.groupBy("chain_slug").agg(F.array_distinct(F.collect_list("store_id")).alias("_stores"))
+    rows = lines.join(lists, "chain_slug").join(sheets, ["chain_slug", "item_id"], "left").repartition("basket_id")
+    rows = rows.withColumn("store_id", F.explode("_stores")).drop("_stores")
+    price = F.try_element_at("_sheet", F.col("store_id"))
+    return rows.withColumn("effective", price).drop("_sheet").withColumn("total", F.col("effective") * F.col("quantity"))
 
 
 def single_store(offer: DataFrame) -> DataFrame:
@@ -76,14 +85,17 @@ def candidates(evaluated: DataFrame, near: DataFrame | None = None) -> DataFrame
 
 
 def greedy(offer: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Each line from the candidate that sells it cheapest (ties: the smaller id); lines that none sells have no store."""
-    sold = offer.join(chosen, ["basket_id", "store_id"]).where("total IS NOT NULL")
-    best = sold.groupBy("basket_id", "item_id").agg(F.min(F.struct("total", "store_id")).alias("b"))
-    lines = offer.select("basket_id", "item_id", "quantity", "penalty").distinct().join(chosen.select("basket_id").distinct(), "basket_id", "left_semi")
-    return lines.join(best, ["basket_id", "item_id"], "left").select(
-        "basket_id", "item_id", F.col("b.store_id").alias("store_id"), F.col("b.total").alias("line_total"),
-        F.when(F.col("b").isNull(), F.col("penalty") * F.col("quantity")).otherwise(F.lit(0)).alias("missing_penalty"),
-    )
+    """Each line from the candidate that sells it cheapest (ties: the smaller id); lines that none sells have no store.
+
+    A basket has an item once. Baskets without candidates are left out. Candidates meet the offers as a list of each basket's.
+    """
+    lists = chosen.groupBy("basket_id").agg(F.collect_set("store_id").alias("_chosen"))
+    rows = offer.join(lists, "basket_id")
+    sold = F.array_contains("_chosen", F.col("store_id")) & F.col("total").isNotNull()
+    best = rows.groupBy("basket_id", "item_id").agg(F.min(F.when(sold, F.struct("total", "store_id"))).alias("b"), F.first(F.col("penalty") * F.col("quantity")).alias("_penalty"))
+    return best.select(
+        "basket_id", "item_id", F.col("b.store_id").alias("store_id"), F.col("b.total").alias("line_total"), F.when(F.col("b").isNull(), F.col("_penalty")).otherwise(F.lit(0)).alias("missing_penalty"),
+    )
 
 
 def allocation_totals(allocation: DataFrame) -> DataFrame:

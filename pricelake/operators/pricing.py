@@ -73,11 +73,18 @@ def membership_intervals(snapshots: DataFrame, keys: list[str], time: str, value
 
 
 def as_of(intervals: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
-    """The value valid at each probe's ``at``: an equi join on the keys with a range, the latest interval winning."""
-    held = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    joined = probes.join(intervals, keys, "left").where(held)
-    w = Window.partitionBy(*keys, "at").orderBy(F.desc("valid_from"))
-    return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The value valid at each probe's ``at``; probes without one are left out. A key's intervals don't overlap.
+
+    Intervals and probes of a key are put in the order of time, and a probe takes the last interval before it, so no probe meets
+    all intervals of its key.
+    """
+    held, asked = ([c for c in frame.columns if c not in keys] for frame in (intervals, probes))
+    left = intervals.select(*keys, F.col("valid_from").alias("_t"), F.lit(0).alias("_kind"), F.struct(*held).alias("_i"))
+    right = probes.select(*keys, F.col("at").cast(intervals.schema["valid_from"].dataType).alias("_t"), F.lit(1).alias("_kind"), F.struct(*asked).alias("_p"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("_i", F.last("_i", ignorenulls=True).over(w)).where("_p IS NOT NULL AND _i IS NOT NULL")
+    valid = F.col("_i.valid_to").isNull() | (F.col("_t") < F.col("_i.valid_to"))
+    return rows.where(valid).select(*keys, "_p.*", "_i.*")
 
 
 def price_changes(observations: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
