@@ -138,3 +138,18 @@ def exhaustive(offer: DataFrame, chosen: DataFrame, most_stores: int = 3) -> Dat
     scored = tried.select("basket_id", "places", found.alias("n_found"), total.alias("total"), F.size("places").alias("n_stores"), F.size("lines").alias("n_lines"))
     top = scored.groupBy("basket_id").agg(F.min(F.struct((-F.col("n_found")).alias("f"), "total", "n_stores", "places", "n_lines")).alias("t"))
     return top.select("basket_id", "t.places", (-F.col("t.f")).cast("long").alias("n_found"), F.col("t.total").alias("total"), F.col("t.n_stores").cast("long").alias("n_stores"))
+
+
+def visit_order(allocation: DataFrame, distances: DataFrame) -> DataFrame:
+    """The stores of each basket's split with their lines and totals, in the order of a tour by distance (unknown first, as 0), then id."""
+    rows = allocation.where("store_id IS NOT NULL").groupBy("basket_id", "store_id").agg(F.count("*").alias("n_lines"), F.sum("line_total").alias("store_total"))
+    rows = rows.join(distances.select("basket_id", "store_id", F.col("km").alias("_km")), ["basket_id", "store_id"], "left").withColumn("km", F.coalesce("_km", F.lit(0.0))).drop("_km")
+    w = Window.partitionBy("basket_id").orderBy("km", "store_id")
+    return rows.withColumn("visit", F.row_number().over(w).cast("long"))
+
+
+def best_split(offer: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The split of each basket with candidates: the best set where it passes the size gate, else the greedy one; ``algorithm`` tells which."""
+    best = exhaustive(offer, chosen).select("basket_id", "n_found", "n_stores", F.col("total").alias("sorting_total"), F.lit("optimal").alias("algorithm"))
+    rest = allocation_totals(greedy(offer, chosen)).join(best.select("basket_id"), "basket_id", "left_anti")
+    return best.unionByName(rest.select("basket_id", "n_found", "n_stores", "sorting_total", F.lit("greedy").alias("algorithm")))

@@ -161,6 +161,20 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int = KEPT) -> Dat
     )
 
 
+def ranked_models(results: DataFrame) -> DataFrame:
+    """Models by what they find for their cost: recall at 10 over the total cost and a tenth of a cent, ties by name."""
+    worth = F.col("recall_at_10") / (F.col("total_cost") + 0.001)
+    return results.withColumn("worth", F.round(worth, 6)).withColumn("rank", F.row_number().over(Window.orderBy(worth.desc_nulls_last(), "model")).cast("long"))  # a row for each model
+
+
+def counts_by_status(queue: DataFrame, links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: the queue by status, links by type and by whether they are sure, and candidates."""
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    q = queue.agg(F.count("*").alias("queued"), *[is_("status", s).alias(s) for s in ("pending", "approved", "rejected", "skipped")])
+    n = links.agg(F.count("*").alias("links"), is_("match_type", "barcode").alias("by_barcode"), is_("match_type", "ai").alias("by_ai"), F.count_if(F.col("confidence") >= AUTO_LINK).alias("sure"))
+    return q.join(n, F.lit(True)).join(candidates.agg(F.count("*").alias("candidates")), F.lit(True))  # one row each
+
+
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """The first-ranked candidate of each item."""
     return candidates.groupBy("item").agg(F.min(F.struct("rank", "candidate", "similarity")).alias("c")).select("item", "c.candidate", "c.similarity")

@@ -93,6 +93,12 @@ def queue_stats(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("status").agg(F.count("*").alias("n"), F.max("priority").alias("top_priority"))
 
 
+def mean_durations(tasks: DataFrame, now: datetime, within: timedelta = timedelta(hours=1)) -> DataFrame:
+    """Mean seconds by type of the tasks completed within a time before ``now``."""
+    done = tasks.where((F.col("status") == "completed") & (F.col("completed_at") > F.lit(now - within)) & (F.col("completed_at") <= F.lit(now)))
+    return done.groupBy("task_type").agg(F.round(F.avg(F.unix_millis(F.col("completed_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))) / 1000, 6).alias("mean_seconds"))
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows, those with a key in new replaced, and new ones added."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))

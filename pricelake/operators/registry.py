@@ -70,12 +70,15 @@ def counted(rows: DataFrame, column: str, values: list[str]) -> list[Column]:
 
 
 def request_errors(lines: DataFrame, most: int = 100) -> DataFrame:
-    """Baskets with what is wrong with their lines: chain, number of lines, ids, quantities."""
+    """Baskets with what is wrong with their lines: chain, number of lines, ids, quantities, and coordinates that are no place."""
+    outside = lambda name, limit: F.count_if(~F.col(name).between(-limit, limit)).alias(name) if name in lines.columns else F.lit(0).alias(name)
     per = lines.groupBy("basket_id").agg(
         F.max(F.coalesce(F.trim("chain_slug"), F.lit(""))).alias("chain"), F.count("*").alias("n"),
         F.count_if(F.coalesce(F.trim("item_id"), F.lit("")) == "").alias("blank"), F.count_if(F.coalesce("quantity", F.lit(0)) <= 0).alias("none"),
+        outside("latitude", 90), outside("longitude", 180),
     )
     errors = F.array_compact(F.array(
         F.when(F.col("chain") == "", "chain_missing"), F.when(F.col("n") > most, "too_many_lines"), F.when(F.col("blank") > 0, "item_missing"), F.when(F.col("none") > 0, "quantity_not_positive"),
+        F.when(F.col("latitude") > 0, "latitude_out_of_range"), F.when(F.col("longitude") > 0, "longitude_out_of_range"),
     ))
     return per.select("basket_id", F.col("n").alias("n_lines"), F.array_join(errors, ",").alias("errors"))

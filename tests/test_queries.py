@@ -16,7 +16,7 @@ def _value(v):
 
 
 def _names():
-    from pricelake.plans import history as plans
+    from pricelake.plans import retail as plans
 
     return sorted(plans.SQL)
 
@@ -25,7 +25,7 @@ def _names():
 def test_query_matches_sql(spark, name):
     import duckdb
 
-    from pricelake.plans import history as plans
+    from pricelake.plans import retail as plans
 
     con = duckdb.connect()
     for f in os.listdir(DATA):
