@@ -2,7 +2,7 @@
 
 All of it is Spark SQL functions. Two interpolated Markov models of all orders up to ORDER (Witten-Bell smoothing: an
 order counts the more against the one below, the fewer different characters follow its context) are counted from
-the URLs that rules allow and block. A URL's score is the log-likelihood difference per character, and the threshold is
+the URLs that rules allow and block, which they read whole. A URL's score is the log-likelihood difference per character, and the threshold is
 calibrated on a fold of the judged URLs that the models don't see.
 
 Counts are of distinct URLs, weighted by their rows, so a common host costs no more than a rare one.
@@ -24,6 +24,8 @@ ORDER, ALPHABET = 4, 256
 _START, _END = "\x02", "\x03"
 #: Scores are calibrated in steps of this, up to this many steps from 0.
 STEP, STEPS = 0.02, 400
+#: At most so many grams are taken as common.
+COMMON = 10_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -84,33 +86,47 @@ def _threshold(judged: DataFrame) -> float:
         return 0.0
     errors = []
     for t in range(-STEPS, STEPS + 1):
-        wrong = sum((r["allow"] or 0) / allow for r in rows if r["step"] < t) + sum((r["block"] or 0) / block for r in rows if r["step"] >= t)
+        # Both shares of errors over one denominator, so that equal ones are equal.
+        wrong = sum(r["allow"] or 0 for r in rows if r["step"] < t) * block + sum(r["block"] or 0 for r in rows if r["step"] >= t) * allow
         errors.append((wrong, abs(t), t))
     return (min(errors)[2] - 0.5) * STEP
 
 
+def _scores(grams: DataFrame, counts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(text_id, score): the mean ratio of each text's grams.
+
+    A gram that is over a COMMON part of all, so one of COMMON at most, is broadcast, and its rows are dealt out by their text.
+    """
+    total = counts.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    ratios = written(ratios.join(counts.select("gram", "every"), "gram"))
+    common = ratios.where(F.col("every") * COMMON > F.lit(total)).select(F.col("gram").alias("_common"), F.col("ratio").alias("_ratio"))
+    rest = ratios.where(F.col("every") * COMMON <= F.lit(total)).select(F.col("gram").alias("_rare"), "ratio")
+    rows = grams.join(F.broadcast(common), F.col("gram") == F.col("_common"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("_common").isNull(), F.col("gram")).otherwise(F.concat("gram", F.lit(_START), F.col("text_id").cast("string"))))
+    return rows.join(rest, F.col("_key") == F.col("_rare"), "left").groupBy("text_id").agg(F.avg(F.coalesce("_ratio", "ratio")).alias("score"))
+
+
 def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """A verdict on each row's url: page_id, host, path, rule, verdict (allow or block), score.
 
-    Needs page_id and url; more columns are ignored. A null url, and one without ``://``, has an empty host and path, and
-    the models' verdict on the empty text. Hosts and paths of any length are read whole; query strings and fragments, which
-    the rules don't judge either and which mostly hold session values, are left out, so URLs that differ in nothing else
-    get the same verdict. Repeated rows get equal verdicts. Where rules
-    judge no URL one way, the threshold is 0. An empty table gives an empty result.
+    Needs page_id and url; more columns are ignored. The rules judge host and path, the models the whole URL, query string and
+    fragment too, of any length. A null url, and one without ``://``, has an empty host and path; the models judge a null one
+    as an empty text. Repeated rows get equal verdicts. Where rules judge no URL one way, the threshold is 0. An empty table
+    gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "judged": verdict})
-    texts = rows.groupBy(F.concat("host", "path").alias("text"), "judged").agg(F.count("*").alias("n"))
+    text = F.coalesce("url", F.lit("")).alias("_url")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), text).withColumns({"rule": rule, "judged": verdict})
+    texts = rows.groupBy(F.col("_url").alias("text"), "judged").agg(F.count("*").alias("n"))
     texts = written(texts.withColumn("text_id", F.monotonically_increasing_id()).withColumn("held_out", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(5)) == 0))
     grams = texts.select("text_id", "judged", "held_out", "n", F.explode(_grams(F.col("text"), order)).alias("gram"))
     counted = lambda what: F.sum(F.when((F.col("judged") == what) & ~F.col("held_out"), F.col("n")).otherwise(0)).alias(what)
-    counts = written(grams.groupBy("gram").agg(counted("allow"), counted("block")))
-    ratios = _log_ratios(counts, order)
-    scores = grams.select("text_id", "gram").join(ratios, "gram").groupBy("text_id").agg(F.avg("ratio").alias("score"))
+    counts = written(grams.groupBy("gram").agg(counted("allow"), counted("block"), F.count("*").alias("every")))
+    scores = _scores(grams.select("text_id", "gram"), counts, _log_ratios(counts, order))
     scores = written(texts.join(scores, "text_id").select("text", "judged", "held_out", "n", "score"))
     limit = _threshold(scores.where("held_out AND judged IS NOT NULL"))
     scores = scores.select(F.col("text").alias("_text"), F.col("judged").alias("_judged"), "score")
-    same = (F.concat("host", "path") == F.col("_text")) & F.col("judged").eqNullSafe(F.col("_judged"))
+    same = (F.col("_url") == F.col("_text")) & F.col("judged").eqNullSafe(F.col("_judged"))
     model = F.when(F.col("score") >= limit, "allow").otherwise("block")
     return rows.join(scores, same).select("page_id", "host", "path", "rule", F.coalesce("judged", model).alias("verdict"), "score")
