@@ -37,9 +37,9 @@ def barcode_groups(items: DataFrame) -> DataFrame:
 
 def barcode_sanity(grouped: DataFrame) -> DataFrame:
     """Whether the items of a barcode can be one product: names like the first's, one brand, one unit."""
-    first = Window.partitionBy("code").orderBy("item_id")
+    anchors = grouped.groupBy("code").agg(F.min_by("name", "item_id").alias("_anchor"))  # before the shuffle, so a hot code is a row for each task
     brand = F.when(~is_generic_brand(F.col("brand")), F.lower(F.trim("brand")))
-    rows = grouped.withColumn("_anchor", F.first("name").over(first)).withColumn("_like", jaccard(F.lower("name"), F.lower("_anchor")))
+    rows = grouped.join(anchors, "code").withColumn("_like", jaccard(F.lower("name"), F.lower("_anchor")))
     units = F.collect_set(normalize_unit(F.col("unit"), F.col("unit_quantity")))
     sums = rows.groupBy("code").agg(F.count("*").alias("n_items"), F.min("_like").alias("least"), F.size(F.collect_set(brand)).alias("brands"), F.size(units).alias("units"))
     reason = (

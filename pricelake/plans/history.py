@@ -11,7 +11,7 @@ from ..operators import pricing, runs
 from ..operators.persistence import PriceHistory
 from ..session import scratch_folder
 from ..sources.archive import Archive
-from ..streaming import expiry
+from ..streaming import expiry, ingest
 from .catalog import _with
 from .fixtures import table
 from .portals import QUERIES, SQL, _query
@@ -146,6 +146,18 @@ def expired(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("user_id long, expired_at timestamp").parquet(f"{folder}/expired").select("user_id", F.unix_millis("expired_at").alias("expired_ms"))
 
 
+@_query(
+    "st4_current_prices",
+    """select l_suppkey, l_partkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_suppkey, l_partkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_extendedprice desc) as n from lineitem) where n = 1""",
+)
+def current_prices(spark: SparkSession, d: str) -> DataFrame:
+    folder, keys, order = scratch_folder(spark), ["l_suppkey", "l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]
+    columns = [*keys, *order, "l_extendedprice"]
+    stream = spark.readStream.schema(table(spark, d, "lineitem").select(*columns).schema).parquet(f"{d}/lineitem.parque[t]")
+    ingest.write_changes(stream, f"{folder}/changes", f"{folder}/checkpoint", keys, order).awaitTermination()
+    return ingest.current(spark, f"{folder}/changes", keys, order)
+
+
 # --- runs -------------------------------------------------------------------------------------------------------------
 
 _NOW = datetime(2024, 3, 1, 12)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.registry import latest
+
 LATE = "1 day"
 
 
@@ -51,3 +53,27 @@ def write_snapshots(prices: DataFrame, path: str, checkpoint: str, keys: list[st
         latest.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return prices.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_changes(prices: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """Each batch's last row of each key, by ``order`` (of equal ones by the other columns), written under the batch's number and nothing else.
+
+    What a batch costs grows with the batch, not with all that is kept. A batch that is run again writes the same folder;
+    ``current`` reads the last row of each key over all batches, so a late row never replaces a later one.
+    """
+
+    def change(batch: DataFrame, number: int) -> None:
+        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return prices.writeStream.foreachBatch(change).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key over the changes of all batches."""
+    rows = spark.read.option("basePath", path).parquet(path).drop("batch")
+    return latest(rows, keys, order)
+
+
+def compacted(spark: SparkSession, path: str, into: str, keys: list[str], order: list[str]) -> None:
+    """Writes ``current`` as one batch of another folder, from which a reader goes on with the changes of later batches."""
+    current(spark, path, keys, order).write.mode("overwrite").parquet(f"{into}/batch=-1")

@@ -71,6 +71,21 @@ def test_runs_followed_over_batches(spark, tmp_path):
     assert after[1] == ("completed", T + timedelta(hours=1)) and after[2] == after[5] == ("interrupted", T + timedelta(days=1)) and after[3][0] == "failed"
 
 
+def test_changes_over_batches(spark, tmp_path):
+    from pricelake.streaming import ingest
+
+    schema, path, keys = "store long, item long, day int, price long", str(tmp_path / "changes"), ["store", "item"]
+    batches = [[(1, 1, 5, 10), (1, 1, 4, 9), (2, 1, 5, 20), (3, None, 1, 1)], [(1, 1, 3, 8), (2, 1, 6, 21)], [(1, 1, 5, 11), (4, 1, 1, 1)]]
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.write_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "c"), keys, ["day"]).awaitTermination(120)
+        assert spark.read.parquet(f"{path}/batch={number}").count() == len({r[:2] for r in rows})
+    want = {(1, 1, 5, 11), (2, 1, 6, 21), (3, None, 1, 1), (4, 1, 1, 1)}
+    assert set(map(tuple, ingest.current(spark, path, keys, ["day"]).collect())) == want
+    ingest.compacted(spark, path, str(tmp_path / "one"), keys, ["day"])
+    assert set(map(tuple, ingest.current(spark, str(tmp_path / "one"), keys, ["day"]).collect())) == want
+
+
 def test_clusters_and_coverage(spark):
     rows = [("k", s, i, p) for s, items in {"a": "xy", "b": "yx", "c": "xyz", "d": "z"}.items() for p, i in enumerate(sorted(items))]
     prices = spark.createDataFrame(rows, "chain_slug string, store_id string, item_id string, price long")
