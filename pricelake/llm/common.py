@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -43,10 +44,24 @@ def fold(column: str = "doc_id") -> Column:
 
 
 def batches_of(frame: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Smaller record batches, so that a batch of very long texts stays small in memory."""
+    """Smaller record batches, so that a batch of very long texts stays small in memory.
+
+    A Python worker serves many tasks; what the last one has freed goes back to the system before and after a task's batches.
+    """
+    give_back()
     for batch in frame:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow's pool and of the C library to the system, where the library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, spread: Column, buckets: int, out: str) -> DataFrame:
