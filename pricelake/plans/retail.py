@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import basket, enrichment, matching, operations, registry
+from ..operators import basket, enrichment, matching, operations, registry, review
 from .catalog import _GREEDY, _OFFERS, _offers, _with
 from .fixtures import table
 from .history import QUERIES, SQL, _query
@@ -175,3 +176,100 @@ def enrichment_stores(spark: SparkSession, d: str) -> DataFrame:
     stores = table(spark, d, "stores")
     rows = enrichment.enriched_stores(stores, enrichment.finished_tasks(_tasks(spark, d), stores, _NOW), _NOW)
     return rows.select("store_id", "latitude", "longitude", "location_source")
+
+
+# --- decisions --------------------------------------------------------------------------------------------------------
+
+#: Parts are a queue, suppliers that sold them in large lots their candidates, and orders decisions on them, several for a part.
+_REVIEW = """with q as (select p_partkey as queue_id, case when p_size % 6 = 0 then 'approved' else 'pending' end as status, p_size % 3 as version, case when p_size % 4 = 0 then p_partkey % 10 end as linked from part),
+    sold as (select l_partkey as item, l_suppkey as candidate, sum(l_quantity) as s from lineitem where l_quantity > 46 group by 1, 2),
+    c as (select *, row_number() over (partition by item order by s desc, candidate) as rank from sold),
+    n as (select item, count(*) as n, min(case when rank = 1 then candidate end) as first from c group by 1),
+    a as (select o_orderkey as action_id, o_custkey % (select count(*) from part) as queue_id, case when o_orderkey % 3 = 0 then 'approve' else 'reject' end as action, case when o_orderkey % 4 < 2 then o_orderkey % 50 end as product, o_orderkey % 7 % 3 as version from orders),
+    j as (select a.*, q.status, case when action = 'approve' then coalesce(product, linked, first) else product end as p,
+      case when q.version <> a.version then 'modified by another user' when q.status <> 'pending' then 'already processed' when action = 'approve' and coalesce(product, linked, first) is null then 'no product' end as bad,
+      action = 'approve' or product is null or coalesce(n, 0) = 0 as closes from a join q on q.queue_id = a.queue_id left join n on n.item = a.queue_id),
+    t as (select *, min(case when bad is null and closes then action_id end) over (partition by queue_id) as ended from j),
+    d as (select *, coalesce(bad, case when action_id > ended then 'modified by another user' end) as why from t) """
+
+
+def _review(spark: SparkSession, d: str) -> review.Reviewed:
+    part = table(spark, d, "part")
+    queue = part.select(F.col("p_partkey").alias("queue_id"), F.col("p_partkey").alias("item"), F.when(F.col("p_size") % 6 == 0, "approved").otherwise("pending").alias("status"), (F.col("p_size") % 3).cast("long").alias("version"), F.when(F.col("p_size") % 4 == 0, F.col("p_partkey") % 10).alias("linked_product"))
+    sold = table(spark, d, "lineitem").where("l_quantity > 46").groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("candidate")).agg(F.sum("l_quantity").alias("s"))
+    candidates = sold.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"), "candidate")))
+    key = F.col("o_orderkey")
+    actions = table(spark, d, "orders").select(
+        key.alias("action_id"), (F.col("o_custkey") % part.count()).alias("queue_id"), F.when(key % 3 == 0, "approve").otherwise("reject").alias("action"), F.when(key % 4 < 2, key % 50).alias("product"),
+        (key % 7 % 3).alias("version"), F.concat(F.lit("u"), (key % 5).cast("string")).alias("user"), F.lit(None).cast("string").alias("reason"),
+    )
+    return review.reviewed(queue, candidates, actions, _NOW)
+
+
+@_query(
+    "mt14_review_queue",
+    _REVIEW + """, e as (select queue_id as qid, action, p, action_id from d where why is null and action_id = ended)
+    select q.queue_id, case when e.action = 'approve' then 'approved' when e.action = 'reject' then 'rejected' else q.status end as status, q.version + case when e.qid is null then 0 else 1 end as version,
+        coalesce(case when e.action = 'approve' then e.p end, linked) as linked_product, case e.action when 'approve' then 'linked' when 'reject' then 'no_match' end as decision, 'u' || cast(e.action_id % 5 as varchar) as reviewed_by
+    from q left join e on e.qid = q.queue_id""",
+)
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return _review(spark, d).queue.select("queue_id", "status", "version", "linked_product", "decision", "reviewed_by")
+
+
+@_query(
+    "mt14_review_audit",
+    _REVIEW + """select action_id, queue_id, case when action = 'approve' then 'approved' when product is not null then 'rejected_candidate' else 'rejected' end as action, case when action = 'approve' then '{"status":"pending"}' end as previous_state,
+        case when action = 'approve' then concat('{"status":"approved","productId":', p, '}') when product is not null then concat('{"productId":', product, '}') else '{}' end as new_state, cast(null as varchar) as refused from d where why is null
+    union all select action_id, queue_id, null, null, null, why from d where why is not null""",
+)
+def review_audit(spark: SparkSession, d: str) -> DataFrame:
+    made = _review(spark, d)
+    audit = made.audit.select("action_id", "queue_id", "action", "previous_state", "new_state", F.lit(None).cast("string").alias("refused"))
+    return audit.unionByName(made.refused.select("action_id", "queue_id", F.col("reason").alias("refused")), allowMissingColumns=True)
+
+
+@_query(
+    "mt14_review_results",
+    _REVIEW + """select 'link' as kind, queue_id as item, p as product from d where why is null and action = 'approve'
+    union all select distinct 'rejection', queue_id, product from d where why is null and action = 'reject' and product is not null""",
+)
+def review_results(spark: SparkSession, d: str) -> DataFrame:
+    made = _review(spark, d)
+    return made.links.select(F.lit("link").alias("kind"), "item", "product").union(made.rejections.select(F.lit("rejection"), "item", "product"))
+
+
+#: Customers' actions on the stores, three quarters of them on the same version.
+_WORK = _with("stores") + """, s as (select store_id, status, price_source_store_id as source, store_key % 4 as version from fx_stores),
+    a as (select c_custkey as action_id, concat('sto_', lpad(cast(c_custkey * 7 % 90 as varchar), 4, '0')) as store_id, ['approve', 'link', 'unlink', 'merge', 'reject', 'other', 'link'][cast(c_custkey % 7 + 1 as int)] as action,
+      concat('sto_', lpad(cast(c_custkey * 11 % 90 as varchar), 4, '0')) as other, c_custkey * 7 % 90 % 4 + case when c_custkey % 4 = 3 then 1 else 0 end as version from customer where c_custkey % 5 < 2),
+    l as (select distinct store_id from a where action in ('reject', 'merge')),
+    j as (select a.*, case when s.store_id is null then 'store not found' when action = 'other' then 'unknown action' when action in ('merge', 'link') and a.store_id = other then 'a store and itself' when action in ('merge', 'link') and other not in (select store_id from s) then 'other store not found'
+      when action in ('merge', 'link') and other in (select store_id from l) then 'other store is taken away' when action = 'approve' and s.status <> 'pending' then 'not pending' when action in ('approve', 'reject', 'merge') and a.version <> s.version then 'modified by someone else' end as bad from a left join s on s.store_id = a.store_id),
+    d as (select *, coalesce(bad, case when action_id > min(case when bad is null then action_id end) over (partition by store_id) then 'modified by someone else' end) as refused from j),
+    g as (select * from d where refused is null) """
+
+
+def _worked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    stores = table(spark, d, "stores").select("store_id", "status", "price_source_store_id", (F.col("store_key") % 4).cast("long").alias("version"))
+    key = F.col("c_custkey")
+    store = lambda n: F.concat(F.lit("sto_"), F.lpad((key * n % 90).cast("string"), 4, "0"))
+    kinds = F.array(*map(F.lit, ("approve", "link", "unlink", "merge", "reject", "other", "link")))
+    actions = table(spark, d, "customer").where("c_custkey % 5 < 2").select(
+        key.alias("action_id"), store(7).alias("store_id"), F.element_at(kinds, (key % 7 + 1).cast("int")).alias("action"), store(11).alias("other"), (key * 7 % 90 % 4 + F.when(key % 4 == 3, 1).otherwise(0)).alias("version"), F.lit("u").alias("user")
+    )
+    return review.stores_after(stores, actions, _NOW)
+
+
+@_query(
+    "mut_store_workflow",
+    _WORK + """select s.store_id, case when g.action = 'approve' then 'active' else s.status end as status, case when g.action = 'link' then g.other when g.action = 'unlink' then null else coalesce(m.other, s.source) end as price_source_store_id,
+        s.version + case when g.action is not null or m.other is not null then 1 else 0 end as version from s left join g on g.store_id = s.store_id left join (select * from g where action = 'merge') m on m.store_id = s.source where g.action is null or g.action not in ('reject', 'merge')""",
+)
+def store_workflow(spark: SparkSession, d: str) -> DataFrame:
+    return _worked(spark, d)[0].select("store_id", "status", "price_source_store_id", "version")
+
+
+@_query("mut_store_workflow_refused", _WORK + "select action_id, store_id, action, refused from d")
+def store_workflow_refused(spark: SparkSession, d: str) -> DataFrame:
+    return _worked(spark, d)[1]
