@@ -83,6 +83,12 @@ def prices_by_source(stores: DataFrame, state: DataFrame) -> DataFrame:
     return wanted.join(state.withColumnRenamed("store_id", "effective_store_id"), "effective_store_id")
 
 
+def with_source_names(stores: DataFrame) -> DataFrame:
+    """Stores with the name of the store that their prices come from; null without one, or where it isn't there."""
+    names = stores.select(F.col("store_id").alias("price_source_store_id"), F.col("name").alias("source_name"))
+    return stores.join(names, "price_source_store_id", "left").select(*stores.columns, "source_name")
+
+
 def linked_counts(stores: DataFrame) -> DataFrame:
     """How many stores take their prices from each virtual store."""
     child = stores.where(F.col("price_source_store_id").isNotNull()).groupBy(F.col("price_source_store_id").alias("store_id")).agg(F.count("*").alias("n"))

@@ -35,6 +35,13 @@ def barcode_groups(items: DataFrame) -> DataFrame:
     return items.withColumn("code", normalize_barcode(F.col("barcode"))).where("code <> ''")
 
 
+def barcode_counts(items: DataFrame) -> DataFrame:
+    """One row: items, those whose code identifies something, those left out, and different codes."""
+    code = normalize_barcode(F.col("barcode"))
+    has = F.coalesce(code != "", F.lit(False))
+    return items.agg(F.count("*").alias("items"), F.count_if(has).alias("coded"), F.count_if(~has).alias("skipped"), F.countDistinct(F.when(has, code)).alias("codes"))
+
+
 def barcode_sanity(grouped: DataFrame) -> DataFrame:
     """Whether the items of a barcode can be one product: names like the first's, one brand, one unit."""
     anchors = grouped.groupBy("code").agg(F.min_by("name", "item_id").alias("_anchor"))  # before the shuffle, so a hot code is a row for each task

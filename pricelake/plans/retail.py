@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import basket, enrichment, matching, operations, registry, review
+from ..operators import basket, catalog, enrichment, matching, operations, registry, review
+from ..sources import discovery
 from .catalog import _GREEDY, _OFFERS, _offers, _with
 from .fixtures import table
 from .history import QUERIES, SQL, _query
@@ -96,6 +97,51 @@ def request_places(spark: SparkSession, d: str) -> DataFrame:
     return registry.request_errors(lines)
 
 
+# --- listings, codes, links -------------------------------------------------------------------------------------------
+
+
+@_query(
+    "jn9_source_names",
+    _with("stores") + "select a.store_id, a.name, b.name as source_name from fx_stores a left join fx_stores b on b.store_id = a.price_source_store_id",
+)
+def source_names(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.with_source_names(table(spark, d, "stores")).select("store_id", "name", "source_name")
+
+
+@_query("ag1_filtered_count", "select count(*) as total, cast(ceil(count(*) / 20.0) as bigint) as pages from part where p_type = 'ECONOMY' and lower(p_name) like '%ring%' and p_retailprice >= 950")
+def filtered_count(spark: SparkSession, d: str) -> DataFrame:
+    """The count of what the page before it is taken from: both take the same filtered rows."""
+    rows = table(spark, d, "part").where(catalog.all_of(F.col("p_type") == "ECONOMY", F.lower("p_name").like("%ring%"), None, F.col("p_retailprice") >= 950))
+    return catalog.page_counts(rows, 20)
+
+
+@_query(
+    "mt1_barcode_counts",
+    """with c as (select case when p_size % 5 = 0 then null when p_size % 5 = 1 then 'none' else cast(p_partkey % 300 + 10000000 as varchar) end as code from part)
+    select count(*) as items, count(*) filter (where code <> 'none') as coded, count(*) filter (where code is null or code = 'none') as skipped, count(distinct case when code <> 'none' then code end) as codes from c""",
+)
+def barcode_counts(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size") % 5
+    code = F.when(size == 0, None).when(size == 1, "none").otherwise((F.col("p_partkey") % 300 + 10_000_000).cast("string"))
+    return matching.barcode_counts(table(spark, d, "part").select(code.alias("barcode")))
+
+
+@_query(
+    "src14_discovered_files",
+    """with l as (select p_partkey // 20 as page, p_partkey as k, case p_size % 4 when 0 then 'csv' when 1 then 'XML' when 2 then 'html' else 'zip' end as e, p_size % 3 as how from part),
+    f as (select *, case how when 0 then concat('https://shop.example/lists/', cast(page as varchar), '/f', cast(k % 700 as varchar), '.', e) when 1 then concat('https://shop.example/d/f', cast(k % 700 as varchar), '.', e, '?v=1') else concat('http://other.example/f', cast(k % 700 as varchar), '.', e) end as u from l where e <> 'html')
+    select distinct u as file_url, concat('f', cast(k % 700 as varchar), '.', e) as file_name, lower(e) as file_type from f""",
+)
+def discovered_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").withColumn("page", F.floor(F.col("p_partkey") / 20).cast("long"))
+    kind = F.element_at(F.array(*map(F.lit, ("csv", "XML", "html", "zip"))), (F.col("p_size") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("f"), (F.col("p_partkey") % 700).cast("string"), F.lit("."), kind)
+    href = F.when(F.col("p_size") % 3 == 0, name).when(F.col("p_size") % 3 == 1, F.concat(F.lit("/d/"), name, F.lit("?v=1"))).otherwise(F.concat(F.lit("http://other.example/"), name))
+    pages = rows.groupBy("page").agg(F.array_join(F.collect_list(F.concat(F.lit("<a class=x HREF='"), href, F.lit("'>f</a>"))), " ").alias("html"))
+    pages = pages.select(F.concat(F.lit("https://shop.example/lists/"), F.col("page"), F.lit("/index.html?p=1")).alias("url"), "html")
+    return discovery.discovered_files(pages)
+
+
 # --- statuses, durations, models --------------------------------------------------------------------------------------
 
 
