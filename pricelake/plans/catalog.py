@@ -581,10 +581,11 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", made.alias("txt"), text.text_hash(made).alias("text_hash"))
 
 
-@_query("f9_diacritics", "select doc_id, sha256(regexp_replace(strip_accents(replace(replace(text, 'đ', 'dj'), 'Đ', 'Dj')), '[ıłŁøØæÆœŒßðÐþÞħĦŧŦ]', '', 'g')) as plain_hash from documents")
+@_query("f9_diacritics", """select doc_id, sha256(strip_accents(replace(replace(t, 'đ', 'dj'), 'Đ', 'Dj'))) as plain_hash from (select doc_id, concat(text, ' ıłŁøØæÆœŒßðÐþÞħĦŧŦđĐ Čćšž ', doc_id) as t from documents)""")
 def diacritics(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.regexp_replace(text.remove_diacritics(F.col("text")), "[ıłŁøØæÆœŒßðÐþÞħĦŧŦ]", "")
-    return table(spark, d, "documents").select("doc_id", F.sha2(plain, 256).alias("plain_hash"))
+    """Texts with all hard letters added, which have no mark to lose and stay, but for đ."""
+    hard = F.concat(F.col("text"), F.lit(" ıłŁøØæÆœŒßðÐþÞħĦŧŦđĐ Čćšž "), F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.remove_diacritics(hard), 256).alias("plain_hash"))
 
 
 @_query("src17_duplicate_files", "select sha256(text) as checksum, min(doc_id) as first_doc, count(*) as n from documents group by 1")
