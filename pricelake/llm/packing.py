@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, running_sum, written
+from .common import batches_of, give_back, running_sum, written
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), largest first
 
@@ -41,10 +41,12 @@ class WordTokenizer:
     tokenizer looks for before it splits words, go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
+        give_back()  # what reading the file took
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         mark = self.tokenizer.model.end_of_word_suffix
@@ -68,7 +70,7 @@ class WordTokenizer:
         self.known.update((w, codes[a:b]) for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.before, self.known = self.known, {}
         out: list[bytes | None] = [None] * len(texts)
         words, codes, new = {}, {}, {}
@@ -102,17 +104,17 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _pieces(path: str, capacity: int, with_ids: bool):
+def _pieces(path: str, capacity: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        tokenize = _tokenizers[path]
+        if (path, remembered) not in _tokenizers:
+            _tokenizers[path, remembered] = WordTokenizer(path, remembered)
+        tokenize = _tokenizers[path, remembered]
         for batch in batches_of(batches, 64):
             out: list[tuple] = []
             coded = tokenize([text or "" for text in batch.column(1).to_pylist()])
@@ -129,10 +131,10 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of each document: its ids by the tokenizer, then id 0, cut every ``capacity`` ids."""
     return docs.select("doc_id", "text").mapInArrow(
-        _pieces(tokenizer, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+        _pieces(tokenizer, capacity, with_ids, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
     )
 
 
@@ -327,16 +329,19 @@ def _placed(slots):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = True, nodes: int = 20_000, widest: int = 12) -> DataFrame:
+def packed(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = True, nodes: int = 20_000, widest: int = 12, remembered: int = REMEMBERED
+) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Needs doc_id and text; more columns are ignored. Returns a row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and with ``with_ids`` the piece's ids as bytes. A null or empty text is the id 0 alone; only
     documents of over ``capacity`` ids are cut. Repeated rows are packed each. An empty table gives no rows. ``nodes`` and
     ``widest`` bound the search (see ``completed``), not the documents; ``gap`` tells how far the packing may be from the best.
+    ``remembered`` is how many words' ids a worker keeps, for speed alone.
     """
     spark = docs.sparkSession
-    made = pieces(docs, tokenizer, capacity, with_ids)
+    made = pieces(docs, tokenizer, capacity, with_ids, remembered)
     made = written(made if with_ids else made.drop("ids"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots = spark.sparkContext.broadcast(_slots(completed(counts, capacity, nodes, widest)))
