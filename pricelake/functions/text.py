@@ -27,6 +27,27 @@ def _latin_table() -> tuple[str, str]:
 _MARKED, _PLAIN = _latin_table()
 
 
+def _upper_half(encoding: str) -> str:
+    """The characters of bytes 128 to 255 in an encoding of one byte a character, U+FFFD for those without one."""
+    upper = bytes(range(128, 256)).decode(encoding, "replace")
+    if len(upper) != 128 or bytes(range(128)).decode(encoding) != bytes(range(128)).decode("ascii"):
+        raise ValueError(f"{encoding} is not an extension of ASCII with one byte a character")
+    return upper
+
+
+def decoded_bytes(content: Column, encoding: str) -> Column:
+    """Text of bytes in an encoding of one byte a character, by way of ISO-8859-1, as Spark decodes few others; bytes without a character become U+FFFD."""
+    return F.translate(F.decode(content, "iso-8859-1"), _upper_half("iso-8859-1"), _upper_half(encoding))
+
+
+def encoded_bytes(text: Column, encoding: str) -> Column:
+    """The bytes of a text in an encoding of one byte a character; characters that it doesn't have become question marks."""
+    upper, plain = _upper_half(encoding), _upper_half("iso-8859-1")
+    known = {c: p for c, p in zip(upper, plain, strict=True) if c != "\ufffd"}
+    text = F.regexp_replace(text, "[^\\x00-\\x7f" + "".join(f"\\u{ord(c):04x}" for c in known) + "]", "?")
+    return F.encode(F.translate(text, "".join(known), "".join(known.values())), "iso-8859-1")
+
+
 def remove_diacritics(text: Column) -> Column:
     """Latin letters without their marks; đ becomes dj."""
     text = F.replace(F.replace(text, F.lit("đ"), F.lit("dj")), F.lit("Đ"), F.lit("Dj"))

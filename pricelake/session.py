@@ -23,7 +23,6 @@ def build_session(app: str = "pricelake", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.legacy.javaCharsets": "true",
         "spark.ui.enabled": "false",
     } | conf
     for key, value in settings.items():

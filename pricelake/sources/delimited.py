@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import barcode_list
 from ..functions.money import parse_date, parse_price
-from ..functions.text import normalize_header
+from ..functions.text import decoded_bytes, normalize_header
 
 TEXT_FIELDS = (
     "store_identifier", "external_id", "name", "description", "category", "subcategory", "brand", "unit", "unit_quantity", "image_url",
@@ -47,7 +47,7 @@ class Dialect:
 def decoded(content: Column, encoding: str | None = None) -> Column:
     """File bytes as text: valid UTF-8 always, without its mark, else the encoding given or windows-1250."""
     utf8 = F.is_valid_utf8(content.cast("string"))
-    text = F.when(utf8, content.cast("string")).otherwise(F.decode(content, encoding or "windows-1250"))
+    text = F.when(utf8, content.cast("string")).otherwise(decoded_bytes(content, encoding or "windows-1250"))
     return F.regexp_replace(text, "^\\ufeff", "")
 
 
@@ -161,9 +161,7 @@ def from_cells(rows: DataFrame, dialect: Dialect, cell, number: Column, raw: Col
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files as rows of path and content; files in windows-1250 need a session with spark.sql.legacy.javaCharsets, as build_session makes it."""
-    if spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
-        raise ValueError("spark.sql.legacy.javaCharsets must be true to read windows-1250")
+    """Files as rows of path and content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 

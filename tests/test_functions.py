@@ -56,6 +56,17 @@ def test_jaccard(spark, a, b, want):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(codes.jaccard(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("encoding", ["windows-1250", "iso-8859-2"])
+def test_encodings_without_a_setting(spark, encoding):
+    spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    every = bytes(range(256))
+    (got,) = column(spark, [every], lambda c: text.decoded_bytes(c, encoding), "binary")
+    assert got == every.decode(encoding, "replace")
+    assert column(spark, ["Šećer", "žž 1", "", None, "Àx嗨😀"], lambda c: text.encoded_bytes(c, encoding)) == [*(bytearray(t.encode(encoding)) for t in ("Šećer", "žž 1", "")), None, bytearray(b"?x??")]
+    with pytest.raises(ValueError):
+        text.decoded_bytes(F.col("v"), "utf-16")
+
+
 def test_distances(spark):
     cases = [((45, 16, 45, 16), 0), ((90, 0, -90, 0), 20015), ((0, 179, 0, -179), 222), ((45, 16, 45.1, 16.1), 13.6)]
     for at, want in cases:
