@@ -23,6 +23,8 @@ HEAVY, SHARE = 1000, 4096
 _STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else each of the many small stores takes disk in advance for files that it may never fill.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -56,11 +58,12 @@ def remembered(spark: SparkSession, path: str, checkpoint: str, digest: Callable
             spark.conf.set(key, value)
         # No sink is needed: what counts is the state. The query keeps a copy of the session's settings.
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        # The source of state takes the settings of now, for what it opens when it is read.
+        stored = spark.read.format("statestore").load(checkpoint).select("key.*", "value.*").toDF("digest", "keep", "n")
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    query.awaitTermination()
-    stored = spark.read.format("statestore").load(checkpoint).select("key.*", "value.*").toDF("digest", "keep", "n")
     return stored.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"), "n")
 
 

@@ -73,6 +73,19 @@ def test_empty_table_and_settings(spark, tmp_path):
     assert made.count() == 0 and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
+def test_stores_take_no_disk_in_advance(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+    from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+    seen, key = [], "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    for kind, name in ((DataStreamWriter, "start"), (DataFrameReader, "load")):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), name=name, **k: (seen.append((name, spark.conf.get(key))), f(self, *a, **k))[1])
+    save(spark, [(1, "a"), (2, "a")], f"{tmp_path}/docs", 1)
+    before = spark.conf.get(key, "unset")
+    assert exact_dedup.remembered(spark, f"{tmp_path}/docs", f"{tmp_path}/state").count() == 1
+    assert ("start", "false") in seen and ("load", "false") in seen and spark.conf.get(key, "unset") == before
+
+
 def test_query_is_native_and_matches_sql(spark):
     import duckdb
 
