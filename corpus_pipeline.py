@@ -33,7 +33,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard 0.8 over shingles of five words) stays, that with the smallest doc_id."""
+    """One document of each group of near-duplicates (Jaccard 0.8 over shingles of five words) stays, that with the smallest doc_id; SimHash and MinHash name candidates."""
     return near_copies.deduplicated(docs, width=5, similarity=0.8)
 
 

@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands name candidates, exact sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash bands name candidates, exact sets decide.
 
-Texts with equal sets of shingles are one node. A node's BANDS keys are each of ROWS minimum hashes; two nodes of
+Texts with equal sets of shingles are one node. Nodes whose SimHash fingerprints differ in at most RADIUS bits are
+candidates, found by the bit planes of ``simhash_dedup``. At a similarity of 0.8 fingerprints are some ten bits apart, which no
+block keys reach, so MinHash names the others: a node's BANDS keys are each of ROWS minimum hashes; two nodes of
 similarity s share a key with a chance of 1 - (1 - s^ROWS)^BANDS, which is 1 - 5e-8 at 0.8. Only the sets
-themselves, made anew from the texts of the nodes that share a key, say whether two are near copies.
+themselves, made anew from the texts of the candidates, say whether two are near copies.
 
 A key with m nodes has m^2 pairs, so first each node is compared with the key's smallest. Keys whose nodes are then in one
 component are done; in all others every pair is compared, in tiles that return a spanning forest and not the pairs.
@@ -21,8 +23,11 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import batches_of, written
 from .components import connected_components, forest
+from .simhash_dedup import linked, print_of
 
 BANDS, ROWS = 32, 4
+#: Bits in which the fingerprints of SimHash candidates differ at most.
+RADIUS = 3
 #: A task compares at most so many nodes with as many, over so many shingles at once.
 TILE, _COLUMNS = 512, 4096
 _PER_HUB = 500
@@ -84,15 +89,16 @@ def alike_pairs(sets: list[np.ndarray], side: np.ndarray, similarity: float) ->
 def _nodes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 256):
-            nodes, keys = [], []
+            nodes, keys, prints = [], [], []
             for text in batch.column(0).field("text"):
                 own = shingles(_bytes(text), width)
                 nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 keys.append(band_keys(own))
+                prints.append(print_of(own))
             every = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
             starts = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            columns = [*batch.columns, pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(starts, every)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_node", "_keys"])
+            columns = [*batch.columns, pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(starts, every), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_node", "_keys", "_print"])
 
     return run
 
@@ -141,32 +147,36 @@ def _tiles_linked(width: int, similarity: float):
     return run
 
 
-def one_of_each(rows: DataFrame, group: Column) -> DataFrame:
-    """The ``doc`` of one row of each group, that with the smallest doc_id; null ids come last, and unlike rows of one id are told apart by their content.
-
-    ``rows`` must be a written table with a ``_row`` number of its own for each row.
-    """
-    doc_id = F.col("doc.doc_id")
-    first = F.min(F.struct(doc_id.isNull().alias("null"), doc_id.alias("id"), F.xxhash64("doc").alias("content"), F.col("_row").alias("row")))
-    kept = rows.groupBy(group.alias("_group")).agg(first.alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select("doc.*")
+def simhash_candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(hub, node): nodes of one fingerprint with the smallest of them, and those of fingerprints that ``linked`` names; ``nodes`` has node and print."""
+    hubs = written(nodes.groupBy(F.col("print").alias("fp")).agg(F.min("node").alias("hub")))
+    same = nodes.join(hubs.hint("merge"), F.col("print") == F.col("fp")).select("hub", "node").where("hub <> node")
+    end = lambda name: hubs.select(F.col("fp").alias(name), F.col("hub").alias(f"{name}_hub")).hint("merge")
+    near = linked(hubs, radius).join(end("a"), "a").join(end("b"), "b").select(F.least("a_hub", "b_hub").alias("hub"), F.greatest("a_hub", "b_hub").alias("node"))
+    return same.union(near)
 
 
 def components(rows: DataFrame, width: int, similarity: float, tile: int = TILE) -> DataFrame:
     """(node, component) of the nodes that have a near copy; ``rows`` is a written table with _node, _keys, text, and a _row of its own for each row (given here if there is none).
 
+    With a column _print, the nodes' fingerprints, they name candidates too.
+
     Texts cross the network for nodes that share a key alone. The tables joined here grow with the input, and what Parquet
     or a shuffle says of their size is compressed, so each is merged and none is left to an automatic broadcast.
     """
     if "_row" not in rows.columns:
         rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
-    nodes = written(rows.groupBy("_node").agg(F.min("_row").alias("_row"), F.first("_keys").alias("_keys")))  # equal sets have equal keys
+    nodes = written(rows.groupBy("_node").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in ("_keys", "_print") if c in rows.columns]))  # equal sets have equal keys and fingerprints
     keyed = nodes.select(F.col("_node").alias("node"), F.explode("_keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1")
     members = written(keyed.join(buckets.hint("merge"), "key"))
-    wanted = nodes.select(F.col("_node").alias("node"), "_row").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    star, wanted = members.where("node <> hub").select("hub", "node"), members.select("node")
+    if "_print" in rows.columns:
+        near = written(simhash_candidates(nodes.select(F.col("_node").alias("node"), F.col("_print").alias("print"))))
+        star, wanted = star.union(near), wanted.union(near.select("hub")).union(near.select("node"))
+    wanted = nodes.select(F.col("_node").alias("node"), "_row").join(wanted.distinct().hint("merge"), "node", "left_semi")
     texts = written(rows.select("_row", "text").join(wanted.hint("merge"), "_row").select("node", "text"))
-    star = members.where("node <> hub").select("hub", "node").distinct()
+    star = star.distinct()
     # A hub with many nodes is dealt to a task for each _PER_HUB of them.
     parts = star.groupBy("hub").agg(F.ceil(F.count("*") / _PER_HUB).cast("long").alias("parts"))
     hubs = parts.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
@@ -192,7 +202,7 @@ def components(rows: DataFrame, width: int, similarity: float, tile: int = TILE)
     more = written(tiles.repartition(count, *group).sortWithinPartitions(*group).mapInArrow(_tiles_linked(width, similarity), "a long, b long"))
     if more.isEmpty():
         return found
-    return connected_components(edges.union(more))
+    return connected_components(found.toDF("a", "b").union(more))  # the stars that are found stand for their edges
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -204,9 +214,9 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     null ids come last, and ids that repeat with unlike texts are documents of their own.
     """
     packed = docs.select(F.struct(*docs.columns).alias("doc"))  # so that columns of any name are kept
-    schema = StructType([*packed.schema.fields, StructField("_node", LongType()), StructField("_keys", ArrayType(LongType()))])
+    schema = StructType([*packed.schema.fields, StructField("_node", LongType()), StructField("_keys", ArrayType(LongType())), StructField("_print", LongType())])
     rows = written(packed.mapInArrow(_nodes(width), schema).withColumn("_row", F.monotonically_increasing_id()))
-    groups = components(rows.select("_node", "_keys", "_row", F.col("doc.text").alias("text")), width, similarity)
+    groups = components(rows.select("_node", "_keys", "_print", "_row", F.col("doc.text").alias("text")), width, similarity)
     groups = groups.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
     # Who stays is decided on ids and hashes; whole documents are shuffled once, by the number of their row.
     doc_id = F.col("doc.doc_id")

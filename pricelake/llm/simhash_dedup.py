@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import batches_of, one_of_each, written
 from .components import connected_components, forest
-from .near_copies import one_of_each
 
 TILE = 4096
 _PAIRS = 1 << 16
@@ -36,7 +35,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), dtype="<u8")
+    return print_of(np.fromiter((digest(s, 42) for s in shingles), dtype="<u8"))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes: a bit is set if it is in over half of them; 0 for none."""
+    hashes = hashes.astype("<u8", copy=False)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, hashes.size, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -168,6 +172,14 @@ def components_of(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataF
     group is the smallest fingerprint reachable, and component the smallest doc_id, null if all there are null.
     """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(linked(distinct, radius, tile))
+    rooted = written(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
+    least = rooted.groupBy("group").agg(F.min("rep").alias("component"))
+    return rooted.select("fp", "group").join(least, "group").select("fp", "group", "component")
+
+
+def linked(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """(a, b): a forest, task by task, of the fingerprints within ``radius`` bits of each other; ``distinct`` is a written table of fp."""
     n = distinct.count()
     blocks = radius + 1
     while n >> (64 * (blocks - radius) // blocks) > 64:  # longer keys, and more of them, for more fingerprints
@@ -180,12 +192,8 @@ def components_of(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataF
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
     rows = rows.select("choice", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "fp")
     group = ["choice", "key", "lo", "hi"]
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_edges(radius), "a long, b long")
-    found = connected_components(edges)
-    rooted = written(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
-    least = rooted.groupBy("group").agg(F.min("rep").alias("component"))
-    return rooted.select("fp", "group").join(least, "group").select("fp", "group", "component")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_edges(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:

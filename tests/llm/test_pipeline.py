@@ -134,3 +134,22 @@ def test_every_pair_of_a_hot_key_is_compared(spark):
                 low, old = min(group[i], group[j]), {group[i], group[j]}
                 group = [low if g in old else g for g in group]
     assert [got.get(n, n) for n, _ in nodes] == group and len(set(group)) > 1
+
+
+def test_simhash_names_candidates_that_share_no_band(spark):
+    from pricelake.llm import near_copies
+
+    rng = np.random.default_rng(31)
+    words = np.array([f"w{i}" for i in range(5000)])
+    base = list(rng.choice(words, 400))
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join([*base[:-2], "other", "end"]), " ".join(rng.choice(words, 400)), " ".join(rng.choice(words, 400))]
+    near, far = 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF
+    prints = [near, near ^ 0b111, near, near ^ 0b1, far]  # the fourth text is only alike in its fingerprint
+    rows = spark.createDataFrame([(10 + i, t, [i], p) for i, (t, p) in enumerate(zip(texts, prints, strict=True))], "_node long, text string, _keys array<long>, _print long")
+    got = {r["node"]: r["component"] for r in near_copies.components(rows, 5, 0.8).collect()}
+    assert got == {10: 10, 11: 10, 12: 10}
+    made = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string").select(F.struct("doc_id", "text").alias("doc"))
+    made = made.mapInArrow(near_copies._nodes(5), "doc struct<doc_id: long, text: string>, _node long, _keys array<long>, _print long").collect()
+    own = near_copies.shingles(b"a b c d e f", 5).tolist()
+    want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in own) > len(own))
+    assert {r["doc"]["doc_id"]: r["_print"] & (2**64 - 1) for r in made} == {1: want, 2: 0}
