@@ -145,11 +145,6 @@ class _Left:
         self.counts = {n: c for n, c in counts.items() if c > 0}
         self.bits = sum(1 << n for n in self.counts)
 
-    def copy(self) -> _Left:
-        new = _Left({})
-        new.counts, new.bits = dict(self.counts), self.bits
-        return new
-
     def largest(self, room: int) -> int:
         """The largest length up to ``room``, or 0."""
         return (self.bits & ((1 << (room + 1)) - 1)).bit_length() - 1 if room > 0 and self.bits & ((1 << (room + 1)) - 2) else 0
@@ -161,6 +156,11 @@ class _Left:
                 del self.counts[n]
                 self.bits &= ~(1 << n)
 
+    def put_back(self, filling: Filling, times: int) -> None:
+        for n, copies in filling:
+            self.counts[n] = self.counts.get(n, 0) + copies * times
+            self.bits |= 1 << n
+
 
 def fillings(left: _Left, capacity: int, wanted: int = 3, nodes: int = 400) -> list[Filling]:
     """Undominated fillings with the largest length left, least waste first, at most ``wanted``.
@@ -264,19 +264,21 @@ def completed(counts: dict[int, int], capacity: int, nodes: int = 20_000, widest
     fewest, least, width, spent = sum(t for _, t in best), fewest_possible(counts, capacity), 3, 0
     total = sum(n * c for n, c in counts.items())
     while fewest > least and width <= widest and spent < nodes:
-        # Each entry: what is left, its tokens, the sequences made, and the chain of fillings that made them.
-        stack = [(_Left(counts), total, 0, None)]
+        # Each entry: how many fillings come before its own, its own and how often, the tokens left and the sequences made after it.
+        stack = [(0, (), 0, total, 0)]
+        left, taken = _Left(counts), []  # one table for the branch at hand; what was taken is put back on the way to another
         limit = spent + (nodes - spent) // 2 if 2 * width <= widest else nodes
         while stack and fewest > least and spent < limit:
             spent += 1
-            left, tokens, made, chain = stack.pop()
+            depth, filling, times, tokens, made = stack.pop()
             if made + -(-tokens // capacity) >= fewest:
                 continue
+            while len(taken) > depth:
+                left.put_back(*taken.pop())
+            left.take(filling, times)
+            taken.append((filling, times))
             if not left.counts:
-                fewest, best = made, []
-                while chain:
-                    best.append(chain[0])
-                    chain = chain[1]
+                fewest, best = made, taken[:0:-1]  # without the root's empty one
                 continue
             branches = []
             for filling in fillings(left, capacity, width, 130 * width):
@@ -285,9 +287,7 @@ def completed(counts: dict[int, int], capacity: int, nodes: int = 20_000, widest
             # Least waste, taken most often, is looked at first.
             branches.sort(key=lambda b: (sum(n * c for n, c in b[0]), b[1]))
             for filling, times in branches:
-                rest = left.copy()
-                rest.take(filling, times)
-                stack.append((rest, tokens - times * sum(n * c for n, c in filling), made + times, ((filling, times), chain)))
+                stack.append((len(taken), filling, times, tokens - times * sum(n * c for n, c in filling), made + times))
         width *= 2
     return best
 
