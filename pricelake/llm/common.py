@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,24 @@ def batches_of(frame: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Record
     give_back()
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches to Python workers end at about ``most`` bytes in what runs inside, unless the session has a bound of its own.
+
+    Spark's own bound of 10,000 rows is one of 33 MB for documents of 3 kB, which the JVM of an executor holds several times for each task: as
+    vectors that grow by doubling, and as the bytes it sends.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None):
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def give_back() -> None:
     """Returns freed memory of Arrow's pool and of the C library to the system, where the library can."""
     pa.default_memory_pool().release_unused()

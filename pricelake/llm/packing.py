@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, give_back, running_sum, written
+from .common import batch_bytes, batches_of, give_back, running_sum, written
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), largest first
 
@@ -30,6 +30,8 @@ _numbers = "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.categ
 _WORDS = re.compile(rf"[{_letters}]+|[{_numbers}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_letters}{_numbers}]+")
 #: A Python worker remembers the ids of up to so many words, and of as many before them, of which those that come again are kept.
 REMEMBERED = 150_000
+#: Bytes of documents that go to a Python worker at once.
+BATCH_BYTES = 2 << 20
 
 
 class WordTokenizer:
@@ -107,14 +109,26 @@ class WordTokenizer:
 _tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
+def _tokenizer(path: str, remembered: int) -> WordTokenizer:
+    """This process's tokenizer. A worker's tasks share it by way of this module: what a task unpickles has globals of its own."""
+    if (path, remembered) not in _tokenizers:
+        _tokenizers[path, remembered] = WordTokenizer(path, remembered)
+    return _tokenizers[path, remembered]
+
+
+def _forget() -> None:
+    """Drops this process's tokenizers, with the words that they remember."""
+    if _tokenizers:
+        _tokenizers.clear()
+        give_back()
+
+
 def _pieces(path: str, capacity: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if (path, remembered) not in _tokenizers:
-            _tokenizers[path, remembered] = WordTokenizer(path, remembered)
-        tokenize = _tokenizers[path, remembered]
+        tokenize = _tokenizer(path, remembered)
         for batch in batches_of(batches, 64):
             out: list[tuple] = []
             coded = tokenize([text or "" for text in batch.column(1).to_pylist()])
@@ -309,6 +323,7 @@ def _slots(plan: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
 
 def _placed(slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()  # all pieces are made; the same workers serve now
         for batch in batches:
             names = batch.schema.names
             length = batch.column(names.index("length")).to_numpy()
@@ -342,7 +357,8 @@ def packed(
     """
     spark = docs.sparkSession
     made = pieces(docs, tokenizer, capacity, with_ids, remembered)
-    made = written(made if with_ids else made.drop("ids"))
+    with batch_bytes(spark, BATCH_BYTES):
+        made = written(made if with_ids else made.drop("ids"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots = spark.sparkContext.broadcast(_slots(completed(counts, capacity, nodes, widest)))
     buckets = max(1, max(counts.values(), default=0) // 20_000)

@@ -175,3 +175,61 @@ def test_packing_search_keeps_one_table_of_counts():
         for n, c in filling:
             got[n] = got.get(n, 0) + c * times
     assert got == counts
+
+
+def test_packing_sends_documents_in_batches_bound_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from pricelake.llm import packing
+
+    def sizes(path, capacity, with_ids, remembered):
+        def run(batches):  # a piece for each batch, with the batch's rows and bytes in place of its own
+            for batch in batches:
+                row = [batch.column(0)[0].as_py(), 0, batch.num_rows, 1, batch.nbytes, None]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+        return run
+
+    monkeypatch.setattr(packing, "_pieces", sizes)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('abcdefghij', 330)").alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = packing.packed(docs, "unread", with_ids=False).collect()
+    assert sum(r["start"] for r in rows) == 4000
+    assert max(r["ids_crc32"] for r in rows) < 2.4e6  # without the bound, one batch of 13 MB
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "64k")  # the session's own bound holds
+    try:
+        rows = packing.packed(docs, "unread", with_ids=False).collect()
+        assert max(r["ids_crc32"] for r in rows) < 80_000 and spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_packing_tasks_of_a_worker_share_a_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from pricelake.llm import packing
+
+    made = []
+
+    class Counted:
+        def __init__(self, path, remembered):
+            made.append(path)
+
+        def __call__(self, texts):
+            return [b"\1\0\0\0" for _ in texts]
+
+    monkeypatch.setattr(packing, "WordTokenizer", Counted)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", None])], names=["doc_id", "text"])
+    command = cloudpickle.dumps(packing._pieces("shared", 2048, False, 9))
+    made.clear()
+    for _ in range(3):  # each task unpickles it anew
+        rows = [r for b in cloudpickle.loads(command)(iter([batch])) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["length"]) for r in rows] == [(1, 2), (2, 2)]
+    assert len(packing._tokenizers) == 1
+    list(cloudpickle.loads(cloudpickle.dumps(packing._placed(None)))(iter([])))
+    assert not packing._tokenizers  # nothing is kept beside the numbering
