@@ -2,26 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.money import effective_price
 
 
+#: Partitions over which price lists are dealt at least, so that few have to be sorted by one task.
+LISTS_DEALT = 128
+
+
+def _digests(keys: int, out: pa.Schema) -> Callable:
+    """The digest and count of each run of rows with equal keys (the first ``keys`` columns); the column after them has the lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, count, done = None, None, 0, []
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True)], schema=out)
+            done.clear()
+            return batch
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            line = batch.column(keys)
+            _, offsets, data = line.buffers()
+            ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(line.type) else np.int32)[line.offset : line.offset + len(line) + 1]
+            codes = [pc.dictionary_encode(batch.column(i), null_encoding="encode").indices.to_numpy() for i in range(keys)]
+            moved = np.logical_or.reduce([np.diff(c) != 0 for c in codes])
+            starts = [0, *(np.flatnonzero(moved) + 1).tolist(), batch.num_rows]
+            for first, end in zip(starts, starts[1:]):
+                key = tuple(batch.column(i)[first].as_py() for i in range(keys))
+                fresh = digest is None or key != now
+                if fresh:
+                    if digest is not None:
+                        done.append((*now, digest.hexdigest(), count))
+                    now, digest, count = key, hashlib.sha256(), 0
+                digest.update(memoryview(data)[ends[first] + fresh : ends[end]])  # a list's first line has no break before it
+                count += end - first
+            if done:
+                yield made()
+        if digest is not None:
+            done.append((*now, digest.hexdigest(), count))
+            yield made()
+
+    return run
+
+
 def price_list_hashes(prices: DataFrame, keys: list[str]) -> DataFrame:
     """One hash per price list: SHA-256 over its lines in canonical order (item, price, discount with null first).
 
-    Order and letter case of items don't matter; null and 0 differ; repeated lines count.
+    Order and letter case of items don't matter; null and 0 differ; repeated lines count. A list's lines are sorted by Spark and
+    digested as they pass, so no list is held in memory; one task digests a list, as SHA-256 can't be divided.
     """
-    line = F.struct(F.lower("item_id").alias("item"), F.col("price"), F.col("discount_price").alias("discount"))
-    text = F.transform(
-        F.array_sort(F.collect_list(line)),
-        lambda s: F.concat_ws(":", s["item"], s["price"].cast("string"), F.coalesce(s["discount"].cast("string"), F.lit("null"))),
-    )
-    return prices.groupBy(*keys).agg(F.sha2(F.array_join(text, "\n"), 256).alias("price_hash"), F.count("*").alias("item_count"))
+    rows = prices.select(*keys, F.lower("item_id").alias("_item"), F.col("price").alias("_price"), F.col("discount_price").alias("_discount"))
+    dealt = max(int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions")), LISTS_DEALT)
+    rows = rows.repartition(dealt, *keys).sortWithinPartitions(*keys, "_item", "_price", "_discount")
+    line = F.concat_ws(":", "_item", F.col("_price").cast("string"), F.coalesce(F.col("_discount").cast("string"), F.lit("null")))
+    schema = StructType([*[prices.schema[k] for k in keys], StructField("price_hash", StringType()), StructField("item_count", LongType())])
+    return rows.select(*keys, F.concat(F.lit("\n"), line).alias("line")).mapInArrow(_digests(len(keys), to_arrow_schema(schema)), schema)
 
 
 def price_groups(hashes: DataFrame) -> DataFrame:

@@ -17,6 +17,22 @@ def test_hash_of_price_lists(spark):
     assert got["s1"] == got["s2"] != got["s3"] and len(got["s1"]) == 64
 
 
+def test_hash_of_long_price_lists(spark):
+    """Lists of many batches, in any order, null keys and prices among them, without a list's lines being gathered in a row."""
+    import hashlib
+
+    lines = [(None if s == 3 else f"s{s % 3}", f"I{(i * 7919) % 25_000:05d}", None if i % 97 == 0 else i % 50, None if i % 3 else i % 5) for s in range(4) for i in range(25_000 - s % 3)]
+    frame = spark.createDataFrame(lines, "store_id string, item_id string, price long, discount_price long").repartition(7)
+    made = pricing.price_list_hashes(frame, ["store_id"])
+    want = {}
+    for s in (None, "s0", "s1", "s2"):
+        rows = sorted(((i.lower(), -1 if p is None else p, -1 if d is None else d) for k, i, p, d in lines if k == s))
+        text = "\n".join(":".join([i, *([] if p < 0 else [str(p)]), "null" if d < 0 else str(d)]) for i, p, d in rows)
+        want[s] = (hashlib.sha256(text.encode()).hexdigest(), len(rows))
+    assert {r["store_id"]: (r["price_hash"], r["item_count"]) for r in made.collect()} == want
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+
+
 def test_overrides(spark):
     prices = spark.createDataFrame([("s", "a", 1000, None), ("s", "b", 2000, 1500)], "store_id string, item_id string, price long, discount_price long")
     exceptions = spark.createDataFrame(
