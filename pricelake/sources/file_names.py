@@ -16,7 +16,7 @@ class Anchored:
     """Names in parts: kind first, then the address up to a part that is a postal code, then the town.
 
     The code is the first (or the ``last``) part of five digits that is neither the first part nor one of the ``tail`` last ones; a name of
-    less than ``least`` parts isn't read.
+    less than ``least`` parts isn't read. A part of five digits with another after it is a number of the address, unless no part is a code then.
     """
 
     least: int = 6
@@ -101,7 +101,9 @@ def _anchored(base: Column, chain: str, layout: Anchored) -> Column:
     parts = F.split(base, layout.separator)
     n = F.size(parts)
     places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i > 1) & (i <= n - layout.tail) & F.element_at(parts, i).rlike(r"^\d{5}$"))
-    at = F.when(n >= layout.least, F.try_element_at(places, F.lit(-1 if layout.last else 1)))
+    before_town = F.filter(places, lambda i: ~F.coalesce(F.try_element_at(parts, i + 1), F.lit("")).rlike(r"^\d{5}$"))
+    which = F.lit(-1 if layout.last else 1)
+    at = F.when(n >= layout.least, F.coalesce(F.try_element_at(before_town, which), F.try_element_at(places, which)))
     kind = F.element_at(F.split(F.element_at(parts, 1), " "), 1)
     town = F.coalesce(F.try_element_at(parts, at + 1), F.lit(""))
     before = F.lit(CHAIN_NAMES[chain]) if layout.titled == "{chain}" else kind
@@ -125,15 +127,19 @@ def _patterned(name: Column, chain: str, layout: Patterned) -> Column:
 
 
 def _konzum(name: Column) -> Column:
-    """KIND,ADDRESS+POSTAL+TOWN,STORE,...: the postal code, if there is one, parts address and town."""
+    """KIND,ADDRESS+POSTAL+TOWN,STORE,...: the postal code, if there is one, parts address and town.
+
+    It is the first word of five digits that no number follows, as one before it belongs to the address; without such a word, the first five digits.
+    """
     parts = F.split(name, ",")
     kind, place = F.element_at(parts, 1), F.replace(F.try_element_at(parts, F.lit(2)), F.lit("+"), F.lit(" "))
-    pattern = r"^(.*?)(\d{5})(.*)$"
-    coded = place.rlike(pattern)
-    address = F.trim(F.when(coded, F.regexp_extract(place, pattern, 1)).otherwise(place))
-    town = F.trim(F.when(coded, F.regexp_extract(place, pattern, 3)).otherwise(""))
+    word, digits = r"^(.*?)(?<!\S)(\d{5})(?!\S)(?!\s*\d)(.*)$", r"^(.*?)(\d{5})(.*)$"
+    group = lambda i: F.when(place.rlike(word), F.regexp_extract(place, word, i)).otherwise(F.regexp_extract(place, digits, i))
+    coded = place.rlike(digits)
+    address = F.trim(F.when(coded, group(1)).otherwise(place))
+    town = F.trim(F.when(coded, group(3)).otherwise(""))
     shown = F.array_join(F.filter(F.array(kind, address, town), lambda c: c != ""), " ")
-    return F.when(F.size(parts) >= 3, _store(shown, address, town, F.regexp_extract(place, pattern, 2), kind))
+    return F.when(F.size(parts) >= 3, _store(shown, address, town, group(2), kind))
 
 
 def store_metadata(name: Column, chain: str) -> Column:

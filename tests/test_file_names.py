@@ -33,6 +33,27 @@ def test_stores(spark, chain, name):
         assert tuple(got) == want
 
 
+@pytest.mark.parametrize("key", [9_999, 10_010, 53_296, 123_456])
+def test_numbers_of_the_address_are_no_postal_code(spark, key):
+    """A number of five digits or more in the address, before the code."""
+    names = {
+        "konzum": (f"SUPERMARKET,ILICA+{key}+10310+ZADAR,0204,15.csv", (f"SUPERMARKET ILICA {key} ZADAR", f"ILICA {key}", "ZADAR", "10310", "SUPERMARKET")),
+        "lidl": (f"Supermarket 265_Ulica_{key}_10310_ZADAR_1_16.12.2025_7.15h.csv", ("Lidl Zadar", f"Ulica {key}", "Zadar", "10310", "Supermarket")),
+        "plodine": (f"HIPERMARKET_ULICA_{key}_10310_ZADAR_007_3_2.csv", ("Plodine Zadar", f"Ulica {key}", "Zadar", "10310", "Hipermarket")),
+    }
+    for chain, (name, want) in names.items():
+        assert tuple(spark.range(1).select(file_names.store_metadata(F.lit(name), chain).alias("s")).first()["s"]) == want
+
+
+def test_which_digits_are_the_code(spark):
+    """A code that a number follows, the only one; digits within a word; two codes in a row."""
+    for name, code, town in (("S,ILICA+1+10310+2+GRAD,1", "10310", "2 GRAD"), ("S,ILICA+A10310B,1", "10310", "B"), ("S,ILICA+10310,1", "10310", None)):
+        got = spark.range(1).select(file_names.store_metadata(F.lit(name), "konzum").alias("s")).first()["s"]
+        assert (got["postal_code"], got["town"]) == (code, town)
+    got = spark.range(1).select(file_names.store_metadata(F.lit("S_U_10310_10311_1_2_3"), "lidl").alias("s")).first()["s"]
+    assert (got["postal_code"], got["address"]) == ("10311", "U 10310")
+
+
 def test_days(spark):
     names = {("studenac", "x-15-01-2024.xml"): date(2024, 1, 15), ("metro", "METRO_20240229T0630"): date(2024, 2, 29), ("metro", "METRO_20230229T0630"): None, ("trgocentar", "x_150120240730.xml"): date(2024, 1, 15), ("lidl", None): None}
     for (chain, name), want in names.items():
