@@ -146,10 +146,3 @@ def visit_order(allocation: DataFrame, distances: DataFrame) -> DataFrame:
     rows = rows.join(distances.select("basket_id", "store_id", F.col("km").alias("_km")), ["basket_id", "store_id"], "left").withColumn("km", F.coalesce("_km", F.lit(0.0))).drop("_km")
     w = Window.partitionBy("basket_id").orderBy("km", "store_id")
     return rows.withColumn("visit", F.row_number().over(w).cast("long"))
-
-
-def best_split(offer: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The split of each basket with candidates: the best set where it passes the size gate, else the greedy one; ``algorithm`` tells which."""
-    best = exhaustive(offer, chosen).select("basket_id", "n_found", "n_stores", F.col("total").alias("sorting_total"), F.lit("optimal").alias("algorithm"))
-    rest = allocation_totals(greedy(offer, chosen)).join(best.select("basket_id"), "basket_id", "left_anti")
-    return best.unionByName(rest.select("basket_id", "n_found", "n_stores", "sorting_total", F.lit("greedy").alias("algorithm")))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators import basket, catalog, enrichment, matching, operations, registry, review
 from ..sources import discovery
-from .catalog import _GREEDY, _OFFERS, _offers, _with
+from .catalog import _GREEDY, _OFFERS, _offers, _splits, _with
 from .fixtures import table
 from .history import QUERIES, SQL, _query
 
@@ -83,8 +83,7 @@ def visit_order(spark: SparkSession, d: str) -> DataFrame:
     union all select basket_id, n_found, n_stores, sorting_total, 'greedy' from totals where basket_id not in (select basket_id from best)""",
 )
 def best_split(spark: SparkSession, d: str) -> DataFrame:
-    offer = _offers(spark, d)
-    return basket.best_split(offer, basket.candidates(basket.single_store(offer)))
+    return _splits(spark, d, "split")
 
 
 @_query(
