@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.codes import cosine, jaccard, normalize_barcode, trigrams
+from ..functions.codes import jaccard, normalize_barcode, trigrams
 from ..functions.text import is_generic_brand, normalize_unit, remove_diacritics
+from ..session import scratch_folder
+from ..sources.workbooks import file_system
 
 # Thresholds, and how much an item's data are worth as its product's.
 LEAST_NAME_JACCARD, LEAST_TRIGRAM, MOST_TRIGRAM = 0.3, 0.1, 200
@@ -72,35 +77,126 @@ def barcode_outcomes(sanity: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("code", "n_items", "sanity", outcome.alias("outcome"))
 
 
-#: Texts of a block on either side of a trigram search.
-LEFT_BLOCK, RIGHT_BLOCK = 4096, 16384
-
-
-def _block_matches(least: float, most: int) -> Callable:
-    """The best matches of a block of left texts in a block of right ones, found by the right block's index of trigrams."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("b")  # so that ties are by ascending id
-        sizes = right.column("grams").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        grams = right.column("grams").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], np.repeat(np.arange(sizes.size), sizes)[order]
-        rows, matches, scores = [], [], []
-        for i, own in enumerate(left.column("grams").to_pylist()):
-            if not sizes.size:
-                break
-            first, end = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
-            hits = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange((end - first).sum())
-            common = np.bincount(owner[hits], minlength=sizes.size)
-            alike = common / (len(own) + sizes - common)
-            found = np.flatnonzero(alike > least)
-            found = found[np.lexsort((found, -alike[found]))[:most]]
-            rows.append(np.full(found.size, i))
-            matches.append(found)
-            scores.append(alike[found])
-        none = np.zeros(0, dtype=np.int64)
-        at, match = np.concatenate(rows or [none]), np.concatenate(matches or [none])
-        return pa.table({"a": left.column("a").take(pa.array(at)), "b": right.column("b").take(pa.array(match)), "similarity": np.concatenate(scores or [none.astype(float)])})
+#: Texts of a block on either side of a trigram search, and left texts whose matches are looked at at once.
+LEFT_BLOCK, RIGHT_BLOCK, ROWS = 2048, 8192, 128
+
+_BLOCK = "ids binary, sizes binary, grams binary, starts binary, owners binary"
+
+
+def _by_gram(grams: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Of a block: the sizes of its sets, its different grams, where the texts of each begin (and the last ends), and those texts."""
+    sizes = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+    flat = grams.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(flat, kind="stable")
+    flat, owners = flat[order], np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)[order]
+    starts = np.append(0, np.flatnonzero(np.diff(flat)) + 1)
+    return sizes, flat[starts], np.append(starts, flat.size).astype(np.int32), owners
+
+
+def _blocks(size: int, slack: int, made: Callable) -> Callable:
+    """What ``made`` yields for each block (ids, grams) of ``size`` rows, or ``slack`` more if that many end a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            while held.num_rows > size + slack:
+                yield from made(*(c.combine_chunks() for c in held.slice(0, size).columns))
+                held = held.slice(size)
+        if held is not None and held.num_rows:
+            yield from made(*(c.combine_chunks() for c in held.columns))
+
+    return run
+
+
+def _written_block(ids: pa.Array, grams: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("b", ids.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([ids], names=["b"]))
+    row = [sink.getvalue().to_pybytes(), *(x.tobytes() for x in _by_gram(grams))]
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "sizes", "grams", "starts", "owners"])
+
+
+def _read_blocks(folder: str, columns: list[str]) -> Iterator[list[bytes]]:
+    """The blocks of a folder in the order of their ids."""
+    system, path = file_system(folder)
+    part = re.compile(r"part-(\d+)")
+    files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if part.match(f.base_name)]
+    for file in sorted(files, key=lambda f: int(part.match(f.rsplit("/", 1)[-1])[1])):
+        with system.open_input_file(file) as opened:
+            for batch in pq.ParquetFile(opened).iter_batches(1, columns=columns):
+                yield [batch.column(c)[0].as_buffer() for c in columns]
+
+
+def _shared(left: tuple, right: tuple) -> np.ndarray:
+    """How many grams each left text shares with each right one: common grams by a product of matrices, the others text by text."""
+    (sizes, grams, starts, owners), (r_sizes, r_grams, r_starts, r_owners) = left, right
+    _, i, j = np.intersect1d(grams, r_grams, assume_unique=True, return_indices=True)
+    pairs = (starts[i + 1] - starts[i]).astype(np.int64) * (r_starts[j + 1] - r_starts[j])
+    dense = pairs * 1e-8 + 3e-5 > sizes.size * r_sizes.size * 4e-11  # seconds, about
+    ones, r_ones = np.zeros((sizes.size, dense.sum()), np.float32), np.zeros((dense.sum(), r_sizes.size), np.float32)
+    for at, (g, h) in enumerate(zip(i[dense], j[dense], strict=True)):
+        ones[owners[starts[g] : starts[g + 1]], at] = 1
+        r_ones[at, r_owners[r_starts[h] : r_starts[h + 1]]] = 1
+    common = ones @ r_ones
+    for g, h in zip(i[~dense].tolist(), j[~dense].tolist(), strict=True):
+        common[owners[starts[g] : starts[g + 1], None], r_owners[r_starts[h] : r_starts[h + 1]]] += 1
+    return common
+
+
+def _search(folder: str, least: float, most: int) -> Callable:
+    """The best matches of a block of left texts among all right blocks, which are read one after another.
+
+    Blocks come in the order of ids, so of equal matches those that are held come first, and a text that has ``most`` takes only better ones.
+    """
+
+    def run(ids: pa.Array, grams: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        left = _by_gram(grams)
+        sizes, n = left[0].astype(np.int64), len(ids)
+        over = np.full(n, least)  # what a match must exceed
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * -(-n // ROWS)  # text, similarity, place of the match
+        base = 0
+        for block in _read_blocks(folder, ["sizes", "grams", "starts", "owners"]):
+            right = tuple(np.frombuffer(x, t) for x, t in zip(block, (np.int32, np.int64, np.int32, np.int32), strict=True))
+            common, r_sizes = _shared(left, right), right[0].astype(np.int64)
+            for k in range(len(held)):
+                first = k * ROWS
+                part, own, limit = common[first : first + ROWS], sizes[first : first + ROWS], over[first : first + ROWS]
+                share = (limit / (1 + limit))[:, None]
+                bound = (share * own[:, None]).astype(np.float32) + share.astype(np.float32) * r_sizes.astype(np.float32)
+                hit = part > bound * np.float32(1 - 1e-5) - np.float32(1e-3)  # a little less than it, for the rounding; exact below
+                if np.count_nonzero(hit) > 4 * most * len(own):  # most of them don't count: the limit is raised first
+                    alike = part.astype(np.float64) / (own[:, None] + r_sizes - part)
+                    if most < r_sizes.size:
+                        hit &= alike >= np.partition(alike, r_sizes.size - most, axis=1)[:, r_sizes.size - most, None]
+                row, match = np.nonzero(hit)
+                shared = part[row, match].astype(np.float64)
+                alike = shared / (own[row] + r_sizes[match] - shared)
+                kept = alike > limit[row]
+                if not kept.any():
+                    continue
+                row, alike, match = (np.concatenate(x) for x in zip(held[k], (row[kept], alike[kept], match[kept] + base), strict=True))
+                order = np.lexsort((match, -alike, row))
+                row, alike, match = row[order], alike[order], match[order]
+                rank = np.arange(row.size) - np.searchsorted(row, row)
+                last = rank == most - 1
+                over[first + row[last]] = alike[last]
+                held[k] = tuple(x[rank < most] for x in (row, alike, match))
+            base += r_sizes.size
+        row = np.concatenate([h[0] + k * ROWS for k, h in enumerate(held)])
+        alike, match = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+        rank = np.arange(row.size) - np.searchsorted(row, row) + 1
+        names, order, base = [], [], 0
+        for (block,) in _read_blocks(folder, ["ids"]):
+            b = pa.ipc.open_stream(block).read_all().column("b").combine_chunks()
+            at = np.flatnonzero((match >= base) & (match < base + len(b)))
+            names.append(b.take(pa.array(match[at] - base)))
+            order.append(at)
+            base += len(b)
+        if row.size:
+            back = np.argsort(np.concatenate(order), kind="stable")
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.concat_arrays(names).take(pa.array(back)), pa.array(alike), pa.array(rank)], names=["a", "b", "similarity", "rank"])
 
     return run
 
@@ -109,28 +205,45 @@ def trigram_matches(left: DataFrame, right: DataFrame, least: float = LEAST_TRIG
     """Pairs of texts (id, text) whose trigram sets are more alike than ``least``, the ``most`` best of each left one.
 
     With c shared of a and b, the similarity is c / (a + b - c). The left texts are a set of queries that meets all right ones block by
-    block: a task has a block of each side, and gives at most ``most`` matches of each left text, so no pair is a row before it is
-    known to count, and a trigram that most texts have is no key. Texts without trigrams match nothing; ids are unique.
+    block. The right blocks, by gram and in the order of their ids, are written to the shared folder once, in a path that pyarrow reads;
+    a task has a block of left texts and one of right ones at a time, and holds ``most`` matches of each left text, so no pair is a row before
+    it counts and nothing is shuffled for each pair of blocks. Texts without trigrams match nothing; ids are unique.
     """
-    parts = lambda frame, size: max(1, -(-frame.count() // size))
-    n_left, n_right = parts(left, LEFT_BLOCK), parts(right, RIGHT_BLOCK)
-    grams = F.transform(trigrams(F.col("text")), lambda t: F.xxhash64(t))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    a = left.select(F.col("id").alias("a"), grams.alias("grams"), deal(n_left).alias("l")).where(F.size("grams") > 0).withColumn("r", each(n_right))
-    b = right.select(F.col("id").alias("b"), grams.alias("grams"), deal(n_right).alias("r")).where(F.size("grams") > 0).withColumn("l", each(n_left))
-    schema = StructType([StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("similarity", DoubleType())])
-    found = a.groupBy("l", "r").cogroup(b.groupBy("l", "r")).applyInArrow(_block_matches(least, most), schema)
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("a", "b", "similarity", "rank")
+    n_left, n_right = left.count(), right.count()
+    spark = left.sparkSession
+    parts = max(-(-n_left // LEFT_BLOCK), min(spark.sparkContext.defaultParallelism, -(-n_left // 256)), 1)
+    grams = F.transform(trigrams(F.col("text")), lambda t: F.xxhash64(t)).alias("grams")
+    a = left.select(F.col("id").alias("a"), grams).where(F.size("grams") > 0).repartition(parts)
+    b = right.select(F.col("id").alias("b"), grams).where(F.size("grams") > 0).repartitionByRange(max(1, -(-n_right // RIGHT_BLOCK)), "b").sortWithinPartitions("b")
+    folder = scratch_folder(spark)
+    b.mapInArrow(_blocks(RIGHT_BLOCK, RIGHT_BLOCK // 4, _written_block), _BLOCK).write.parquet(folder)
+    schema = StructType([StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("similarity", DoubleType()), StructField("rank", LongType())])
+    return a.mapInArrow(_blocks(LEFT_BLOCK, LEFT_BLOCK // 4, _search(folder, least, most)), schema)
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, candidate, similarity) of pairs with two vectors, as ``codes.cosine`` has it, pairs of one length at a time."""
+    for batch in batches:
+        one, two = batch.column(2), batch.column(3)
+        n, m = (np.asarray(c.value_lengths().fill_null(-1)) for c in (one, two))
+        ends = [np.append(0, np.cumsum(np.maximum(x, 0))) for x in (n, m)]
+        flat = [c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (one, two)]
+        similarity = np.zeros(batch.num_rows)
+        for length in np.unique(n[(n == m) & (n > 0)]).tolist():
+            rows = np.flatnonzero((n == m) & (n == length))
+            x, y = (f[e[rows][:, None] + np.arange(length)] for f, e in zip(flat, ends, strict=True))
+            norm = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+            similarity[rows] = np.divide((x * y).sum(axis=1), norm, out=np.zeros(rows.size), where=norm > 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["item", "candidate", "similarity"])
 
 
 def reranked(pairs: DataFrame, vectors: DataFrame, kept: int = KEPT) -> DataFrame:
-    """Candidate pairs (item, candidate) by cosine of their vectors, the best few of each item."""
+    """Candidate pairs (item, candidate) by cosine of their vectors, the best few of each item; those alike to nine places by id."""
     a = vectors.select(F.col("id").alias("item"), F.col("vector").alias("v1"))
     b = vectors.select(F.col("id").alias("candidate"), F.col("vector").alias("v2"))
-    scored = pairs.join(a, "item").join(b, "candidate").withColumn("similarity", cosine(F.col("v1"), F.col("v2")))
-    w = Window.partitionBy("item").orderBy(F.desc("similarity"), "candidate")
+    met = pairs.join(a, "item").join(b, "candidate").select("item", "candidate", "v1", "v2")
+    scored = met.mapInArrow(_cosines, StructType([pairs.schema["item"], pairs.schema["candidate"], StructField("similarity", DoubleType())]))
+    w = Window.partitionBy("item").orderBy(F.desc(F.round("similarity", 9)), "candidate")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= kept).select("item", "candidate", "similarity", "rank")
 
 

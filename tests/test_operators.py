@@ -182,3 +182,21 @@ def test_retrieval_metrics(spark):
     ranked = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 9, 1), (2, 7, 2), (4, 1, 1)], "query int, candidate int, rank long")
     truth = spark.createDataFrame([(1, 7), (1, 5), (2, 7), (3, 1)], "query int, candidate int")
     assert tuple(matching.retrieval_metrics(ranked, truth, k=2).first()) == (3, 0.333333, 0.5, 0.666667, 0.333333, 0.5)
+
+
+def test_trigram_search_holds_no_pair_of_blocks(spark):
+    """Nothing is dealt by pairs of blocks: the left side is shuffled once, without keys, and the ranks come from the task."""
+    frame = spark.createDataFrame([(i, f"name {i} of {i % 7}") for i in range(300)], "id long, text string")
+    made = matching.trigram_matches(frame, frame, most=3)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and plan.count("Repartition") == 1
+    rows = made.collect()
+    assert len(rows) == 900 and all(r["a"] == r["b"] or r["rank"] > 1 or r["similarity"] == 1.0 for r in rows)
+
+
+def test_rerank_by_cosine(spark):
+    """Vectors of different lengths, zero vectors and missing ones have 0; equal similarities are by id."""
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [4.0, 0.0]), (4, [1.0, 1.0]), (5, [1.0]), (6, [0.0, 0.0]), (7, None)], "id long, vector array<double>")
+    pairs = spark.createDataFrame([(1, c) for c in (7, 6, 5, 4, 3, 2)], "item long, candidate long")
+    got = matching.reranked(pairs, vectors, 6).orderBy("rank").collect()
+    assert [(r["candidate"], round(r["similarity"], 6)) for r in got] == [(2, 1.0), (3, 1.0), (4, 0.707107), (5, 0.0), (6, 0.0), (7, 0.0)]
